@@ -36,9 +36,10 @@ def _series_rows(df: DataFrame, key: str, order: str, feature: str, row_id: str
     ).where(F.col("_key").isNotNull() & F.col("_value").isNotNull())
 
 
-def has_long_series(rows: DataFrame, split_rows: int) -> bool:
-    """Whether any key has more than ``split_rows`` rows. Reads the key column, combines before the shuffle."""
-    counts = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+def has_long_series(df: DataFrame, key: str, split_rows: int) -> bool:
+    """Whether any key has more than ``split_rows`` rows. Reads the key column only, combines before the shuffle."""
+    keyed = df.select(quoted(key).alias("_key")).where(F.col("_key").isNotNull())
+    counts = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
     return not counts.where(F.col("_n") > split_rows).isEmpty()
 
 
@@ -67,11 +68,14 @@ def _in_blocks(rows: DataFrame, reach: int, size: int) -> DataFrame:
     )
 
 
-def _lay_out(rows: DataFrame, reach: int, split_rows: int) -> tuple[DataFrame, list[str]]:
-    """Rows plus ``_own`` (false for copies), and the columns whose groups hold a series or a piece of one."""
+def _lay_out(
+    df: DataFrame, key: str, order: str, feature: str, row_id: str | list[str], reach: int, split_rows: int
+) -> tuple[DataFrame, list[str]]:
+    """Series rows plus ``_own`` (false for copies), and the columns whose groups hold a series or a piece of one."""
     if split_rows < 1:
         raise ValueError("split_rows must be at least 1")
-    if has_long_series(rows, split_rows):
+    rows = _series_rows(df, key, order, feature, row_id)
+    if has_long_series(df, key, split_rows):
         return _in_blocks(rows, reach, max(split_rows, reach)), ["_key", "_block"]
     return rows.withColumn("_own", F.lit(True)), ["_key"]
 
@@ -108,7 +112,7 @@ def moving_average(
     A key with n rows gives n - days + 1 averages, none if n < days. ``row_id`` makes a row unique within its key and date.
     """
     _check_days(days)
-    laid, groups = _lay_out(_series_rows(df, key, order, feature, row_id), days - 1, split_rows)
+    laid, groups = _lay_out(df, key, order, feature, row_id, days - 1, split_rows)
     return (
         _averaged(laid, groups, days)
         .where("_full")
@@ -152,7 +156,7 @@ def series(
 
     All keys with up to ``array_rows`` rows have a single part 0.
     """
-    laid, groups = _lay_out(_series_rows(df, key, order, feature, row_id), 0, array_rows)
+    laid, groups = _lay_out(df, key, order, feature, row_id, 0, array_rows)
     pieces = laid.groupBy(*groups).agg(
         F.min(F.struct("_date")).alias("_start"),
         F.array_sort(F.collect_list(F.struct("_date", "_id", "_value"))).alias("_rows"),
@@ -180,7 +184,7 @@ def moving_average_arrays(
     ``array_rows`` continues in further parts, each with at most that many averages.
     """
     _check_days(days)
-    laid, groups = _lay_out(_series_rows(df, key, order, feature, row_id), days - 1, array_rows)
+    laid, groups = _lay_out(df, key, order, feature, row_id, days - 1, array_rows)
     point = F.when(F.col("_full"), F.struct("_date", "_id", "_avg"))
     pieces = _averaged(laid, groups, days).groupBy(*groups).agg(
         F.min(F.struct("_date")).alias("_start"),
@@ -246,7 +250,7 @@ def moving_average_from_arrays(
     Same rows as ``moving_average``, which is the faster form; the two check each other.
     """
     _check_days(days)
-    laid, groups = _lay_out(_series_rows(df, key, order, feature, row_id), days - 1, array_rows)
+    laid, groups = _lay_out(df, key, order, feature, row_id, days - 1, array_rows)
     arrays = laid.groupBy(*groups).agg(
         F.array_sort(F.collect_list(F.struct("_date", "_id", "_value", "_own"))).alias("_rows")
     )
