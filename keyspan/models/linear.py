@@ -157,6 +157,13 @@ def linear_regression(
 def _as_number(df: DataFrame, name: str) -> Column:
     """A numeric column as double; a date or timestamp as seconds since 1970."""
     kind = df.schema[name].dataType.simpleString()
-    if kind in ("date", "timestamp", "timestamp_ntz"):
-        return F.unix_micros(quoted(name).cast("timestamp")) / F.lit(1e6)
-    return quoted(name).cast("double")
+    column = quoted(name)
+    if kind == "timestamp":
+        return F.unix_micros(column) / F.lit(1e6)
+    if kind in ("date", "timestamp_ntz"):
+        seconds = F.unix_date(F.to_date(column)) * F.lit(86400.0)
+        if kind == "timestamp_ntz":
+            of_day = F.hour(column) * 3600 + F.minute(column) * 60
+            seconds = seconds + of_day + F.extract(F.lit("SECOND"), column).cast("double")
+        return seconds
+    return column.cast("double")

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import product
+from math import ceil
 
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -25,6 +26,9 @@ from keyspan.operators.frames import drop_incomplete, filter_keys, quoted
 from keyspan.sources.storage import staged_by_key
 
 ID = "_id"
+# Training rows per task: not worth another task below the first, too many for one beyond the second.
+FEW_ROWS = 20_000
+MANY_ROWS = 2_000_000
 
 # Request parameter, Spark ML parameter, accepted values, value used otherwise (none: Spark's own default).
 SHARED_RULES = (
@@ -115,12 +119,24 @@ def rows_of(table: DataFrame, key: str, value) -> DataFrame:
     return table.where(quoted(key) == F.lit(value)).select(ID, "features", "label")
 
 
-def laid_out(rows: DataFrame) -> DataFrame:
-    """Rows in partitions and an order given by their ids: sampling inside the trainer then repeats itself."""
-    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def laid_out(rows: DataFrame, n_rows: int) -> DataFrame:
+    """Rows in partitions and an order given by their ids: sampling inside the trainer then repeats itself.
+
+    The number of partitions follows the number of rows: the session's shuffle partitions, fewer for few rows, more where
+    a task would get too many.
+    """
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(min(ceil(n_rows / FEW_ROWS), usual), ceil(n_rows / MANY_ROWS))
     return rows.repartition(partitions, ID).sortWithinPartitions(ID)
 
 
+def _training_rows(rows: DataFrame, train_split: float, seed: int) -> tuple[DataFrame | None, DataFrame]:
+    """Training and test rows, the former laid out, or None where there are none."""
+    train, test = split(rows, train_split, ID, seed)
+    n_rows = train.count()
+    return (laid_out(train, n_rows) if n_rows else None), test
+
+
 def accuracy(model, test: DataFrame) -> tuple[float | None, float | None]:
     """``rmse, r2`` on held-out rows; nothing when there are none."""
     row = regression_metrics(model.transform(test)).first()
@@ -129,11 +145,11 @@ def accuracy(model, test: DataFrame) -> tuple[float | None, float | None]:
 
 def fit_and_test(rows: DataFrame, estimator, train_split: float, seed: int):
     """Model and accuracy of one key, or None when it has no training rows."""
-    train, test = split(rows, train_split, ID, seed)
-    train = laid_out(train).persist()
+    train, test = _training_rows(rows, train_split, seed)
+    if train is None:
+        return None
+    train = train.persist()
     try:
-        if train.isEmpty():
-            return None
         model = estimator.fit(train)
         return (model, *accuracy(model, test))
     finally:
@@ -152,11 +168,11 @@ def search_and_test(
     Folds come from the row ids, and every setting is scored by its mean rmse over them.
     """
     spark = rows.sparkSession
-    train, test = split(rows, train_split, ID, seed)
-    train = laid_out(train).withColumn("_fold", fold_of(ID, folds, seed)).persist()
+    train, test = _training_rows(rows, train_split, seed)
+    if train is None:
+        return None
+    train = train.withColumn("_fold", fold_of(ID, folds, seed)).persist()
     try:
-        if train.isEmpty():
-            return None
         settings = _settings(grid)
 
         def score(task):

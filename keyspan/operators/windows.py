@@ -69,13 +69,13 @@ def _in_blocks(rows: DataFrame, reach: int, size: int) -> DataFrame:
 
 
 def _lay_out(
-    df: DataFrame, key: str, order: str, feature: str, row_id: str | list[str], reach: int, split_rows: int
+    df: DataFrame, key: str, order: str, feature: str, row_id: str | list[str], reach: int, split_rows: int | None
 ) -> tuple[DataFrame, list[str]]:
     """Series rows plus ``_own`` (false for copies), and the columns whose groups hold a series or a piece of one."""
-    if split_rows < 1:
+    if split_rows is not None and split_rows < 1:
         raise ValueError("split_rows must be at least 1")
     rows = _series_rows(df, key, order, feature, row_id)
-    if has_long_series(df, key, split_rows):
+    if split_rows is not None and has_long_series(df, key, split_rows):
         return _in_blocks(rows, reach, max(split_rows, reach)), ["_key", "_block"]
     return rows.withColumn("_own", F.lit(True)), ["_key"]
 
@@ -105,11 +105,12 @@ def moving_average(
     feature: str,
     days: int,
     row_id: str | list[str],
-    split_rows: int = SPLIT_ROWS,
+    split_rows: int | None = SPLIT_ROWS,
 ) -> DataFrame:
     """Average of every ``days`` consecutive rows of a key, dated with the last of them: ``(key, order, row_id, avg)``.
 
     A key with n rows gives n - days + 1 averages, none if n < days. ``row_id`` makes a row unique within its key and date.
+    ``split_rows=None`` says that no series is long (one row per day, say) and saves looking.
     """
     _check_days(days)
     laid, groups = _lay_out(df, key, order, feature, row_id, days - 1, split_rows)

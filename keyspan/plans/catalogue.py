@@ -61,7 +61,8 @@ def moving_average_daily(spark: SparkSession, directory: str) -> DataFrame:
             frames.group(["user_id", "day"], total=F.sum("value")),
         ],
     )
-    rows = windows.moving_average(daily, "user_id", "day", "total", DAYS, "day")
+    # One row per user and day: no series is longer than the calendar.
+    rows = windows.moving_average(daily, "user_id", "day", "total", DAYS, "day", split_rows=None)
     return rows.select("user_id", "day", _rounded("avg", 6))
 
 
