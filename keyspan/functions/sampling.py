@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HASH_RANGE = 2**32
+# Where in the 32 hexadecimal digits of the md5 the draw for a purpose begins.
+PURPOSES = {"sample": 1, "split": 9, "fold": 17, "part": 25}
 
 
 def _as_list(row_id: str | list[str]) -> list[str]:
@@ -13,15 +15,20 @@ def _as_list(row_id: str | list[str]) -> list[str]:
 
 
 def id_hash(row_id: str | list[str], purpose: str, seed: int) -> Column:
-    """First 32 bits of the md5 of seed, purpose and id. Different purposes give unrelated draws."""
-    text = F.concat_ws("-", F.lit(f"{seed}-{purpose}"), *[F.col(c).cast("string") for c in _as_list(row_id)])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    """32 bits of the md5 of seed and id. Every purpose has bits of its own, so their draws are unrelated."""
+    text = F.concat_ws("-", F.lit(str(seed)), *[F.col(c).cast("string") for c in _as_list(row_id)])
+    return F.conv(F.substring(F.md5(text), PURPOSES[purpose], 8), 16, 10).cast("bigint")
 
 
-def in_fraction(row_id: str | list[str], fraction: float, purpose: str, seed: int) -> Column:
+def below(hashed: Column, fraction: float) -> Column:
+    """Whether a hash from ``id_hash`` falls into the first ``fraction`` of their range."""
     if not 0.0 <= fraction <= 1.0:
         raise ValueError(f"fraction {fraction} is outside [0, 1]")
-    return id_hash(row_id, purpose, seed) < F.lit(fraction * HASH_RANGE)
+    return hashed < F.lit(fraction * HASH_RANGE)
+
+
+def in_fraction(row_id: str | list[str], fraction: float, purpose: str, seed: int) -> Column:
+    return below(id_hash(row_id, purpose, seed), fraction)
 
 
 def sample_fraction(df: DataFrame, fraction: float, row_id: str | list[str], seed: int = 1) -> DataFrame:
@@ -37,6 +44,10 @@ def split(
     return df.where(train), df.where(~train)
 
 
+def nth_fold(hashed: Column, folds: int) -> Column:
+    return (hashed % F.lit(folds)).cast("int")
+
+
 def fold_of(row_id: str | list[str], folds: int, seed: int = 1) -> Column:
     """Cross-validation fold 0..folds-1 of a row."""
-    return (id_hash(row_id, "fold", seed) % F.lit(folds)).cast("int")
+    return nth_fold(id_hash(row_id, "fold", seed), folds)

@@ -11,16 +11,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyspan.functions.sampling import sample_fraction
 from keyspan.models.per_key import fit_each_key
 from keyspan.models.trees import (
     EXHAUSTIVE,
-    ID,
     TREE_RULES,
     Trained,
     estimator_for,
     fit_and_test,
     rows_of,
+    sampled,
     training_table,
     tree_params,
 )
@@ -58,31 +57,26 @@ def train_incremental(
     start: float,
     limit: float = FRACTION_LIMIT,
     train_split: float = 0.8,
-    seed: int = 1,
 ) -> tuple:
     """Fit on ``start`` of the rows, then on twice as many, until the test rmse is below the target.
 
-    Gives up once the next share would exceed ``limit``. ``rows`` is ``(_id, features, label)``. Returns the model with the
-    smallest rmse and one ``(round, fraction, seconds, rmse, r2, reached)`` per round.
+    Gives up once the next share would exceed ``limit``. ``rows`` are those of one key of a ``training_table``. Returns the
+    model with the smallest rmse and one ``(round, fraction, seconds, rmse, r2, reached)`` per round.
     """
     if not 0.0 < start <= 1.0:
         raise ValueError(f"the first fraction must be in (0, 1], not {start}")
-    rows = rows.persist()
-    try:
-        best, best_rmse, rounds, fraction = None, None, [], start
-        while True:
-            began = time.monotonic()
-            answer = fit_and_test(sample_fraction(rows, fraction, ID, seed), estimator, train_split, seed)
-            model, rmse, r2 = answer or (None, None, None)
-            reached = rmse is not None and rmse < target_rmse
-            rounds.append((len(rounds), fraction, time.monotonic() - began, rmse, r2, reached))
-            if model is not None and (best is None or (rmse is not None and (best_rmse is None or rmse < best_rmse))):
-                best, best_rmse = model, rmse
-            fraction *= 2
-            if reached or fraction > limit:
-                return best, rounds
-    finally:
-        rows.unpersist()
+    best, best_rmse, rounds, fraction = None, None, [], start
+    while True:
+        began = time.monotonic()
+        answer = fit_and_test(sampled(rows, fraction), estimator, train_split)
+        model, rmse, r2 = answer or (None, None, None)
+        reached = rmse is not None and rmse < target_rmse
+        rounds.append((len(rounds), fraction, time.monotonic() - began, rmse, r2, reached))
+        if model is not None and (best is None or (rmse is not None and (best_rmse is None or rmse < best_rmse))):
+            best, best_rmse = model, rmse
+        fraction *= 2
+        if reached or fraction > limit:
+            return best, rounds
 
 
 def _history(df: DataFrame, key: str, rows: list) -> DataFrame:
@@ -151,13 +145,13 @@ def train_children(
     known = {child for child, _ in trainable}
     skipped = sorted(r["child"] for r in pairs if r["child"] not in known)
     first = START_FRACTION[kind] if start is None else start
-    with training_table(df, key, features, label, row_id, [c for c, _ in trainable]) as table:
+    with training_table(df, key, features, label, row_id, [c for c, _ in trainable], seed) as table:
 
         def train(pair):
             child, parent = pair
             estimator = estimator_for(kind, hyper_parameters(parents[parent], kind), seed)
             return train_incremental(
-                rows_of(table, key, child), estimator, rmse[parent], first, limit, train_split, seed
+                rows_of(table, key, child), estimator, rmse[parent], first, limit, train_split
             )
 
         answers = fit_each_key(df.sparkSession, trainable, train, parallelism)
@@ -189,9 +183,9 @@ def train_from_first(
     train_split = settings.pop("train_split")
     first, others = wanted[0], wanted[1:]
     estimator = estimator_for("gradient_boost", settings, seed)
-    with training_table(df, key, features, label, row_id, wanted) as table:
+    with training_table(df, key, features, label, row_id, wanted, seed) as table:
         began = time.monotonic()
-        answer = fit_and_test(rows_of(table, key, first), estimator, train_split, seed)
+        answer = fit_and_test(rows_of(table, key, first), estimator, train_split)
         if answer is None or answer[1] is None:
             raise ValueError(f"key {first!r} has too few rows to train on")
         model, rmse, r2 = answer
@@ -199,7 +193,7 @@ def train_from_first(
             df.sparkSession,
             others,
             lambda v: train_incremental(
-                rows_of(table, key, v), estimator, rmse, start, limit, train_split, seed
+                rows_of(table, key, v), estimator, rmse, start, limit, train_split
             ),
             parallelism,
         )
@@ -226,8 +220,8 @@ def train_until(
     settings = tree_params("gradient_boost", **{"train_split": 0.9, **params})
     train_split = settings.pop("train_split")
     estimator = estimator_for("gradient_boost", settings, seed)
-    with training_table(df, key, features, label, row_id, [value]) as table:
+    with training_table(df, key, features, label, row_id, [value], seed) as table:
         answer = train_incremental(
-            rows_of(table, key, value), estimator, target_rmse, start, limit, train_split, seed
+            rows_of(table, key, value), estimator, target_rmse, start, limit, train_split
         )
     return _transferred(df, key, [(value, value)], [answer], [], [])

@@ -1,8 +1,9 @@
 """Random forests and gradient-boosted trees per key, with fixed parameters or a grid search.
 
 Spark ML grows the trees, one fit per key, each distributed over the cluster. The cost grows with the number of keys times
-the rows of a key, so this is for the keys somebody asked for, each with as many rows as there are. Every draw (split, folds)
-hangs on the row id, and training rows are laid out by id, so that a fit does not depend on how the table was stored.
+the rows of a key, so this is for the keys somebody asked for, each with as many rows as there are. Every draw (split, sample,
+folds) hangs on hashes of the row id, made once per row, and training rows are laid out by them, so that a fit does not depend
+on how the table was stored.
 """
 
 from __future__ import annotations
@@ -18,17 +19,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyspan.functions.metrics import regression_metrics
-from keyspan.functions.sampling import fold_of, split
+from keyspan.functions.sampling import below, id_hash, nth_fold
 from keyspan.functions.scaling import assemble
 from keyspan.models.per_key import distinct_keys, fit_each_key
 from keyspan.models.rules import Rule, apply_rules, between, is_bool, not_blank
 from keyspan.operators.frames import drop_incomplete, filter_keys, quoted
 from keyspan.sources.storage import staged_by_key
 
-ID = "_id"
+# Three independent draws per row; together they also stand for the row's id.
+DRAWS = ("split", "sample", "fold")
+DRAW_COLUMNS = [f"_{purpose}" for purpose in DRAWS]
 # Training rows per task: not worth another task below the first, too many for one beyond the second.
 FEW_ROWS = 20_000
 MANY_ROWS = 2_000_000
+TIE = 1e-9
 
 # Request parameter, Spark ML parameter, accepted values, value used otherwise (none: Spark's own default).
 SHARED_RULES = (
@@ -98,41 +102,46 @@ def training_table(
     label: str,
     row_id: str | list[str],
     keys: list | DataFrame | None = None,
+    seed: int = 1,
 ) -> Iterator[DataFrame]:
-    """Complete rows ``(_id, key, features..., label)`` of the wanted keys, laid out by key."""
+    """Complete rows ``(draws..., key, features, label)`` of the wanted keys, laid out by key."""
     if not features:
         raise ValueError("a tree model needs at least one feature")
-    ids = [row_id] if isinstance(row_id, str) else list(row_id)
     rows = df if keys is None else filter_keys(df, key, keys)
     rows = rows.select(
-        F.concat_ws("-", *[quoted(c).cast("string") for c in ids]).alias(ID),
+        *[id_hash(row_id, purpose, seed).alias(c) for purpose, c in zip(DRAWS, DRAW_COLUMNS)],
         quoted(key),
         *[quoted(c).cast("double").alias(f"_f{i}") for i, c in enumerate(features)],
         quoted(label).cast("double").alias("label"),
     )
     inputs = [f"_f{i}" for i in range(len(features))]
     with staged_by_key(drop_incomplete(rows, [key, *inputs, "label"]), key) as staged:
-        yield assemble(staged, inputs).select(ID, key, "features", "label")
+        yield assemble(staged, inputs).select(*DRAW_COLUMNS, key, "features", "label")
 
 
 def rows_of(table: DataFrame, key: str, value) -> DataFrame:
-    return table.where(quoted(key) == F.lit(value)).select(ID, "features", "label")
+    return table.where(quoted(key) == F.lit(value)).drop(key)
 
 
 def laid_out(rows: DataFrame, n_rows: int) -> DataFrame:
-    """Rows in partitions and an order given by their ids: sampling inside the trainer then repeats itself.
+    """Rows in partitions and an order given by their draws: sampling inside the trainer then repeats itself.
 
     The number of partitions follows the number of rows: the session's shuffle partitions, fewer for few rows, more where
     a task would get too many.
     """
     usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     partitions = max(min(ceil(n_rows / FEW_ROWS), usual), ceil(n_rows / MANY_ROWS))
-    return rows.repartition(partitions, ID).sortWithinPartitions(ID)
+    return rows.repartition(partitions, *DRAW_COLUMNS).sortWithinPartitions(*DRAW_COLUMNS)
+
 
+def sampled(rows: DataFrame, fraction: float) -> DataFrame:
+    return rows.where(below(F.col("_sample"), fraction))
 
-def _training_rows(rows: DataFrame, train_split: float, seed: int) -> tuple[DataFrame | None, DataFrame]:
+
+def _training_rows(rows: DataFrame, train_split: float) -> tuple[DataFrame | None, DataFrame]:
     """Training and test rows, the former laid out, or None where there are none."""
-    train, test = split(rows, train_split, ID, seed)
+    in_train = below(F.col("_split"), train_split)
+    train, test = rows.where(in_train), rows.where(~in_train)
     n_rows = train.count()
     return (laid_out(train, n_rows) if n_rows else None), test
 
@@ -143,17 +152,22 @@ def accuracy(model, test: DataFrame) -> tuple[float | None, float | None]:
     return row["rmse"], row["r2"]
 
 
-def fit_and_test(rows: DataFrame, estimator, train_split: float, seed: int):
+def fit_and_test(rows: DataFrame, estimator, train_split: float):
     """Model and accuracy of one key, or None when it has no training rows."""
-    train, test = _training_rows(rows, train_split, seed)
+    train, test = _training_rows(rows, train_split)
     if train is None:
         return None
-    train = train.persist()
-    try:
-        model = estimator.fit(train)
-        return (model, *accuracy(model, test))
-    finally:
-        train.unpersist()
+    model = estimator.fit(train)
+    return (model, *accuracy(model, test))
+
+
+def first_best(scores: list[float | None]) -> int:
+    """Position of the smallest score. Scores apart by rounding noise only are equal: the earlier setting wins."""
+    known = [s for s in scores if s is not None]
+    if not known:
+        return 0
+    bound = min(known) * (1 + TIE)
+    return next(i for i, s in enumerate(scores) if s is not None and s <= bound)
 
 
 def _settings(grid: dict) -> list[dict]:
@@ -168,10 +182,10 @@ def search_and_test(
     Folds come from the row ids, and every setting is scored by its mean rmse over them.
     """
     spark = rows.sparkSession
-    train, test = _training_rows(rows, train_split, seed)
+    train, test = _training_rows(rows, train_split)
     if train is None:
         return None
-    train = train.withColumn("_fold", fold_of(ID, folds, seed)).persist()
+    train = train.withColumn("_fold", nth_fold(F.col("_fold"), folds)).persist()
     try:
         settings = _settings(grid)
 
@@ -186,8 +200,7 @@ def search_and_test(
         for i in range(len(settings)):
             of_setting = [r for r in found[i * folds : (i + 1) * folds] if r is not None]
             means.append(sum(of_setting) / len(of_setting) if of_setting else None)
-        ranked = [i for i, m in enumerate(means) if m is not None]
-        best = min(ranked, key=lambda i: means[i]) if ranked else 0
+        best = first_best(means)
         model = estimator_for(kind, {**base, **settings[best]}, seed).fit(train)
         return (model, *accuracy(model, test), list(zip(settings, means)))
     finally:
@@ -216,12 +229,12 @@ def _collected(df: DataFrame, key: str, keys: list, answers: list, with_scores:
 def _train(kind, df, key, features, label, row_id, keys, seed, parallelism, params) -> Trained:
     settings = tree_params(kind, **params)
     train_split = settings.pop("train_split")
-    with training_table(df, key, features, label, row_id, keys) as table:
+    with training_table(df, key, features, label, row_id, keys, seed) as table:
         wanted = list(dict.fromkeys(keys)) if isinstance(keys, list) else distinct_keys(table, key)
         answers = fit_each_key(
             df.sparkSession,
             wanted,
-            lambda v: fit_and_test(rows_of(table, key, v), estimator_for(kind, settings, seed), train_split, seed),
+            lambda v: fit_and_test(rows_of(table, key, v), estimator_for(kind, settings, seed), train_split),
             parallelism,
         )
     return _collected(df, key, wanted, answers, with_scores=False)
@@ -261,7 +274,7 @@ def _search(kind, df, key, features, label, row_id, keys, grid, folds, paralleli
     settings = tree_params(kind, **params)
     train_split = settings.pop("train_split")
     chosen_grid = GRIDS[kind] if grid is None else grid
-    with training_table(df, key, features, label, row_id, keys) as table:
+    with training_table(df, key, features, label, row_id, keys, seed) as table:
         wanted = list(dict.fromkeys(keys)) if isinstance(keys, list) else distinct_keys(table, key)
         answers = fit_each_key(
             df.sparkSession,

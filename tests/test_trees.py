@@ -51,6 +51,11 @@ def test_search_takes_the_best_setting(data):
     assert found.metrics.first()["rmse"] < scores[1.0]
 
 
+def test_ties_go_to_the_earlier_setting():
+    assert trees.first_best([None, 2.0, 1.0 + 1e-12, 1.0]) == 2
+    assert trees.first_best([None, None]) == 0
+
+
 def test_default_grids():
     assert len(trees._settings(trees.RF_GRID)) == 81 and len(trees._settings(trees.GBT_GRID)) == 27
 
