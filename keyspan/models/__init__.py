@@ -1 +1,44 @@
 """Regression, clustering and tree models per key or over a whole table."""
+
+from keyspan.models.clustering import (
+    bisecting_kmeans,
+    cluster_centers,
+    gaussian_mixture,
+    gaussians,
+    kmeans,
+    lda,
+    lda_quality,
+)
+from keyspan.models.components import components_for_variance
+from keyspan.models.linear import linear_regression, lr_params
+from keyspan.models.transfer import train_children, train_from_first, train_incremental, train_parents, train_until
+from keyspan.models.trees import (
+    gradient_boost,
+    gradient_boost_exhaustive,
+    random_forest,
+    random_forest_exhaustive,
+    tree_params,
+)
+
+__all__ = [
+    "bisecting_kmeans",
+    "cluster_centers",
+    "components_for_variance",
+    "gaussian_mixture",
+    "gaussians",
+    "gradient_boost",
+    "gradient_boost_exhaustive",
+    "kmeans",
+    "lda",
+    "lda_quality",
+    "linear_regression",
+    "lr_params",
+    "random_forest",
+    "random_forest_exhaustive",
+    "train_children",
+    "train_from_first",
+    "train_incremental",
+    "train_parents",
+    "train_until",
+    "tree_params",
+]

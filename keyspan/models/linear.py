@@ -47,14 +47,17 @@ def _closed_form(rows: DataFrame, key: str, params: dict) -> DataFrame:
     aggs = [
         F.avg(x).alias("_mx"),
         F.avg(y).alias("_my"),
-        F.stddev_pop(x).alias("_sx"),
-        F.stddev_pop(y).alias("_sy0"),
+        F.var_pop(x).alias("_vx"),
+        F.var_pop(y).alias("_vy"),
     ]
     if centred:
-        aggs += [F.covar_pop(x, y).alias("_xy"), F.var_pop(x).alias("_xx"), F.var_pop(y).alias("_yy")]
+        aggs.append(F.covar_pop(x, y).alias("_xy"))
     else:
         aggs += [F.avg(x * y).alias("_xy"), F.avg(x * x).alias("_xx"), F.avg(y * y).alias("_yy")]
     moments = rows.groupBy(key).agg(*aggs)
+    moments = moments.withColumns({"_sx": F.sqrt("_vx"), "_sy0": F.sqrt("_vy")})
+    if centred:
+        moments = moments.withColumnsRenamed({"_vx": "_xx", "_vy": "_yy"})
 
     sx = F.col("_sx")
     # Without an intercept a constant label still has a slope; it is then measured in units of its own size.

@@ -96,8 +96,16 @@ def filter_dates(df: DataFrame, date_col: str, start, end) -> DataFrame:
 
 
 def drop_incomplete(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Drop rows with a null in any of ``cols``."""
-    return df.na.drop(how="any", subset=list(cols))
+    """Drop rows with a null (or a NaN) in any of ``cols``. Written as conditions that the scan can use."""
+    if not cols:
+        return df
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    present = []
+    for c in cols:
+        present.append(quoted(c).isNotNull())
+        if kinds[c] in ("float", "double"):
+            present.append(~F.isnan(quoted(c)))
+    return df.where(reduce(operator.and_, present))
 
 
 def compare(col: str, op: str, value) -> Column:

@@ -112,7 +112,7 @@ def with_parent(rows: DataFrame, clusters: DataFrame, key: str, parent: str = "p
     parents = (
         cluster_members(clusters, key)
         .groupBy(F.col("child").alias(key))
-        .agg(F.max(F.col("parent").cast("string")).alias(parent))
+        .agg(F.max("parent").alias(parent))
     )
     joined = rows.join(parents, key, "left")
-    return joined.withColumn(parent, F.coalesce(parent, F.lit(NO_PARENT)))
+    return joined.withColumn(parent, F.coalesce(F.col(parent).cast("string"), F.lit(NO_PARENT)))

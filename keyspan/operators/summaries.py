@@ -51,22 +51,22 @@ def key_summary(df: DataFrame, key: str, features: list[str]) -> DataFrame:
 
 
 def cluster_centers_of(clusters: DataFrame, key: str) -> DataFrame:
-    """The centre of every cluster that has one: ``(cluster_id, parent, multiple_centers)``."""
-    return (
-        clusters.where(F.col("is_center") & quoted(key).isNotNull())
-        .groupBy("cluster_id")
-        .agg(F.max(quoted(key)).alias("parent"), (F.min(quoted(key)) != F.max(quoted(key))).alias("multiple_centers"))
+    """The centre of every cluster that has one: ``(cluster_id, parent, multiple_centers, n_children)``."""
+    center = F.when(F.col("is_center"), quoted(key))
+    child = F.when(~F.col("is_center"), quoted(key))
+    heads = clusters.groupBy("cluster_id").agg(
+        F.max(center).alias("parent"),
+        (F.min(center) != F.max(center)).alias("multiple_centers"),
+        F.count(child).alias("n_children"),
     )
+    return heads.where(F.col("parent").isNotNull())
 
 
 def cluster_members(clusters: DataFrame, key: str) -> DataFrame:
     """One row per child: ``(cluster_id, parent, child)``. Clusters without a centre are left out."""
-    children = clusters.where(~F.col("is_center") & quoted(key).isNotNull()).select(
-        "cluster_id", quoted(key).alias("child")
-    )
-    return children.join(cluster_centers_of(clusters, key).drop("multiple_centers"), "cluster_id").select(
-        "cluster_id", "parent", "child"
-    )
+    children = clusters.where(~F.col("is_center") & quoted(key).isNotNull())
+    heads = cluster_centers_of(clusters, key).select("cluster_id", "parent")
+    return children.join(heads, "cluster_id").select("cluster_id", "parent", quoted(key).alias("child"))
 
 
 def cluster_groups(clusters: DataFrame, key: str, group_children: int = GROUP_CHILDREN) -> DataFrame:
@@ -75,25 +75,15 @@ def cluster_groups(clusters: DataFrame, key: str, group_children: int = GROUP_CH
     A centre without children has one empty array. Clusters of more than ``group_children`` members are spread by hash over
     as many rows as they need, so that no array grows with the table; ``cluster_members`` is the flat form.
     """
-    children = clusters.where(~F.col("is_center") & quoted(key).isNotNull()).select(
-        "cluster_id", quoted(key).alias("child")
+    members = clusters.where(F.col("is_center").isNotNull() & quoted(key).isNotNull()).select(
+        "cluster_id", "is_center", quoted(key).alias("_member")
     )
-    sizes = children.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_n"))
-    heads = cluster_centers_of(clusters, key).join(sizes, "cluster_id", "left")
-    parts = F.ceil(F.col("_n") / F.lit(group_children))
-    placed = children.join(heads, "cluster_id").withColumn(
-        "part", (id_hash("child", "part", 0) % parts).cast("int")
-    )
-    groups = (
+    parts = F.greatest(F.ceil(F.col("n_children") / F.lit(group_children)), F.lit(1))
+    part = F.when(F.col("is_center"), F.lit(0)).otherwise(id_hash("_member", "part", 0) % parts)
+    placed = members.join(cluster_centers_of(clusters, key), "cluster_id").withColumn("part", part.cast("int"))
+    children = F.collect_list(F.when(~F.col("is_center"), F.col("_member")))
+    return (
         placed.groupBy("cluster_id", "parent", "part", "multiple_centers")
-        .agg(F.array_sort(F.collect_list("child")).alias("children"))
+        .agg(F.array_sort(children).alias("children"))
         .select("cluster_id", "parent", "part", "children", "multiple_centers")
     )
-    lone = heads.where(F.col("_n").isNull()).select(
-        "cluster_id",
-        "parent",
-        F.lit(0).alias("part"),
-        F.array().cast(groups.schema["children"].dataType).alias("children"),
-        "multiple_centers",
-    )
-    return groups.unionAll(lone)

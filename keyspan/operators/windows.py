@@ -2,9 +2,9 @@
 
 A series is the rows of one key in the order of a date column, ties broken by a row id. Most keys have short series, and one
 shuffle on the key puts each of them, sorted, into a task. A key with more than ``split_rows`` rows would make that task the
-bottleneck, so when there is one, the rows are sorted globally instead, numbered, and cut into blocks of ``split_rows``
-consecutive rows; each block also gets copies of the few rows before it that its first windows reach back to. No task then
-holds more than a block, whatever the distribution of the keys.
+bottleneck. The rows of such keys are sorted globally, numbered, and cut into blocks of ``split_rows`` consecutive rows; each
+block also gets copies of the few rows before it that its first windows reach back to. No task then holds more than a block
+of a series, whatever the distribution of the keys.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyspan.operators.frames import filter_keys, quoted
-from keyspan.sources.storage import checkpointed
+from keyspan.sources.storage import written
 
 SPLIT_ROWS = 1_000_000
 # Most entries of one array in a result row; longer series continue in further rows (``part`` 1, 2, ...).
@@ -23,6 +23,8 @@ ARRAY_ROWS = 100_000
 
 # monotonically_increasing_id keeps the partition number above this many bits and the row number below.
 ROW_BITS = 33
+# Block number of the series that are not cut.
+WHOLE = -1
 
 
 def _series_rows(df: DataFrame, key: str, order: str, feature: str, row_id: str | list[str]) -> DataFrame:
@@ -36,16 +38,16 @@ def _series_rows(df: DataFrame, key: str, order: str, feature: str, row_id: str
     ).where(F.col("_key").isNotNull() & F.col("_value").isNotNull())
 
 
-def has_long_series(df: DataFrame, key: str, split_rows: int) -> bool:
-    """Whether any key has more than ``split_rows`` rows. Reads the key column only, combines before the shuffle."""
+def long_series(df: DataFrame, key: str, split_rows: int) -> DataFrame:
+    """Keys with more than ``split_rows`` rows. Reads the key column only, combines before the shuffle."""
     keyed = df.select(quoted(key).alias("_key")).where(F.col("_key").isNotNull())
     counts = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
-    return not counts.where(F.col("_n") > split_rows).isEmpty()
+    return counts.where(F.col("_n") > split_rows).select("_key")
 
 
 def _in_blocks(rows: DataFrame, reach: int, size: int) -> DataFrame:
     """Globally sorted rows in blocks of ``size``, the last ``reach`` of each copied to the next block."""
-    numbered = checkpointed(
+    numbered = written(
         rows.sort("_key", "_date", "_id").withColumn("_at", F.monotonically_increasing_id())
     )
     partition = F.shiftright("_at", ROW_BITS)
@@ -75,9 +77,13 @@ def _lay_out(
     if split_rows is not None and split_rows < 1:
         raise ValueError("split_rows must be at least 1")
     rows = _series_rows(df, key, order, feature, row_id)
-    if split_rows is not None and has_long_series(df, key, split_rows):
-        return _in_blocks(rows, reach, max(split_rows, reach)), ["_key", "_block"]
-    return rows.withColumn("_own", F.lit(True)), ["_key"]
+    if split_rows is None or long_series(df, key, split_rows).isEmpty():
+        return rows.withColumn("_own", F.lit(True)), ["_key"]
+    # Written down, so that Spark knows its size and broadcasts it only if that is small.
+    long_keys = written(long_series(df, key, split_rows))
+    blocks = _in_blocks(rows.join(long_keys, "_key", "left_semi"), reach, max(split_rows, reach))
+    whole = rows.join(long_keys, "_key", "left_anti").withColumns({"_block": F.lit(WHOLE), "_own": F.lit(True)})
+    return blocks.unionByName(whole), ["_key", "_block"]
 
 
 def _check_days(days: int) -> None:

@@ -1,11 +1,10 @@
 """Tables, cluster assignments, JSON text and saved models."""
 
 from keyspan.sources.models import load_models, save_models
-from keyspan.sources.storage import checkpointed, shared_dir, staged_by_key
+from keyspan.sources.storage import shared_dir, staged_by_key, written
 from keyspan.sources.tables import load_clusters, load_stats, load_table, to_json_rows
 
 __all__ = [
-    "checkpointed",
     "load_clusters",
     "load_models",
     "load_stats",
@@ -14,4 +13,5 @@ __all__ = [
     "shared_dir",
     "staged_by_key",
     "to_json_rows",
+    "written",
 ]

@@ -1,4 +1,4 @@
-"""The folder all executors share: reliable checkpoints and tables laid out by key."""
+"""The folder all executors share: tables written in between, and tables laid out by key."""
 
 from __future__ import annotations
 
@@ -27,10 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there: computed once, survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def _new_path(spark: SparkSession, purpose: str) -> str:
+    return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table to the shared folder and go on from there: computed once, survives lost executors.
+
+    Like the files of a checkpoint, the table stays for as long as the folder's owner keeps it.
+    """
+    path = _new_path(df.sparkSession, "written")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _hadoop_path(spark: SparkSession, path: str):
@@ -52,7 +60,7 @@ def staged_by_key(df: DataFrame, key: str) -> Iterator[DataFrame]:
     Rows without a key are left out.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
+    path = _new_path(spark, "staged")
     rows = df.where(df[key].isNotNull())
     rows.hint("rebalance", key).write.partitionBy(key).parquet(path)
     try:

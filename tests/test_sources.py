@@ -3,9 +3,8 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from keyspan.sources import load_models, load_stats, load_table, save_models, shared_dir, staged_by_key, to_json_rows
+from keyspan.sources import load_models, load_stats, load_table, save_models, shared_dir, staged_by_key, to_json_rows, written
 from keyspan.sources.models import load_targets
-from keyspan.sources.storage import checkpointed
 from keyspan.sources.tables import stats_table
 from keyspan.models import trees
 
@@ -53,8 +52,8 @@ def test_no_private_folder_on_a_cluster():
         shared_dir(SimpleNamespace(conf=unset, sparkContext=context))
 
 
-def test_checkpoint_cuts_the_plan(spark):
-    df = checkpointed(spark.range(10).where("id > 3"))
+def test_written_table_cuts_the_plan(spark):
+    df = written(spark.range(10).where("id > 3"))
     assert df.count() == 6 and "Range" not in df._jdf.queryExecution().optimizedPlan().toString()
 
 

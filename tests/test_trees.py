@@ -2,6 +2,8 @@ import pytest
 
 from keyspan.models import transfer, trees
 from keyspan.models.trees import tree_params
+from keyspan.sources import load_models, save_models
+from keyspan.sources.models import load_targets
 
 KEY, FEATURES, LABEL = "k", ["x", "z"], "y"
 
@@ -12,9 +14,9 @@ def data(spark):
     rows = [
         (k, i, float(i % 10), float(i % 3), (float((i * 7919) % 101) if k == "noise" else 10.0 * (i % 10 > 4) + (i % 3)))
         for k in ("a", "b", "c", "noise")
-        for i in range(400)
+        for i in range(2000)
     ]
-    rows += [("a", 999, None, 1.0, 1.0), (None, 1, 1.0, 1.0, 1.0)]
+    rows += [("a", 9999, None, 1.0, 1.0), (None, 1, 1.0, 1.0, 1.0)]
     return spark.createDataFrame(rows, "k string, id int, x double, z double, y double")
 
 
@@ -67,7 +69,7 @@ def clusters(spark):
 
 
 @pytest.mark.parametrize("kind, start", [("random_forest", 0.3), ("gradient_boost", 0.15)])
-def test_parents_and_children(data, clusters, kind, start):
+def test_parents_and_children(spark, data, clusters, kind, start, tmp_path):
     grid = {"maxDepth": [1, 2]}
     parents = transfer.train_parents(data, clusters, kind, *ARGS, grid=grid, folds=2)
     assert set(parents.models) == {"a"}
@@ -90,6 +92,15 @@ def test_parents_and_children(data, clusters, kind, start):
     settings = transfer.hyper_parameters(parents.models["a"], kind)
     assert transfer.hyper_parameters(children.models["b"], kind) == settings
 
+    save_models(parents.models, targets.selectExpr("k", "rmse", "0.0D AS r2"), str(tmp_path))
+    models, missing = load_models(spark, ["a", "gone"], str(tmp_path), kind)
+    assert missing == ["gone"] and transfer.hyper_parameters(models["a"], kind) == settings
+    later = transfer.train_children(data, clusters, models, load_targets(spark, str(tmp_path)), kind, *ARGS)
+    figures = ["k", "round", "fraction", "round(rmse, 9)", "reached"]
+    assert sorted(map(tuple, later.history.selectExpr(*figures).collect())) == sorted(
+        map(tuple, children.history.selectExpr(*figures).collect())
+    )
+
 
 def test_first_key_sets_the_target(data):
     result = transfer.train_from_first(data, "noise, a", *ARGS, max_iter=2, max_depth=1)

@@ -127,6 +127,7 @@ def test_blocks_stay_small(spark):
     df = frame(spark, SKEWED)
     laid, groups = windows._lay_out(df, *ARGS, "id", 2, 6)
     assert groups == ["_key", "_block"]
-    largest = laid.groupBy("_block").count().agg(F.max("count")).first()[0]
+    largest = laid.groupBy(*groups).count().agg(F.max("count")).first()[0]
     assert largest <= 6 + 2
+    assert {r[0] for r in laid.where("_block >= 0").select("_key").distinct().collect()} == {"hot"}
     assert laid.where("_own").count() == len([r for r in SKEWED if r[0] is not None and r[3] is not None])
