@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import MinMaxScaler, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -12,12 +12,28 @@ def assemble(df: DataFrame, features: list[str], output: str = "features") -> Da
     return VectorAssembler(inputCols=list(features), outputCol=output, handleInvalid="error").transform(df)
 
 
-def scaled_vectors(df: DataFrame, features: list[str], output: str = "features") -> DataFrame:
-    """Add ``output``, the feature columns scaled to [0, 1] as one vector."""
-    raw = f"{output}_raw"
-    rows = assemble(df, features, raw)
-    scaler = MinMaxScaler(inputCol=raw, outputCol=output).fit(rows)
-    return scaler.transform(rows).drop(raw)
+def _extent(df: DataFrame, features: list[str]) -> Row:
+    """Rows, and smallest and largest value of every feature: a single row of numbers, in one pass."""
+    return df.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.min(F.col(c).cast("double")).alias(f"lo{i}") for i, c in enumerate(features)],
+        *[F.max(F.col(c).cast("double")).alias(f"hi{i}") for i, c in enumerate(features)],
+    ).first()
+
+
+def _scaled(column: str, lo: float | None, hi: float | None) -> Column:
+    x = F.col(column).cast("double")
+    if lo is None:
+        return F.lit(None).cast("double")
+    if lo == hi:
+        return F.when(x.isNotNull(), F.lit(0.5))
+    return (x - F.lit(lo)) / F.lit(hi - lo)
+
+
+def _minmax(df: DataFrame, features: list[str]) -> tuple[DataFrame, int]:
+    extent = _extent(df, features)
+    columns = {c: _scaled(c, extent[f"lo{i}"], extent[f"hi{i}"]) for i, c in enumerate(features)}
+    return df.withColumns(columns), extent["n"]
 
 
 def minmax_scale(df: DataFrame, features: list[str]) -> DataFrame:
@@ -25,18 +41,10 @@ def minmax_scale(df: DataFrame, features: list[str]) -> DataFrame:
 
     One aggregate finds the bounds (two numbers per feature reach the driver), the scaling itself is a projection.
     """
-    bounds = df.agg(
-        *[F.min(F.col(c).cast("double")).alias(f"lo{i}") for i, c in enumerate(features)],
-        *[F.max(F.col(c).cast("double")).alias(f"hi{i}") for i, c in enumerate(features)],
-    ).first()
-    scaled = {}
-    for i, c in enumerate(features):
-        lo, hi = bounds[f"lo{i}"], bounds[f"hi{i}"]
-        x = F.col(c).cast("double")
-        if lo is None:
-            scaled[c] = F.lit(None).cast("double")
-        elif lo == hi:
-            scaled[c] = F.when(x.isNotNull(), F.lit(0.5))
-        else:
-            scaled[c] = (x - F.lit(lo)) / F.lit(hi - lo)
-    return df.withColumns(scaled)
+    return _minmax(df, features)[0]
+
+
+def scaled_vectors(df: DataFrame, features: list[str], output: str = "features") -> tuple[DataFrame, int]:
+    """``df`` with the scaled features as one vector ``output`` in their place, and its number of rows."""
+    scaled, n_rows = _minmax(df, features)
+    return assemble(scaled, features, output).drop(*features), n_rows

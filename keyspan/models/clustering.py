@@ -1,4 +1,8 @@
-"""Clustering recipes: drop incomplete rows, scale the features to [0, 1], fit, and assign a cluster to every key."""
+"""Clustering recipes: drop incomplete rows, scale the features to [0, 1], fit, and assign a cluster to every key.
+
+Where the key names a single row, ``unique_key`` lays the rows out by it, and the same seed gives the same clusters again. With
+repeated keys that layout could put most rows into one task, so it is not the default.
+"""
 
 from __future__ import annotations
 
@@ -8,13 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyspan.functions.scaling import scaled_vectors
-from keyspan.operators.frames import drop_incomplete, select_columns
+from keyspan.models.layout import laid_out
+from keyspan.operators.frames import drop_incomplete, quoted, select_columns
 
 
-def prepared(df: DataFrame, key: str, features: list[str]) -> DataFrame:
-    """``(key, features)`` with the scaled feature vector, rows with a null left out."""
+def prepared(df: DataFrame, key: str, features: list[str]) -> tuple[DataFrame, int]:
+    """``(key, features)`` with the scaled feature vector, rows with a null left out, and their number."""
     rows = drop_incomplete(select_columns(df, key, features), [key, *features])
-    return scaled_vectors(rows, features, "scaled").select(F.col(key), F.col("scaled").alias("features"))
+    # Under other names, so that a feature may itself be called ``features``.
+    inputs = [f"_f{i}" for i in range(len(features))]
+    rows = rows.select(quoted(key), *[quoted(c).alias(i) for c, i in zip(features, inputs)])
+    return scaled_vectors(rows, inputs)
 
 
 def _check_k(k: int, at_least: int) -> None:
@@ -22,61 +30,66 @@ def _check_k(k: int, at_least: int) -> None:
         raise ValueError(f"cluster count must be at least {at_least}, not {k}")
 
 
-def _fit(estimator, df: DataFrame, key: str, features: list[str]):
+def _fit(estimator, df: DataFrame, key: str, features: list[str], unique_key: bool):
     """The fitted model and the rows it was fitted on. The iterations read the prepared rows from memory or disk."""
-    rows = prepared(df, key, features).persist()
+    rows, n_rows = prepared(df, key, features)
+    training = (laid_out(rows, n_rows, [key]) if unique_key else rows).persist()
     try:
-        model = estimator.fit(rows)
+        model = estimator.fit(training)
     finally:
-        rows.unpersist()
+        training.unpersist()
     return model, rows
 
 
-def fit_kmeans(df, key, features, k, max_iter=20, seed=1):
+def fit_kmeans(df, key, features, k, max_iter=20, seed=1, unique_key=False):
     _check_k(k, 2)
-    return _fit(KMeans(k=k, maxIter=max_iter, seed=seed), df, key, features)
+    return _fit(KMeans(k=k, maxIter=max_iter, seed=seed), df, key, features, unique_key)
 
 
-def fit_bisecting_kmeans(df, key, features, k, max_iter=20, seed=1):
+def fit_bisecting_kmeans(df, key, features, k, max_iter=20, seed=1, unique_key=False):
     _check_k(k, 2)
-    return _fit(BisectingKMeans(k=k, maxIter=max_iter, seed=seed), df, key, features)
+    return _fit(BisectingKMeans(k=k, maxIter=max_iter, seed=seed), df, key, features, unique_key)
 
 
-def fit_gaussian_mixture(df, key, features, k, max_iter=100, seed=1):
+def fit_gaussian_mixture(df, key, features, k, max_iter=100, seed=1, unique_key=False):
     _check_k(k, 2)
-    return _fit(GaussianMixture(k=k, maxIter=max_iter, seed=seed), df, key, features)
+    return _fit(GaussianMixture(k=k, maxIter=max_iter, seed=seed), df, key, features, unique_key)
 
 
-def fit_lda(df, key, features, k, max_iter=20, seed=1):
+def fit_lda(df, key, features, k, max_iter=20, seed=1, unique_key=False):
     _check_k(k, 2)
-    return _fit(LDA(k=k, maxIter=max_iter, seed=seed), df, key, features)
+    return _fit(LDA(k=k, maxIter=max_iter, seed=seed), df, key, features, unique_key)
 
 
-def kmeans(df: DataFrame, key: str, features: list[str], k: int, max_iter: int = 20, seed: int = 1) -> DataFrame:
+def kmeans(
+    df: DataFrame, key: str, features: list[str], k: int, max_iter: int = 20, seed: int = 1, unique_key: bool = False
+) -> DataFrame:
     """``(key, prediction)`` by k-means."""
-    model, rows = fit_kmeans(df, key, features, k, max_iter, seed)
+    model, rows = fit_kmeans(df, key, features, k, max_iter, seed, unique_key)
     return model.transform(rows).select(key, "prediction")
 
 
 def bisecting_kmeans(
-    df: DataFrame, key: str, features: list[str], k: int, max_iter: int = 20, seed: int = 1
+    df: DataFrame, key: str, features: list[str], k: int, max_iter: int = 20, seed: int = 1, unique_key: bool = False
 ) -> DataFrame:
     """``(key, prediction)`` by bisecting k-means."""
-    model, rows = fit_bisecting_kmeans(df, key, features, k, max_iter, seed)
+    model, rows = fit_bisecting_kmeans(df, key, features, k, max_iter, seed, unique_key)
     return model.transform(rows).select(key, "prediction")
 
 
 def gaussian_mixture(
-    df: DataFrame, key: str, features: list[str], k: int, max_iter: int = 100, seed: int = 1
+    df: DataFrame, key: str, features: list[str], k: int, max_iter: int = 100, seed: int = 1, unique_key: bool = False
 ) -> DataFrame:
     """``(key, prediction)``, the most probable component of a Gaussian mixture."""
-    model, rows = fit_gaussian_mixture(df, key, features, k, max_iter, seed)
+    model, rows = fit_gaussian_mixture(df, key, features, k, max_iter, seed, unique_key)
     return model.transform(rows).select(key, "prediction")
 
 
-def lda(df: DataFrame, key: str, features: list[str], k: int, max_iter: int = 20, seed: int = 1) -> DataFrame:
+def lda(
+    df: DataFrame, key: str, features: list[str], k: int, max_iter: int = 20, seed: int = 1, unique_key: bool = False
+) -> DataFrame:
     """``(key, prediction, topic_distribution[])`` by latent Dirichlet allocation; the prediction is the largest topic."""
-    model, rows = fit_lda(df, key, features, k, max_iter, seed)
+    model, rows = fit_lda(df, key, features, k, max_iter, seed, unique_key)
     topics = model.transform(rows).select(key, vector_to_array("topicDistribution").alias("topic_distribution"))
     largest = F.array_position("topic_distribution", F.array_max("topic_distribution")) - 1
     return topics.select(key, largest.cast("int").alias("prediction"), "topic_distribution")

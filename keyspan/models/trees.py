@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import product
-from math import ceil
 
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 from keyspan.functions.metrics import regression_metrics
 from keyspan.functions.sampling import below, id_hash, nth_fold
 from keyspan.functions.scaling import assemble
+from keyspan.models.layout import laid_out
 from keyspan.models.per_key import distinct_keys, fit_each_key
 from keyspan.models.rules import Rule, apply_rules, between, is_bool, not_blank
 from keyspan.operators.frames import drop_incomplete, filter_keys, quoted
@@ -29,9 +29,6 @@ from keyspan.sources.storage import staged_by_key
 # Three independent draws per row; together they also stand for the row's id.
 DRAWS = ("split", "sample", "fold")
 DRAW_COLUMNS = [f"_{purpose}" for purpose in DRAWS]
-# Training rows per task: not worth another task below the first, too many for one beyond the second.
-FEW_ROWS = 20_000
-MANY_ROWS = 2_000_000
 TIE = 1e-9
 
 # Request parameter, Spark ML parameter, accepted values, value used otherwise (none: Spark's own default).
@@ -123,17 +120,6 @@ def rows_of(table: DataFrame, key: str, value) -> DataFrame:
     return table.where(quoted(key) == F.lit(value)).drop(key)
 
 
-def laid_out(rows: DataFrame, n_rows: int) -> DataFrame:
-    """Rows in partitions and an order given by their draws: sampling inside the trainer then repeats itself.
-
-    The number of partitions follows the number of rows: the session's shuffle partitions, fewer for few rows, more where
-    a task would get too many.
-    """
-    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    partitions = max(min(ceil(n_rows / FEW_ROWS), usual), ceil(n_rows / MANY_ROWS))
-    return rows.repartition(partitions, *DRAW_COLUMNS).sortWithinPartitions(*DRAW_COLUMNS)
-
-
 def sampled(rows: DataFrame, fraction: float) -> DataFrame:
     return rows.where(below(F.col("_sample"), fraction))
 
@@ -143,7 +129,7 @@ def _training_rows(rows: DataFrame, train_split: float) -> tuple[DataFrame | Non
     in_train = below(F.col("_split"), train_split)
     train, test = rows.where(in_train), rows.where(~in_train)
     n_rows = train.count()
-    return (laid_out(train, n_rows) if n_rows else None), test
+    return (laid_out(train, n_rows, DRAW_COLUMNS) if n_rows else None), test
 
 
 def accuracy(model, test: DataFrame) -> tuple[float | None, float | None]:

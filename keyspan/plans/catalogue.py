@@ -16,7 +16,9 @@ from keyspan.models.components import components_for, explained_variance
 from keyspan.models.linear import linear_regression
 from keyspan.operators import frames, summaries, windows
 from keyspan.operators.joins import Query, compound, dedupe_last, with_parent
-from keyspan.sources.tables import load_table, to_json_rows
+from keyspan.sources.models import load_models, load_targets, save_models
+from keyspan.sources.storage import new_path
+from keyspan.sources.tables import load_clusters, load_table, to_json_rows
 
 DAYS = 7
 LINE_ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -195,6 +197,14 @@ def mean_by_key(spark: SparkSession, directory: str) -> DataFrame:
     return means.select("user_id", _rounded("mean", 6))
 
 
+def mean_over_dates(spark: SparkSession, directory: str) -> DataFrame:
+    """The mean of the user with the most events."""
+    events = load_table(spark, directory, "events")
+    busiest = events.groupBy("user_id").count().orderBy(F.desc("count"), "user_id").first()["user_id"]
+    means = summaries.mean_over_dates(events, "user_id", busiest, "value", "ts", "2024-01-05", "2024-01-25")
+    return means.select(F.lit(busiest).alias("user_id"), _rounded("mean", 6))
+
+
 def _supplier_clusters(spark: SparkSession, directory: str, key: str = "s_suppkey") -> DataFrame:
     """Suppliers by nation; the lowest number of a nation is its centre."""
     members = load_table(spark, directory, "supplier").select(
@@ -220,6 +230,15 @@ def cluster_groups(spark: SparkSession, directory: str) -> DataFrame:
     return groups.withColumn("children", F.array_join("children", ","))
 
 
+def cluster_file(spark: SparkSession, directory: str) -> DataFrame:
+    """The same groups by way of a cluster file."""
+    path = new_path(spark, "clusters")
+    _supplier_clusters(spark, directory, "gis_join").write.csv(path, header=True)
+    clusters = load_clusters(spark, path, key="s_suppkey").withColumn("s_suppkey", F.col("s_suppkey").cast("bigint"))
+    groups = summaries.cluster_groups(clusters, "s_suppkey")
+    return groups.withColumn("children", F.array_join("children", ","))
+
+
 def cluster_members(spark: SparkSession, directory: str) -> DataFrame:
     return summaries.cluster_members(_supplier_clusters(spark, directory), "s_suppkey")
 
@@ -292,9 +311,9 @@ def _line_fits(spark, directory, feature="l_quantity", **params) -> DataFrame:
     return linear_regression(lines, "l_suppkey", feature, "l_extendedprice", **params)
 
 
-def _fit_report(fits: DataFrame, slope_digits: int = 4) -> DataFrame:
+def _fit_report(fits: DataFrame, slope_digits: int = 4, key: str = "l_suppkey") -> DataFrame:
     return fits.select(
-        "l_suppkey",
+        key,
         _rounded("rmse", 3),
         _rounded("r2", 8),
         _rounded("intercept", 2),
@@ -338,7 +357,7 @@ def prediction_metrics(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-# Iterative fits of the same regression, one per return flag (their answers have no SQL form)
+# Iterative fits of the same regression, one per return flag
 
 
 def linear_regression_huber(spark: SparkSession, directory: str) -> DataFrame:
@@ -348,9 +367,10 @@ def linear_regression_huber(spark: SparkSession, directory: str) -> DataFrame:
 
 def linear_regression_history(spark: SparkSession, directory: str) -> DataFrame:
     lines = load_table(spark, directory, "lineitem")
-    return linear_regression(
+    fits = linear_regression(
         lines, "l_returnflag", "l_quantity", "l_extendedprice", reg_param=0.3, elastic_net=0.5, history=True
     )
+    return _fit_report(fits, 3, "l_returnflag").withColumn("rmse", F.round("rmse", 2))
 
 
 # Clustering
@@ -365,41 +385,41 @@ def _customer_features(spark, directory) -> DataFrame:
     return customers.join(spending, "c_custkey", "left")
 
 
+def _cluster_args(spark, directory) -> tuple:
+    return _customer_features(spark, directory), "c_custkey", CUSTOMER_FEATURES
+
+
 def kmeans(spark: SparkSession, directory: str) -> DataFrame:
-    return clustering.kmeans(_customer_features(spark, directory), "c_custkey", CUSTOMER_FEATURES, k=10)
+    return clustering.kmeans(*_cluster_args(spark, directory), k=10, unique_key=True)
 
 
 def bisecting_kmeans(spark: SparkSession, directory: str) -> DataFrame:
-    return clustering.bisecting_kmeans(_customer_features(spark, directory), "c_custkey", CUSTOMER_FEATURES, k=10)
+    return clustering.bisecting_kmeans(*_cluster_args(spark, directory), k=10, unique_key=True)
 
 
 def gaussian_mixture(spark: SparkSession, directory: str) -> DataFrame:
-    return clustering.gaussian_mixture(
-        _customer_features(spark, directory), "c_custkey", CUSTOMER_FEATURES, k=4, max_iter=30
-    )
+    return clustering.gaussian_mixture(*_cluster_args(spark, directory), k=4, max_iter=30, unique_key=True)
 
 
 def lda(spark: SparkSession, directory: str) -> DataFrame:
-    answers = clustering.lda(_customer_features(spark, directory), "c_custkey", CUSTOMER_FEATURES, k=4, max_iter=10)
+    answers = clustering.lda(*_cluster_args(spark, directory), k=4, max_iter=10, unique_key=True)
     return answers.select("c_custkey", "prediction")
 
 
 def kmeans_centers(spark: SparkSession, directory: str) -> DataFrame:
-    model, rows = clustering.fit_kmeans(_customer_features(spark, directory), "c_custkey", CUSTOMER_FEATURES, k=10)
+    model, rows = clustering.fit_kmeans(*_cluster_args(spark, directory), k=10, unique_key=True)
     return clustering.cluster_centers(model, rows)
 
 
 def mixture_components(spark: SparkSession, directory: str) -> DataFrame:
     model, rows = clustering.fit_gaussian_mixture(
-        _customer_features(spark, directory), "c_custkey", CUSTOMER_FEATURES, k=4, max_iter=30
+        *_cluster_args(spark, directory), k=4, max_iter=30, unique_key=True
     )
     return clustering.gaussians(model, rows)
 
 
 def lda_bounds(spark: SparkSession, directory: str) -> DataFrame:
-    model, rows = clustering.fit_lda(
-        _customer_features(spark, directory), "c_custkey", CUSTOMER_FEATURES, k=4, max_iter=10
-    )
+    model, rows = clustering.fit_lda(*_cluster_args(spark, directory), k=4, max_iter=10, unique_key=True)
     return clustering.lda_quality(model, rows)
 
 
@@ -507,6 +527,18 @@ def _children(spark, directory, kind: str) -> DataFrame:
     return _rounds(children.history)
 
 
+def random_forest_saved(spark: SparkSession, directory: str) -> DataFrame:
+    """Children of parents that were saved and loaded again."""
+    lines, clusters, rest, parents = _parents(spark, directory, "random_forest")
+    folder = new_path(spark, "models")
+    save_models(parents.models, parents.metrics, folder)
+    models, _ = load_models(spark, sorted(parents.models), folder, "random_forest")
+    children = transfer.train_children(
+        lines, clusters, models, load_targets(spark, folder), "random_forest", *rest
+    )
+    return _rounds(children.history)
+
+
 def random_forest_transfer(spark: SparkSession, directory: str) -> DataFrame:
     return _children(spark, directory, "random_forest")
 
@@ -550,8 +582,10 @@ QUERIES = {
         minmax_scaled,
         count_tables,
         mean_by_key,
+        mean_over_dates,
         key_summary,
         cluster_groups,
+        cluster_file,
         cluster_members,
         last_orders,
         compound_inner,
@@ -584,6 +618,7 @@ QUERIES = {
         random_forest_exhaustive,
         gradient_boost_exhaustive,
         random_forest_transfer,
+        random_forest_saved,
         gradient_boost_transfer,
         gradient_boost_from_first,
         gradient_boost_until,

@@ -1,6 +1,6 @@
 """The catalogue's queries as SQL for DuckDB, written from the definitions and not from the Spark plans.
 
-Left out are the queries whose answers SQL cannot find: clusterings, deep trees and iterative regressions.
+Left out are the queries whose answers SQL cannot find: clusterings, deep trees and the Huber regression.
 """
 
 from __future__ import annotations
@@ -141,6 +141,13 @@ SELECT user_id, round(avg(value), 6) AS mean FROM events
 WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25' GROUP BY user_id
 """
 
+MEAN_OVER_DATES = """
+WITH busiest AS (SELECT user_id FROM events GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 1)
+SELECT user_id, round(avg(value), 6) AS mean FROM events
+WHERE user_id = (SELECT user_id FROM busiest) AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25'
+GROUP BY user_id
+"""
+
 CENTERS = "SELECT s_nationkey, min(s_suppkey) AS parent FROM supplier GROUP BY s_nationkey"
 
 CHILDREN = f"""
@@ -226,6 +233,8 @@ def _regression(
     standardized: bool = True,
     intercept: bool = True,
     slope_digits: int = 4,
+    rmse_digits: int = 3,
+    key: str = "l_suppkey",
 ) -> str:
     """Minimiser of the elastic-net objective in one variable, solved by hand."""
     xy, xx, yy = ("covar_pop(x, y)", "var_pop(x)", "var_pop(y)")
@@ -238,13 +247,13 @@ def _regression(
         l1 = f"{reg * alpha}"
     return f"""
 WITH m AS (
-    SELECT l_suppkey, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, stddev_pop(y) AS sy,
+    SELECT {key}, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, stddev_pop(y) AS sy,
            {xy} AS xy, {xx} AS xx, {yy} AS yy
-    FROM (SELECT l_suppkey, {x} AS x, l_extendedprice AS y FROM lineitem) GROUP BY l_suppkey
+    FROM (SELECT {key}, {x} AS x, l_extendedprice AS y FROM lineitem) GROUP BY {key}
 ), fit AS (
     SELECT *, sign(xy) * greatest(abs(xy) - {l1}, 0) / (xx + {l2}) AS b FROM m
 )
-SELECT l_suppkey, round(sqrt(yy - 2 * b * xy + b * b * xx), 3) AS rmse,
+SELECT {key}, round(sqrt(yy - 2 * b * xy + b * b * xx), {rmse_digits}) AS rmse,
        round(CASE WHEN b = 0 THEN 0 ELSE 1 - (yy - 2 * b * xy + b * b * xx) / yy END, 8) AS r2,
        round({"my - b * mx" if intercept else "0.0"}, 2) AS intercept,
        round(b, {slope_digits}) AS slope
@@ -548,8 +557,10 @@ ORACLES = {
     "minmax_scaled": MINMAX_SCALED,
     "count_tables": COUNT_TABLES,
     "mean_by_key": MEAN_BY_KEY,
+    "mean_over_dates": MEAN_OVER_DATES,
     "key_summary": KEY_SUMMARY,
     "cluster_groups": CLUSTER_GROUPS,
+    "cluster_file": CLUSTER_GROUPS,
     "cluster_members": CHILDREN,
     "last_orders": LAST_ORDERS,
     "compound_inner": PURCHASES,
@@ -562,6 +573,9 @@ ORACLES = {
     "linear_regression_elastic": _regression(reg=10.0, alpha=0.8, standardized=False),
     "linear_regression_origin": _regression(reg=0.5, intercept=False),
     "linear_regression_time": _regression("epoch(l_shipdate)", slope_digits=10),
+    "linear_regression_history": _regression(
+        reg=0.3, alpha=0.5, slope_digits=3, rmse_digits=2, key="l_returnflag"
+    ),
     "prediction_metrics": PREDICTION_METRICS,
     "principal_components": PRINCIPAL_COMPONENTS,
     "random_forest_stump": RANDOM_FOREST_STUMP,
@@ -571,6 +585,7 @@ ORACLES = {
     "random_forest_exhaustive": f"WITH {RF_PARENTS} {SCORES}",
     "gradient_boost_exhaustive": f"WITH {GBT_PARENTS} {SCORES}",
     "random_forest_transfer": RANDOM_FOREST_TRANSFER,
+    "random_forest_saved": RANDOM_FOREST_TRANSFER,
     "gradient_boost_transfer": GRADIENT_BOOST_TRANSFER,
     "gradient_boost_from_first": GRADIENT_BOOST_FROM_FIRST,
     "gradient_boost_until": GRADIENT_BOOST_UNTIL,

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,7 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
-def _new_path(spark: SparkSession, purpose: str) -> str:
+def new_path(spark: SparkSession, purpose: str) -> str:
+    """A path in the shared folder that nobody else uses."""
     return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -36,7 +38,7 @@ def written(df: DataFrame) -> DataFrame:
 
     Like the files of a checkpoint, the table stays for as long as the folder's owner keeps it.
     """
-    path = _new_path(df.sparkSession, "written")
+    path = new_path(df.sparkSession, "written")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -60,8 +62,8 @@ def staged_by_key(df: DataFrame, key: str) -> Iterator[DataFrame]:
     Rows without a key are left out.
     """
     spark = df.sparkSession
-    path = _new_path(spark, "staged")
-    rows = df.where(df[key].isNotNull())
+    path = new_path(spark, "staged")
+    rows = df.where(F.col(f"`{key}`").isNotNull())
     rows.hint("rebalance", key).write.partitionBy(key).parquet(path)
     try:
         yield spark.read.schema(rows.schema).parquet(path).select(*rows.columns)

@@ -18,8 +18,9 @@ def load_table(
     fmt: str = "parquet",
     schema: str | None = None,
     options: dict[str, str] | None = None,
+    suffix: str | None = None,
 ) -> DataFrame:
-    """The collection ``name``, stored as ``<directory>/<name>.<fmt>``.
+    """The collection ``name``, stored as ``<directory>/<name>.<fmt>`` (or with another ``suffix``, ``""`` for none).
 
     With ``directory=None`` the format is an installed connector (a document store, a database) that finds the
     collection through ``options`` alone.
@@ -29,7 +30,8 @@ def load_table(
         reader = reader.schema(schema)
     if directory is None:
         return reader.load()
-    return reader.load(f"{directory.rstrip('/')}/{name}.{fmt}")
+    ending = f".{fmt}" if suffix is None else suffix
+    return reader.load(f"{directory.rstrip('/')}/{name}{ending}")
 
 
 def stats_table(resolution: str) -> str:

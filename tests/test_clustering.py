@@ -28,6 +28,15 @@ def test_every_complete_row_gets_a_cluster(customers, name):
     assert {r["prediction"] for r in got} <= {0, 1, 2}
 
 
+@pytest.mark.parametrize("name", METHODS)
+def test_same_seed_same_clusters(customers, name):
+    settings = dict(k=3, max_iter=5, seed=7, unique_key=True)
+    first = METHODS[name](customers, "c_custkey", FEATURES, **settings)
+    again = METHODS[name](customers.repartition(5), "c_custkey", FEATURES, **settings)
+    columns = ["c_custkey", "prediction"]
+    assert sorted(map(tuple, first.select(columns).collect())) == sorted(map(tuple, again.select(columns).collect()))
+
+
 @pytest.mark.parametrize("name", METHODS)
 @pytest.mark.parametrize("k", [0, 1])
 def test_too_few_clusters(customers, name, k):

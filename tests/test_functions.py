@@ -1,9 +1,10 @@
 import pytest
+from pyspark.ml.feature import MinMaxScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.sql import functions as F
 
-from keyspan.functions import minmax_scale, regression_metrics, sample_fraction, scaled_vectors, split
+from keyspan.functions import assemble, minmax_scale, regression_metrics, sample_fraction, scaled_vectors, split
 from keyspan.functions.sampling import fold_of, in_fraction
 
 
@@ -55,5 +56,10 @@ def test_scaling(spark):
     df = spark.createDataFrame([(1, 5.0, 3), (2, 5.0, 5), (3, 5.0, 4), (4, None, None)], "id int, same double, n int")
     got = {r["id"]: (r["same"], r["n"]) for r in minmax_scale(df, ["same", "n"]).collect()}
     assert got == {1: (0.5, 0.0), 2: (0.5, 1.0), 3: (0.5, 0.5), 4: (None, None)}
-    vectors = scaled_vectors(df.na.drop(), ["same", "n"]).select("id", vector_to_array("features").alias("v"))
-    assert {r["id"]: tuple(r["v"]) for r in vectors.collect()} == {i: v for i, v in got.items() if i != 4}
+    complete = df.na.drop()
+    vectors, n_rows = scaled_vectors(complete, ["same", "n"])
+    ours = {r["id"]: tuple(r["v"]) for r in vectors.select("id", vector_to_array("features").alias("v")).collect()}
+    assert n_rows == 3 and ours == {i: v for i, v in got.items() if i != 4}
+    raw = assemble(complete, ["same", "n"], "raw")
+    theirs = MinMaxScaler(inputCol="raw", outputCol="out").fit(raw).transform(raw)
+    assert ours == {r["id"]: tuple(r["v"]) for r in theirs.select("id", vector_to_array("out").alias("v")).collect()}

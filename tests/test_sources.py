@@ -17,6 +17,7 @@ def test_formats(spark, tmp_path):
     for fmt, options in (("json", {}), ("csv", {"header": "true"}), ("parquet", {})):
         got = load_table(spark, str(tmp_path), "t", fmt, schema="id int, v string", options=options)
         assert sorted(map(tuple, got.collect())) == [(1, "a"), (2, None)]
+    assert load_table(spark, str(tmp_path), "t.parquet", suffix="").count() == 2
 
 
 def test_connector_without_directory(spark):
