@@ -11,7 +11,14 @@ from keyspan.models.clustering import (
 )
 from keyspan.models.components import components_for_variance
 from keyspan.models.linear import linear_regression, lr_params
-from keyspan.models.transfer import train_children, train_from_first, train_incremental, train_parents, train_until
+from keyspan.models.transfer import (
+    ensemble,
+    train_children,
+    train_from_first,
+    train_incremental,
+    train_parents,
+    train_until,
+)
 from keyspan.models.trees import (
     gradient_boost,
     gradient_boost_exhaustive,
@@ -24,6 +31,7 @@ __all__ = [
     "bisecting_kmeans",
     "cluster_centers",
     "components_for_variance",
+    "ensemble",
     "gaussian_mixture",
     "gaussians",
     "gradient_boost",

@@ -24,6 +24,7 @@ from keyspan.models.trees import (
     tree_params,
 )
 from keyspan.operators.summaries import cluster_centers_of, cluster_members
+from keyspan.sources.models import load_models, load_targets, save_models
 
 # The share of a child's rows the first round uses.
 START_FRACTION = {"random_forest": 0.3, "gradient_boost": 0.15}
@@ -102,6 +103,11 @@ def _transferred(df: DataFrame, key: str, jobs: list, answers: list, before: lis
     )
 
 
+def parent_keys(clusters: DataFrame, key: str) -> list:
+    """The centres, in order: one model each."""
+    return sorted(r[0] for r in cluster_centers_of(clusters, key).select("parent").distinct().collect())
+
+
 def train_parents(
     df: DataFrame,
     clusters: DataFrame,
@@ -113,8 +119,7 @@ def train_parents(
     **search,
 ) -> Trained:
     """Exhaustive training (``kind`` random_forest or gradient_boost) of the centre of every cluster."""
-    centers = [r[0] for r in cluster_centers_of(clusters, key).select("parent").distinct().collect()]
-    return EXHAUSTIVE[kind](df, key, features, label, row_id, keys=sorted(centers), **search)
+    return EXHAUSTIVE[kind](df, key, features, label, row_id, keys=parent_keys(clusters, key), **search)
 
 
 def train_children(
@@ -158,6 +163,35 @@ def train_children(
     return _transferred(df, key, trainable, answers, [], skipped)
 
 
+def ensemble(
+    df: DataFrame,
+    clusters: DataFrame,
+    kind: str,
+    mode: str,
+    directory: str,
+    key: str,
+    features: list[str],
+    label: str,
+    row_id: str | list[str],
+    **options,
+) -> Trained | Transferred:
+    """The two halves of the workflow, with the parents kept in ``directory`` in between.
+
+    ``mode="exhaustive"`` trains and saves the parents; ``mode="transfer"`` loads them and trains the children. Children of a
+    parent that is not there are listed as skipped.
+    """
+    if mode == "exhaustive":
+        parents = train_parents(df, clusters, kind, key, features, label, row_id, **options)
+        save_models(parents.models, parents.metrics, directory)
+        return parents
+    if mode != "transfer":
+        raise ValueError(f"unknown mode {mode!r}, expected 'exhaustive' or 'transfer'")
+    spark = df.sparkSession
+    models, _ = load_models(spark, parent_keys(clusters, key), directory, kind)
+    targets = load_targets(spark, directory)
+    return train_children(df, clusters, models, targets, kind, key, features, label, row_id, **options)
+
+
 def train_from_first(
     df: DataFrame,
     keys: list | str,

@@ -33,7 +33,7 @@ def _series_rows(df: DataFrame, key: str, order: str, feature: str, row_id: str
     return df.select(
         quoted(key).alias("_key"),
         quoted(order).alias("_date"),
-        F.struct(*[quoted(c) for c in ids]).alias("_id"),
+        F.struct(*[quoted(c).alias(f"_{i}") for i, c in enumerate(ids)]).alias("_id"),
         quoted(feature).cast("double").alias("_value"),
     ).where(F.col("_key").isNotNull() & F.col("_value").isNotNull())
 
@@ -101,7 +101,7 @@ def _averaged(laid: DataFrame, groups: list[str], days: int) -> DataFrame:
 
 def _id_columns(row_id: str | list[str], taken: tuple[str, ...]) -> list[Column]:
     ids = [row_id] if isinstance(row_id, str) else list(row_id)
-    return [F.col("_id")[c].alias(c) for c in ids if c not in taken]
+    return [F.col("_id")[f"_{i}"].alias(c) for i, c in enumerate(ids) if c not in taken]
 
 
 def moving_average(

@@ -16,7 +16,6 @@ from keyspan.models.components import components_for, explained_variance
 from keyspan.models.linear import linear_regression
 from keyspan.operators import frames, summaries, windows
 from keyspan.operators.joins import Query, compound, dedupe_last, with_parent
-from keyspan.sources.models import load_models, load_targets, save_models
 from keyspan.sources.storage import new_path
 from keyspan.sources.tables import load_clusters, load_table, to_json_rows
 
@@ -529,14 +528,11 @@ def _children(spark, directory, kind: str) -> DataFrame:
 
 def random_forest_saved(spark: SparkSession, directory: str) -> DataFrame:
     """Children of parents that were saved and loaded again."""
-    lines, clusters, rest, parents = _parents(spark, directory, "random_forest")
+    lines, *rest = _tree_args(spark, directory)
+    workflow = (lines, _line_clusters(lines), "random_forest")
     folder = new_path(spark, "models")
-    save_models(parents.models, parents.metrics, folder)
-    models, _ = load_models(spark, sorted(parents.models), folder, "random_forest")
-    children = transfer.train_children(
-        lines, clusters, models, load_targets(spark, folder), "random_forest", *rest
-    )
-    return _rounds(children.history)
+    transfer.ensemble(*workflow, "exhaustive", folder, *rest, grid=RF_STUMP_GRID, folds=2, **RF_STUMP)
+    return _rounds(transfer.ensemble(*workflow, "transfer", folder, *rest).history)
 
 
 def random_forest_transfer(spark: SparkSession, directory: str) -> DataFrame:

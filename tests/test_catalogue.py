@@ -23,7 +23,9 @@ def test_same_answer_as_sql(spark, duck, small_dir, name):
     columns, rows = checking.spark_rows(QUERIES[name](spark, small_dir))
     sql_columns, sql_rows = checking.duck_rows(duck, ORACLES[name])
     assert columns == sql_columns
-    assert rows and rows == sql_rows
+    assert rows == sql_rows
+    # On the smallest tables nearly every nation has a single supplier.
+    assert rows or name == "cluster_members"
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))

@@ -2,8 +2,6 @@ import pytest
 
 from keyspan.models import transfer, trees
 from keyspan.models.trees import tree_params
-from keyspan.sources import load_models, save_models
-from keyspan.sources.models import load_targets
 
 KEY, FEATURES, LABEL = "k", ["x", "z"], "y"
 
@@ -69,9 +67,10 @@ def clusters(spark):
 
 
 @pytest.mark.parametrize("kind, start", [("random_forest", 0.3), ("gradient_boost", 0.15)])
-def test_parents_and_children(spark, data, clusters, kind, start, tmp_path):
+def test_parents_and_children(data, clusters, kind, start):
     grid = {"maxDepth": [1, 2]}
-    parents = transfer.train_parents(data, clusters, kind, *ARGS, grid=grid, folds=2)
+    size = {} if kind == "random_forest" else {"max_iter": 3}
+    parents = transfer.train_parents(data, clusters, kind, *ARGS, grid=grid, folds=2, **size)
     assert set(parents.models) == {"a"}
     target = parents.metrics.first()["rmse"] + 0.5
     targets = parents.metrics.selectExpr("k", "rmse + 0.5 AS rmse")
@@ -92,14 +91,28 @@ def test_parents_and_children(spark, data, clusters, kind, start, tmp_path):
     settings = transfer.hyper_parameters(parents.models["a"], kind)
     assert transfer.hyper_parameters(children.models["b"], kind) == settings
 
-    save_models(parents.models, targets.selectExpr("k", "rmse", "0.0D AS r2"), str(tmp_path))
-    models, missing = load_models(spark, ["a", "gone"], str(tmp_path), kind)
-    assert missing == ["gone"] and transfer.hyper_parameters(models["a"], kind) == settings
-    later = transfer.train_children(data, clusters, models, load_targets(spark, str(tmp_path)), kind, *ARGS)
+
+@pytest.mark.parametrize("kind", ["random_forest", "gradient_boost"])
+def test_workflow_by_way_of_the_disk(data, clusters, kind, tmp_path):
+    size = {"max_depth": 2, "num_trees": 2} if kind == "random_forest" else {"max_depth": 1, "max_iter": 2}
+    first = transfer.ensemble(
+        data, clusters, kind, "exhaustive", str(tmp_path), *ARGS, grid={"maxBins": [16, 32]}, folds=2, **size
+    )
+    direct = transfer.train_children(data, clusters, first.models, first.metrics, kind, *ARGS)
+    later = transfer.ensemble(data, clusters, kind, "transfer", str(tmp_path), *ARGS)
+    assert later.skipped == direct.skipped == ["c"]
     figures = ["k", "round", "fraction", "round(rmse, 9)", "reached"]
     assert sorted(map(tuple, later.history.selectExpr(*figures).collect())) == sorted(
-        map(tuple, children.history.selectExpr(*figures).collect())
+        map(tuple, direct.history.selectExpr(*figures).collect())
     )
+    with pytest.raises(ValueError):
+        transfer.ensemble(data, clusters, kind, "both", str(tmp_path), *ARGS)
+
+
+def test_no_rows_at_all(data):
+    found = trees.random_forest(data, *ARGS, keys=["absent"])
+    assert found.models == {} and found.metrics.count() == 0
+    assert trees.gradient_boost(data, *ARGS, keys=[]).metrics.count() == 0
 
 
 def test_first_key_sets_the_target(data):
