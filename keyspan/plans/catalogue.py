@@ -64,7 +64,7 @@ def moving_average_daily(spark: SparkSession, directory: str) -> DataFrame:
     )
     # One row per user and day: no series is longer than the calendar.
     rows = windows.moving_average(daily, "user_id", "day", "total", DAYS, "day", split_rows=None)
-    return rows.select("user_id", "day", _rounded("avg", 6))
+    return rows.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), _rounded("avg", 6))
 
 
 def _ends(points: str, field: str):
@@ -201,7 +201,7 @@ def mean_over_dates(spark: SparkSession, directory: str) -> DataFrame:
     events = load_table(spark, directory, "events")
     busiest = events.groupBy("user_id").count().orderBy(F.desc("count"), "user_id").first()["user_id"]
     means = summaries.mean_over_dates(events, "user_id", busiest, "value", "ts", "2024-01-05", "2024-01-25")
-    return means.select(F.lit(busiest).alias("user_id"), _rounded("mean", 6))
+    return means.select(F.lit(busiest).cast("bigint").alias("user_id"), _rounded("mean", 6))
 
 
 def _supplier_clusters(spark: SparkSession, directory: str, key: str = "s_suppkey") -> DataFrame:
@@ -271,35 +271,43 @@ def _customers(spark, directory) -> DataFrame:
 
 def _labels(spark, directory) -> DataFrame:
     return load_table(spark, directory, "labels").select(
-        F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("amount"), "toxic"
+        F.col("doc_id").alias("id"),
+        F.col("quality").cast("double").alias("amount"),
+        F.col("toxic").cast("double").alias("toxic"),
     )
 
 
+def _joined(tree) -> DataFrame:
+    rows = compound(tree, "id")
+    # Numbers that may be missing are reported as text.
+    return rows.withColumn("event_id", F.col("event_id").cast("string")) if "event_id" in rows.columns else rows
+
+
 def last_orders(spark: SparkSession, directory: str) -> DataFrame:
     side = _orders_side(spark, directory)
     return dedupe_last(side.rows, "id", side.order_by)
 
 
 def compound_inner(spark: SparkSession, directory: str) -> DataFrame:
-    return compound((_orders_side(spark, directory), "inner", _customers(spark, directory)), "id")
+    return _joined((_orders_side(spark, directory), "inner", _customers(spark, directory)))
 
 
 def compound_left(spark: SparkSession, directory: str) -> DataFrame:
-    return compound((_customers(spark, directory), "left", _events_side(spark, directory)), "id")
+    return _joined((_customers(spark, directory), "left", _events_side(spark, directory)))
 
 
 def compound_right(spark: SparkSession, directory: str) -> DataFrame:
-    return compound((_events_side(spark, directory), "right", _customers(spark, directory)), "id")
+    return _joined((_events_side(spark, directory), "right", _customers(spark, directory)))
 
 
 def compound_full(spark: SparkSession, directory: str) -> DataFrame:
     """Labels of documents and last events of users share numbers only: rows of one side, of the other, of both."""
-    return compound((_events_side(spark, directory), "outer", _labels(spark, directory)), "id")
+    return _joined((_events_side(spark, directory), "outer", _labels(spark, directory)))
 
 
 def compound_nested(spark: SparkSession, directory: str) -> DataFrame:
     purchases = (_orders_side(spark, directory), "inner", _customers(spark, directory))
-    return compound((purchases, "left", ((_events_side(spark, directory),), "inner", _labels(spark, directory))), "id")
+    return _joined((purchases, "left", ((_events_side(spark, directory),), "inner", _labels(spark, directory))))
 
 
 # Linear regression

@@ -43,7 +43,7 @@ WITH daily AS (
            row_number() OVER (PARTITION BY user_id ORDER BY day) AS rn
     FROM daily
 )
-SELECT user_id, day, round(average, 6) AS avg FROM numbered WHERE rn >= 7
+SELECT user_id, CAST(day AS VARCHAR) AS day, round(average, 6) AS avg FROM numbered WHERE rn >= 7
 """
 
 ANSWERS = f"""
@@ -192,31 +192,31 @@ LAST_EVENTS = """
     FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1
 """
 CUSTOMERS = "SELECT c_custkey AS id, c_acctbal AS amount, c_mktsegment AS segment FROM customer"
-LABELS = "SELECT doc_id AS id, CAST(quality AS DOUBLE) AS amount, toxic FROM labels"
+LABELS = "SELECT doc_id AS id, CAST(quality AS DOUBLE) AS amount, CAST(toxic AS DOUBLE) AS toxic FROM labels"
 
 PURCHASES = f"""
     SELECT o.*, c.segment FROM ({LAST_ORDERS}) o JOIN ({CUSTOMERS}) c ON o.id = c.id
 """
 
 COMPOUND_LEFT = f"""
-SELECT c.id, c.amount, c.segment, e.event_type, e.ts, e.event_id
+SELECT c.id, c.amount, c.segment, e.event_type, e.ts, CAST(e.event_id AS VARCHAR) AS event_id
 FROM ({CUSTOMERS}) c LEFT JOIN ({LAST_EVENTS}) e ON c.id = e.id
 """
 
 COMPOUND_RIGHT = f"""
 SELECT c.id, CASE WHEN e.id IS NOT NULL THEN e.amount ELSE c.amount END AS amount,
-       e.event_type, e.ts, e.event_id, c.segment
+       e.event_type, e.ts, CAST(e.event_id AS VARCHAR) AS event_id, c.segment
 FROM ({LAST_EVENTS}) e RIGHT JOIN ({CUSTOMERS}) c ON e.id = c.id
 """
 
 COMPOUND_FULL = f"""
 SELECT coalesce(e.id, l.id) AS id, CASE WHEN e.id IS NOT NULL THEN e.amount ELSE l.amount END AS amount,
-       e.event_type, e.ts, e.event_id, l.toxic
+       e.event_type, e.ts, CAST(e.event_id AS VARCHAR) AS event_id, l.toxic
 FROM ({LAST_EVENTS}) e FULL JOIN ({LABELS}) l ON e.id = l.id
 """
 
 COMPOUND_NESTED = f"""
-SELECT p.*, e.event_type, e.ts, e.event_id, e.toxic
+SELECT p.*, e.event_type, e.ts, CAST(e.event_id AS VARCHAR) AS event_id, e.toxic
 FROM ({PURCHASES}) p LEFT JOIN (
     SELECT e.*, l.toxic FROM ({LAST_EVENTS}) e JOIN ({LABELS}) l ON e.id = l.id
 ) e ON p.id = e.id
