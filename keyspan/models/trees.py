@@ -174,18 +174,18 @@ def search_and_test(
     train = train.withColumn("_fold", nth_fold(F.col("_fold"), folds)).persist()
     try:
         settings = _settings(grid)
+        # A fold can be scored when it has rows and leaves some to train on; a key of a few rows may have none.
+        filled = sorted(r["_fold"] for r in train.select("_fold").distinct().collect())
+        usable = filled if len(filled) > 1 else []
 
         def score(task):
             setting, fold = task
             model = estimator_for(kind, {**base, **setting}, seed).fit(train.where(F.col("_fold") != fold))
             return accuracy(model, train.where(F.col("_fold") == fold))[0]
 
-        tasks = [(s, fold) for s in settings for fold in range(folds)]
-        found = fit_each_key(spark, tasks, score, parallelism)
-        means = []
-        for i in range(len(settings)):
-            of_setting = [r for r in found[i * folds : (i + 1) * folds] if r is not None]
-            means.append(sum(of_setting) / len(of_setting) if of_setting else None)
+        found = fit_each_key(spark, [(s, fold) for s in settings for fold in usable], score, parallelism)
+        n = len(usable)
+        means = [sum(found[i * n : (i + 1) * n]) / n if n else None for i in range(len(settings))]
         best = first_best(means)
         model = estimator_for(kind, {**base, **settings[best]}, seed).fit(train)
         return (model, *accuracy(model, test), list(zip(settings, means)))

@@ -73,17 +73,27 @@ def cluster_groups(clusters: DataFrame, key: str, group_children: int = GROUP_CH
     """Children of every centre as sorted arrays: ``(cluster_id, parent, part, children[], multiple_centers)``.
 
     A centre without children has one empty array. Clusters of more than ``group_children`` members are spread by hash over
-    as many rows as they need, so that no array grows with the table; ``cluster_members`` is the flat form.
+    as many rows as they need, copies of one member too, so that no array grows with the table; ``cluster_members`` is the
+    flat form.
     """
-    members = clusters.where(F.col("is_center").isNotNull() & quoted(key).isNotNull()).select(
-        "cluster_id", "is_center", quoted(key).alias("_member")
+    members = (
+        clusters.where(F.col("is_center").isNotNull() & quoted(key).isNotNull())
+        .groupBy("cluster_id", "is_center", quoted(key).alias("_member"))
+        .agg(F.count(F.lit(1)).alias("_copies"))
     )
-    parts = F.greatest(F.ceil(F.col("n_children") / F.lit(group_children)), F.lit(1))
-    part = F.when(F.col("is_center"), F.lit(0)).otherwise(id_hash("_member", "part", 0) % parts)
-    placed = members.join(cluster_centers_of(clusters, key), "cluster_id").withColumn("part", part.cast("int"))
-    children = F.collect_list(F.when(~F.col("is_center"), F.col("_member")))
+    size = F.lit(group_children)
+    parts = F.greatest(F.ceil(F.col("n_children") / size), F.lit(1))
+    part = F.when(F.col("is_center"), F.lit(0)).otherwise((id_hash("_member", "part", 0) + F.col("_chunk")) % parts)
+    placed = (
+        members.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / size))))
+        .withColumn("_copies", F.least(size, F.col("_copies") - F.col("_chunk") * size))
+        .join(cluster_centers_of(clusters, key), "cluster_id")
+        .withColumn("part", part.cast("int"))
+    )
+    copies = F.array_repeat("_member", F.col("_copies").cast("int"))
+    children = F.collect_list(F.when(~F.col("is_center"), copies))
     return (
         placed.groupBy("cluster_id", "parent", "part", "multiple_centers")
-        .agg(F.array_sort(children).alias("children"))
+        .agg(F.array_sort(F.flatten(children)).alias("children"))
         .select("cluster_id", "parent", "part", "children", "multiple_centers")
     )

@@ -34,7 +34,8 @@ def test_folds(spark):
 
 
 def test_metrics(spark):
-    pairs = spark.createDataFrame([(3.0, 2.5), (-0.5, 0.0), (2.0, 2.0), (7.0, 8.0), (None, 1.0)], "label double, prediction double")
+    rows = [(3.0, 2.5), (-0.5, 0.0), (2.0, 2.0), (7.0, 8.0), (None, 1.0)]
+    pairs = spark.createDataFrame(rows, "label double, prediction double")
     row = regression_metrics(pairs).first()
     complete = pairs.na.drop()
     for name in ("rmse", "r2"):

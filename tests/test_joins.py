@@ -56,7 +56,8 @@ def test_last_row_wins(spark):
 
 
 def test_tree_of_queries(spark, left, right):
-    visits = spark.createDataFrame([("a", 1, "first"), ("a", 2, "last"), ("c", 1, "c"), (None, 1, "n")], "k string, at int, w string")
+    seen = [("a", 1, "first"), ("a", 2, "last"), ("c", 1, "c"), (None, 1, "n")]
+    visits = spark.createDataFrame(seen, "k string, at int, w string")
     tree = ((Query(visits, ["at"]),), "inner", (left, "left", right))
     assert rows(compound(tree, "k")) == [
         ("a", 2, "last", 1.0, "l1", "r1"),

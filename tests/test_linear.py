@@ -37,7 +37,8 @@ def test_formula_agrees_with_the_library(spark, standardization, fit_intercept,
 def test_degenerate_keys(spark):
     rows = [("x", 2.0, float(y)) for y in range(4)] + [("y", float(x), 7.0) for x in range(4)] + [("one", 1.0, 3.0)]
     df = spark.createDataFrame(rows, "k string, x double, y double")
-    got = {r["k"]: (r["slope_coefficients"], r["intercept"], r["rmse"], r["r2"]) for r in linear_regression(df, "k", "x", "y").collect()}
+    fits = linear_regression(df, "k", "x", "y").collect()
+    got = {r["k"]: (r["slope_coefficients"], r["intercept"], r["rmse"], r["r2"]) for r in fits}
     assert got["x"] == ([0.0], 1.5, pytest.approx(1.25**0.5), 0.0)
     assert got["y"] == ([0.0], 7.0, 0.0, None)
     assert got["one"] == ([0.0], 3.0, 0.0, None)

@@ -85,7 +85,10 @@ def test_saved_models_predict_the_same(spark, small_dir, tmp_path):
         assert sorted(map(tuple, load_targets(spark, folder).collect())) == sorted(map(tuple, trained.metrics.collect()))
         with trees.training_table(lines, *args) as table:
             rows = trees.rows_of(table, "l_linestatus", "F")
-            both = [sorted(r[0] for r in m.transform(rows).select("prediction").collect()) for m in (models["F"], trained.models["F"])]
+            both = [
+                sorted(r[0] for r in m.transform(rows).select("prediction").collect())
+                for m in (models["F"], trained.models["F"])
+            ]
         assert both[0] == both[1]
         with pytest.raises(Exception):
             save_models(trained.models, trained.metrics, folder, overwrite=False)

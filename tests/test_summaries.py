@@ -37,6 +37,14 @@ def test_large_clusters_are_spread(spark):
     assert max(len(r["children"]) for r in got) < 100
 
 
+def test_copies_of_a_member_are_spread_too(spark):
+    rows = [(1, 0, True)] + [(1, 7, False)] * 95 + [(1, n, False) for n in range(1, 6)]
+    clusters = spark.createDataFrame(rows, "cluster_id int, k int, is_center boolean")
+    got = summaries.cluster_groups(clusters, "k", group_children=10).collect()
+    assert sorted(c for r in got for c in r["children"]) == sorted([7] * 95 + [1, 2, 3, 4, 5])
+    assert max(len(r["children"]) for r in got) <= 15
+
+
 def test_cluster_members(clusters):
     got = sorted(tuple(r) for r in summaries.cluster_members(clusters, "gis_join").collect())
     assert got == [(1, "G01", "G02"), (1, "G01", "G03"), (4, "G07", "G08")]
@@ -56,7 +64,8 @@ def test_counts_in_request_order(spark, small_dir):
 
 
 def test_mean_over_dates(spark):
-    rows = [("a", dt.datetime(2020, 1, d, h), float(d)) for d in range(1, 6) for h in (0, 12)] + [("b", dt.datetime(2020, 1, 2), 50.0)]
+    rows = [("a", dt.datetime(2020, 1, d, h), float(d)) for d in range(1, 6) for h in (0, 12)]
+    rows.append(("b", dt.datetime(2020, 1, 2), 50.0))
     df = spark.createDataFrame(rows, "k string, at timestamp_ntz, v double")
     bounds = ("2020-01-02 00:00:00.000 +0000", "2020-01-04 00:00:00.000 +0000")
     # The end bound is the midnight that begins the day: 4 January counts once.

@@ -51,6 +51,15 @@ def test_search_takes_the_best_setting(data):
     assert found.metrics.first()["rmse"] < scores[1.0]
 
 
+def test_search_on_a_few_rows(spark):
+    rows = [("one", 1, 1.0, 1.0, 2.0), ("two", 1, 1.0, 1.0, 2.0), ("two", 2, 2.0, 1.0, 3.0), ("two", 5, 2.0, 1.0, 3.0)]
+    df = spark.createDataFrame(rows, "k string, id int, x double, z double, y double")
+    found = trees.random_forest_exhaustive(df, *ARGS, grid={"maxDepth": [1, 2]}, folds=3)
+    assert set(found.models) <= {"one", "two"} and found.models
+    for row in found.scores.where("k = 'one'").collect():
+        assert row["avg_rmse"] is None
+
+
 def test_ties_go_to_the_earlier_setting():
     assert trees.first_best([None, 2.0, 1.0 + 1e-12, 1.0]) == 2
     assert trees.first_best([None, None]) == 0
