@@ -16,7 +16,7 @@ from keyspan.models.components import components_for, explained_variance
 from keyspan.models.linear import linear_regression
 from keyspan.operators import frames, summaries, windows
 from keyspan.operators.joins import Query, compound, dedupe_last, with_parent
-from keyspan.sources.storage import new_path
+from keyspan.sources.storage import new_path, written
 from keyspan.sources.tables import load_clusters, load_table, to_json_rows
 
 DAYS = 7
@@ -452,8 +452,11 @@ def _tree_args(spark, directory) -> tuple:
 
 
 def _line_clusters(lines: DataFrame) -> DataFrame:
-    """One cluster per return flag, its lowest line status is the centre."""
-    kinds = lines.groupBy("l_returnflag", "l_linestatus", "line_kind").agg(F.lit(1))
+    """One cluster per return flag, its lowest line status is the centre.
+
+    The kinds are written down: several steps of a training read them, the line items only once.
+    """
+    kinds = written(lines.select("l_returnflag", "l_linestatus", "line_kind").distinct())
     lowest = kinds.groupBy("l_returnflag").agg(F.min("l_linestatus").alias("_lowest"))
     return kinds.join(lowest, "l_returnflag").select(
         F.ascii("l_returnflag").alias("cluster_id"),
