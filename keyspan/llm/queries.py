@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from keyspan.llm.bpe import encode
+from keyspan.llm.decontaminate import find_matches, is_contaminated, n_hit
 from keyspan.llm.exact_dedup import duplicate_groups
+from keyspan.llm.quality import score_quality, train_quality
 from keyspan.llm.url_rules import judge_urls
 
 # Host, path, verdict: the rules of the contract.
@@ -23,6 +27,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs, _table(spark, sf_dir, "labels")))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matches = find_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    counted = matches.select("doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit(F.col("spans")).alias("n_hit"), "items")
+    return counted.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    return encode(_table(spark, sf_dir, "documents"), path or public_tokenizers.path("byte_bpe_50k.json"), digests=True)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(_table(spark, sf_dir, "documents"))
 
@@ -33,11 +61,46 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
+    "op5_decontamination": op5_decontamination,
+    "op6_bpe": op6_bpe,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_url_rules": op10_url_rules,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_decontamination": r"""
+        WITH docs AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+            FROM documents
+        ), items AS (
+            SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+            FROM benchmark
+        ), item_windows AS (
+            SELECT DISTINCT item_id, size, array_to_string(words[i : i + size - 1], ' ') AS run
+            FROM (SELECT item_id, words, least(13, len(words)) AS size, unnest(range(1, len(words) - least(13, len(words)) + 2)) AS i
+                  FROM items WHERE len(words) > 0)
+        ), starts AS (
+            SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS i
+            FROM docs, (SELECT DISTINCT size FROM item_windows) WHERE len(words) >= size
+        ), found AS (
+            SELECT doc_id, i, s.size, item_id
+            FROM (SELECT doc_id, i, size, array_to_string(words[i : i + size - 1], ' ') AS run FROM starts) s
+            JOIN item_windows w ON s.run = w.run AND s.size = w.size
+        ), hits AS (
+            SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS word FROM found) GROUP BY doc_id
+        ), whose AS (
+            SELECT doc_id, count(DISTINCT item_id) AS n_items,
+                   sha256(array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',')) AS items_sha256
+            FROM found GROUP BY doc_id
+        )
+        SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               coalesce(items_sha256, sha256('')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+        FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN whose USING (doc_id)
+    """,
     "op8_exact_dedup": r"""
         WITH hashed AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
