@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from keyspan.llm.bpe import encode
 from keyspan.llm.decontaminate import find_matches, is_contaminated, n_hit
 from keyspan.llm.exact_dedup import duplicate_groups
+from keyspan.llm.jaccard import jaccard_components
 from keyspan.llm.quality import score_quality, train_quality
 from keyspan.llm.url_rules import judge_urls
 
@@ -27,6 +28,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return score_quality(docs, train_quality(docs, _table(spark, sf_dir, "labels")))
@@ -61,6 +66,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard": op1_jaccard,
     "op2_quality": op2_quality,
     "op5_decontamination": op5_decontamination,
     "op6_bpe": op6_bpe,
