@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from keyspan.llm.bpe import encode
 from keyspan.llm.decontaminate import find_matches, is_contaminated, n_hit
 from keyspan.llm.exact_dedup import duplicate_groups
+from keyspan.llm.html_text import extract_text, train_tree
 from keyspan.llm.jaccard import jaccard_components
+from keyspan.llm.line_spread import remove_boilerplate
 from keyspan.llm.quality import score_quality, train_quality
+from keyspan.llm.span_dedup import remove_repeated_spans
+from keyspan.llm.token_counts import count_tokens
 from keyspan.llm.url_rules import judge_urls
 
 # Host, path, verdict: the rules of the contract.
@@ -37,6 +41,15 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, train_quality(docs, _table(spark, sf_dir, "labels")))
 
 
+def op3_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_boilerplate(_table(spark, sf_dir, "documents"))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return extract_text(pages, train_tree(pages))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     matches = find_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     counted = matches.select("doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit(F.col("spans")).alias("n_hit"), "items")
@@ -56,10 +69,20 @@ def op6_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
     return encode(_table(spark, sf_dir, "documents"), path or public_tokenizers.path("byte_bpe_50k.json"), digests=True)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    return count_tokens(_table(spark, sf_dir, "documents"), path or public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_spans(_table(spark, sf_dir, "documents"))
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(_table(spark, sf_dir, "pages"), rules)
@@ -68,13 +91,33 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard": op1_jaccard,
     "op2_quality": op2_quality,
+    "op3_line_spread": op3_line_spread,
+    "op4_html_text": op4_html_text,
     "op5_decontamination": op5_decontamination,
     "op6_bpe": op6_bpe,
+    "op7_token_counts": op7_token_counts,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_span_dedup": op9_span_dedup,
     "op10_url_rules": op10_url_rules,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_line_spread": r"""
+        WITH cut AS (
+            SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents
+        ), each AS (
+            SELECT doc_id, source, no, trim(regexp_replace(lines[no], '[\x20\x09-\x0D]+', ' ', 'g')) AS line
+            FROM (SELECT doc_id, source, lines, unnest(range(1, len(lines) + 1)) AS no FROM cut)
+        ), boilerplate AS (
+            SELECT line FROM each WHERE line != '' GROUP BY line HAVING count(DISTINCT source) + (count(*) > count(source))::INT >= 8
+        ), sorted_out AS (
+            SELECT doc_id, list(no) FILTER (line IN (FROM boilerplate)) AS removed FROM each GROUP BY doc_id
+        )
+        SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(removed), 0)::BIGINT AS n_removed,
+               CASE WHEN removed IS NULL THEN text
+                    ELSE coalesce(array_to_string([lines[i] FOR i IN range(1, len(lines) + 1) IF NOT list_contains(removed, i)], chr(10)), '') END AS text
+        FROM cut LEFT JOIN sorted_out USING (doc_id)
+    """,
     "op5_decontamination": r"""
         WITH docs AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
