@@ -8,7 +8,7 @@ Defined cases: a null text is the empty text, and all empty texts are copies of
 smallest id stays; a null id counts as larger than any other. Rows repeating one id with one text are copies of each other in
 ``group_size`` and are all marked ``kept``; :func:`drop_duplicates` returns one of them. Other columns, whatever their names, are untouched.
 
-The filter is broadcast, so its size is bounded: 2 x ``MAX_BITS`` bits (64 MB). Up to 10**8 rows it lets nearly no unique row
+The filter is broadcast, so its size is bounded: twice 32 MB. Up to 10**8 rows it lets nearly no unique row
 into the shuffle; beyond that the share grows until every row is shuffled, with the same result.
 """
 
@@ -17,13 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyspan.llm.bitmaps import bitmaps_of, filter_bits, slot_of, with_bit
 from keyspan.llm.staging import staged
 
-# Bits in one of Spark's bitmaps, which are binaries of 4096 bytes.
-BITMAP = 32768
-MIN_BITS, MAX_BITS = 2**22, 2**28
-# Slots per row in each of the two filters: one row in 64 shares a slot with a stranger, one in 4096 shares both.
-SPREAD = 64
 _PREFIX = "_dd_"
 SHA, FIRST, SECOND, KEEP = (f"{_PREFIX}{x}" for x in ("sha", "first", "second", "keep"))
 
@@ -40,42 +36,22 @@ def _quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def filter_bits(rows: int) -> int:
-    """Slots of one filter: a power of two that follows the rows, within the bounds of what is broadcast."""
-    return max(MIN_BITS, min(MAX_BITS, 1 << max(0, rows * SPREAD - 1).bit_length()))
-
-
 def _slots(sha: Column, bits: int) -> tuple[Column, Column]:
     """The row's slots: the second filter lies behind the first."""
-    return F.pmod(F.xxhash64(sha, F.lit(1)), F.lit(bits)), F.pmod(F.xxhash64(sha, F.lit(2)), F.lit(bits)) + bits
+    return slot_of(sha, bits, 1), slot_of(sha, bits, 2) + bits
 
 
 def repeated_slots(hashes: DataFrame, bits: int) -> DataFrame:
-    """First pass: ``(bucket, bitmap)`` of the slots that two rows or more fall into, 2 * ``bits`` / 32768 rows at most."""
+    """First pass: bitmaps of the slots that two rows or more fall into, 2 * ``bits`` / 32768 rows at most."""
     slots = hashes.select(F.explode(F.array(*_slots(F.col(SHA), bits))).alias("slot"))
-    return (
-        slots.groupBy("slot")
-        .count()
-        .where("count > 1")
-        .groupBy((F.col("slot") / BITMAP).cast("long").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.col("slot") % BITMAP).alias("bitmap"))
-    )
-
-
-def _bit(bitmap: Column, slot: Column) -> Column:
-    position = slot % BITMAP
-    byte = F.conv(F.hex(F.substring(bitmap, (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    return F.coalesce(F.getbit(byte, (position % 8).cast("int")) == 1, F.lit(False))
+    return bitmaps_of(slots.groupBy("slot").count().where("count > 1"), "slot")
 
 
 def _marked(rows: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
     """Second pass: ``rows`` with ``_dd_first``, whether both of a row's slots are shared."""
     first, second = _slots(F.col(SHA), bits)
     found = rows.withColumns({FIRST: first, SECOND: second})
-    for slot in (FIRST, SECOND):
-        side = F.broadcast(bitmaps.select(F.col("bucket").alias("_dd_bucket"), F.col("bitmap").alias("_dd_bitmap")))
-        found = found.join(side, (F.col(slot) / BITMAP).cast("long") == F.col("_dd_bucket"), "left")
-        found = found.withColumn(slot, _bit(F.col("_dd_bitmap"), F.col(slot))).drop("_dd_bucket", "_dd_bitmap")
+    found = with_bit(with_bit(found, bitmaps, FIRST, FIRST), bitmaps, SECOND, SECOND)
     return found.withColumn(FIRST, F.col(FIRST) & F.col(SECOND)).drop(SECOND)
 
 

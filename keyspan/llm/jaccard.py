@@ -24,18 +24,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyspan.llm.bitmaps import bitmaps_of, filter_bits, slot_of, with_bit
 from keyspan.llm.components import connected
-from keyspan.llm.shingles import WORDS, digest, shingle_sets
+from keyspan.llm.shingles import WORDS, digest, mixed, shingle_sets
 from keyspan.llm.staging import staged
 
 # Similarity in hundredths.
 LEAST = 75
-# Shingles of one bucket, about; of one round of a task; postings of one block.
-BUCKET_SHINGLES = 1_500_000
-CHUNK_SHINGLES = 2_000_000
+# Shingles of one bucket, about; of one round of a task; documents of one group; postings of one block.
+BUCKET_SHINGLES = 1_000_000
+CHUNK_SHINGLES = 1_000_000
+GROUP_DOCS = 20_000
 BLOCK = 512
 # Ratio of the sizes in one class: linked sets differ by one class at most.
 SIZE_STEP = 100 / LEAST
@@ -91,7 +94,9 @@ def _parts(ids: np.ndarray, sets: list[np.ndarray], buckets: int) -> tuple[np.nd
 
 _PART_SCHEMA = "bucket int, hashes binary, ids binary, counts binary, n binary, first binary, second binary"
 _PART_NAMES = [x.split()[0] for x in _PART_SCHEMA.split(", ")]
-_COUNT_SCHEMA = "doc_id long, shared long, n long, first long, second long"
+_COUNT_SCHEMA = "owner int, ids binary, shared binary, n binary, first binary, second binary"
+_COUNT_NAMES = [x.split()[0] for x in _COUNT_SCHEMA.split(", ")]
+_DOC_SCHEMA = "doc_id long, n long, first long, second long, company boolean"
 
 
 def _part_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -99,10 +104,29 @@ def _part_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=_PART_NAMES)
 
 
-def _shared_counts(rows: DataFrame, words: int) -> DataFrame:
-    """Several rows per document: ``doc_id, shared`` to add up, in one of them ``n`` and the set's digest too."""
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(1, -(-chars // (7 * BUCKET_SHINGLES)))
+def _joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(table[name].to_pylist()), kind)
+
+
+def _dealt_out(ids: np.ndarray, groups: int, columns: list[np.ndarray]) -> pa.Table:
+    """The columns cut by the group of the document, one row per group."""
+    with np.errstate(over="ignore"):
+        owner = (mixed(ids.view(np.uint64)) % np.uint64(groups)).astype(np.int32)
+    nameless = ids == _NO_ID
+    owner[nameless] = np.arange(int(nameless.sum())) % groups
+    order = np.argsort(owner, kind="stable")
+    owner, columns = owner[order], [c[order] for c in (ids, *columns)]
+    cuts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True]))) if len(owner) else np.zeros(1, np.int64)
+    parts = [[c[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] for c in columns]
+    parts += [[b""] * (len(cuts) - 1)] * (len(_COUNT_NAMES) - 1 - len(parts))
+    return pa.table([pa.array(owner[cuts[:-1]], pa.int32()), *(pa.array(p, pa.binary()) for p in parts)], names=_COUNT_NAMES)
+
+
+def _documents(rows: DataFrame, words: int) -> DataFrame:
+    """``doc_id, n, first, second, company`` per row: the size of its set, 128 bits of it, and whether enough of it occurs elsewhere to link."""
+    size = rows.agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("docs")).first()
+    buckets = max(1, -(-(size["chars"] or 0) // (7 * BUCKET_SHINGLES)))
+    groups = max(1, -(-size["docs"] // GROUP_DOCS))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sets, digests, held, sent = [], [], [], 0, 0
@@ -127,22 +151,29 @@ def _shared_counts(rows: DataFrame, words: int) -> DataFrame:
             yield flushed()
 
     def counted(table: pa.Table) -> pa.Table:
-        join = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
-        ids = join("ids", np.int64)
+        ids = _joined(table, "ids", np.int64)
         if table["bucket"][0].as_py() < 0:
-            columns = [join(x, np.int64) for x in ("hashes", "n", "first", "second")]
-            return pa.table([pa.array(ids, mask=ids == _NO_ID), *columns], names=["doc_id", "shared", "n", "first", "second"])
-        hashes, whose = join("hashes", np.uint32), np.repeat(ids, join("counts", np.uint32))
+            return _dealt_out(ids, groups, [_joined(table, x, np.int64) for x in ("hashes", "n", "first", "second")])
+        hashes, whose = _joined(table, "hashes", np.uint32), np.repeat(ids, _joined(table, "counts", np.uint32))
         order = np.argsort(hashes)
         ranked = hashes[order]
         same = ranked[1:] == ranked[:-1]
         shared = np.concatenate(([False], same)) | np.concatenate((same, [False]))
         docs, counts = np.unique(whose[order[shared]], return_counts=True)
         known = docs > _NO_ID
-        nothing = pa.nulls(int(known.sum()), pa.int64())
-        return pa.table([docs[known], counts[known].astype(np.int64), nothing, nothing, nothing], names=["doc_id", "shared", "n", "first", "second"])
+        return _dealt_out(docs[known], groups, [counts[known].astype(np.int64)])
+
+    def judged(table: pa.Table) -> pa.Table:
+        ids, shared = _joined(table, "ids", np.int64), _joined(table, "shared", np.int64)
+        names, place = np.unique(ids, return_inverse=True)
+        total = np.bincount(place, shared, len(names))
+        own = table.filter(pa.compute.not_equal(pa.compute.binary_length(table["n"]), 0))
+        ids, n, first, second = (_joined(own, x, np.int64) for x in ("ids", "n", "first", "second"))
+        company = (n > 0) & (ids != _NO_ID) & (100 * total[np.searchsorted(names, ids)] >= LEAST * n)
+        return pa.table([pa.array(ids, mask=ids == _NO_ID), n, first, second, company], names=["doc_id", "n", "first", "second", "company"])
 
-    return rows.mapInArrow(dealt, _PART_SCHEMA).groupBy("bucket").applyInArrow(counted, _COUNT_SCHEMA)
+    entries = rows.mapInArrow(dealt, _PART_SCHEMA).groupBy("bucket").applyInArrow(counted, _COUNT_SCHEMA)
+    return entries.groupBy("owner").applyInArrow(judged, _DOC_SCHEMA)
 
 
 def _class_sets(rows: DataFrame, classes: DataFrame, words: int) -> DataFrame:
@@ -163,7 +194,11 @@ def _class_sets(rows: DataFrame, classes: DataFrame, words: int) -> DataFrame:
                 yield whole.filter(pa.array(right, pa.bool_()))
 
     wanted = classes.select(F.col("rep").alias("doc_id"), "first", "second")
-    joined = rows.join(wanted, "doc_id").select("doc_id", "text", "first", "second")
+    # A filter drops nearly all other texts before the shuffle; what it lets pass the join sorts out.
+    bits = filter_bits(wanted.count())
+    marks = staged(bitmaps_of(wanted.select(slot_of(F.col("doc_id"), bits).alias("slot")), "slot"))
+    likely = with_bit(rows.withColumn("slot", slot_of(F.col("doc_id"), bits)), marks, "slot", "likely").where("likely")
+    joined = likely.join(wanted, "doc_id").select("doc_id", "text", "first", "second")
     return joined.mapInArrow(sets, "rep long, n int, shingles array<long>").dropDuplicates(["rep"])
 
 
@@ -257,11 +292,8 @@ def _open_pairs(postings: DataFrame, known: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """``doc_id, n_shingles, component_id, class_id`` per row of ``docs``: the size of its set, the smallest id that it reaches by links, the smallest id with an equal set."""
     rows = docs.select(_quoted(doc_id).cast("long").alias("doc_id"), _quoted(text).alias("text"))
-    counts = staged(_shared_counts(rows, words))
-    own = counts.where("n is not null")
-    company = counts.where("doc_id is not null").groupBy("doc_id").agg(F.sum("shared").alias("shared"), F.min(F.when(F.col("n") > 0, F.col("n"))).alias("n"))
-    company = company.where((100 * F.col("shared") >= LEAST * F.col("n"))).select("doc_id")
-    classes = staged(own.where("n > 0").join(company, "doc_id").groupBy("first", "second").agg(F.min("doc_id").alias("rep")))
+    own = staged(_documents(rows, words))
+    classes = staged(own.where("company").groupBy("first", "second").agg(F.min("doc_id").alias("rep")))
     sets = staged(_class_sets(rows, classes, words))
     indexed = staged(_indexed(sets))
     postings = indexed.select("rep", "n", F.explode("prefix").alias("p")).select("rep", "n", F.col("p.shingle").alias("shingle"), F.col("p.pos").alias("pos"))
