@@ -13,13 +13,15 @@ from keyspan.llm.decontaminate import find_matches, is_contaminated, n_hit
 from keyspan.llm.exact_dedup import drop_duplicates
 from keyspan.llm.jaccard import jaccard_components
 from keyspan.llm.quality import keep_good, train_quality
-from keyspan.llm.staging import staged
+from keyspan.llm.staging import ship_package, staged
+from keyspan.operators.frames import quoted
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good; it learns from the labels of documents that are not held out."""
+    ship_package(spark)
     return keep_good(docs, train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -30,19 +32,22 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near copies."""
+    ship_package(spark)
     dropped = jaccard_components(docs).where("doc_id != component_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(dropped, "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words are benchmark passages, as they are."""
+    ship_package(spark)
     matches = find_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     contaminated = matches.where(is_contaminated(n_hit(F.col("spans")), F.col("n_words"))).select("doc_id")
-    return docs.join(contaminated, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(contaminated, "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def bpe_coding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and the digest of what they decode to."""
+    ship_package(spark)
     encoded = encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -223,9 +223,13 @@ def score_quality(docs: DataFrame, model: AdditiveModel, doc_id: str = "doc_id",
 def keep_good(docs: DataFrame, model: AdditiveModel, text: str = "text") -> DataFrame:
     """The rows of ``docs`` with a score of 0.5 or more, all columns as they are."""
 
+    # Plain names: those of the columns may have dots.
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    place = docs.columns.index(text)
+
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = model.score(_matrix(batch.column(batch.schema.get_field_index(text)).to_pylist()))
+            found = model.score(_matrix(batch.column(place).to_pylist()))
             yield batch.filter(pa.array(found >= 0.5))
 
-    return docs.mapInArrow(good, docs.schema)
+    return plain.mapInArrow(good, plain.schema).toDF(*docs.columns)

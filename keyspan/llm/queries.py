@@ -15,6 +15,7 @@ from keyspan.llm.jaccard import jaccard_components
 from keyspan.llm.line_spread import remove_boilerplate
 from keyspan.llm.quality import score_quality, train_quality
 from keyspan.llm.span_dedup import remove_repeated_spans
+from keyspan.llm.staging import ship_package
 from keyspan.llm.token_counts import count_tokens
 from keyspan.llm.url_rules import judge_urls
 
@@ -29,6 +30,7 @@ URL_RULES = (
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

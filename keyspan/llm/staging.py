@@ -1,14 +1,30 @@
-"""Tables between two steps of an operator: written once to the folder that all executors share."""
+"""Tables between two steps of an operator, written once to the folder that all executors share, and the code they run."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import shutil
+import tempfile
+from pathlib import Path
+
+import keyspan
+from pyspark.sql import DataFrame, SparkSession
 
 from keyspan.sources.storage import new_path
 
 # Spark removes the shuffle files of a query as soon as it has ended, instead of when the driver collects its garbage.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the executors' Python workers, which need not have it installed; once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        folder = Path(keyspan.__file__).parent
+        sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='keyspan-')}/keyspan", "zip", folder.parent, folder.name))
+        _shipped.add(sc.applicationId)
+
 
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there: computed once, and a lost executor loses nothing."""
