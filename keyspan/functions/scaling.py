@@ -13,11 +13,13 @@ def assemble(df: DataFrame, features: list[str], output: str = "features") -> Da
 
 
 def _extent(df: DataFrame, features: list[str]) -> Row:
-    """Rows, and smallest and largest value of every feature: a single row of numbers, in one pass."""
+    """Rows, and smallest and largest value of every feature, NaN aside: a single row of numbers, in one pass."""
+    numbers = [F.col(c).cast("double") for c in features]
+    known = [F.when(~F.isnan(x), x) for x in numbers]
     return df.agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.min(F.col(c).cast("double")).alias(f"lo{i}") for i, c in enumerate(features)],
-        *[F.max(F.col(c).cast("double")).alias(f"hi{i}") for i, c in enumerate(features)],
+        *[F.min(x).alias(f"lo{i}") for i, x in enumerate(known)],
+        *[F.max(x).alias(f"hi{i}") for i, x in enumerate(known)],
     ).first()
 
 

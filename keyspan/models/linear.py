@@ -1,8 +1,8 @@
 """Linear regression of one label on one feature, for every key.
 
-With the squared-error loss the fit of a key is a formula over six moments, so all keys are one aggregation: partial sums
-before the shuffle, no loop over keys, no limit on their number. Loss ``huber``, the ``l-bfgs`` solver and requests for
-the iteration history go through Spark ML, one fit per key.
+With the squared-error loss the fit of a key is a formula over its moments, so all keys are two aggregations, the fits and
+their residuals: partial sums before the shuffle, no loop over keys, no limit on their number. Loss ``huber``, the ``l-bfgs``
+solver and the iteration history of L1 fits go through Spark ML, one fit per key.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from keyspan.functions.scaling import assemble
 from keyspan.models.per_key import distinct_keys, fit_each_key
 from keyspan.models.rules import Rule, apply_rules, between, is_bool, not_blank
 from keyspan.operators.frames import drop_incomplete, filter_keys, quoted
-from keyspan.sources.storage import staged_by_key
+from keyspan.sources.storage import rows_with_key, staged_by_key
 
 # Request parameter, Spark ML parameter, accepted values, value used otherwise.
 LR_RULES = (
@@ -54,7 +54,7 @@ def _closed_form(rows: DataFrame, key: str, params: dict) -> DataFrame:
         aggs.append(F.covar_pop(x, y).alias("_xy"))
     else:
         aggs += [F.avg(x * y).alias("_xy"), F.avg(x * x).alias("_xx"), F.avg(y * y).alias("_yy")]
-    moments = rows.groupBy(key).agg(*aggs)
+    moments = rows.groupBy(quoted(key)).agg(*aggs)
     moments = moments.withColumns({"_sx": F.sqrt("_vx"), "_sy0": F.sqrt("_vy")})
     if centred:
         moments = moments.withColumnsRenamed({"_vx": "_xx", "_vy": "_yy"})
@@ -72,17 +72,25 @@ def _closed_form(rows: DataFrame, key: str, params: dict) -> DataFrame:
     shrunk = F.signum(corr) * F.greatest(F.abs(corr) - l1, F.lit(0.0))
     slope = F.when((sx > 0) & sy.isNotNull(), shrunk / (curvature + l2) * sy / sx).otherwise(F.lit(0.0))
 
-    fitted = moments.withColumn("_slope", slope)
+    fits = moments.select(quoted(key), slope.alias("_slope"), "_mx", "_my", "_yy").withColumn(
+        "_intercept", F.col("_my") - F.col("_slope") * F.col("_mx") if centred else F.lit(0.0)
+    )
+    # The residuals themselves, in a second combined aggregation: their sum as a difference of moments would lose all digits
+    # on points close to a line.
     b = F.col("_slope")
-    error = F.greatest(F.col("_yy") - 2 * b * F.col("_xy") + b * b * F.col("_xx"), F.lit(0.0))
+    centre_y, centre_x = (F.col("_my"), F.col("_mx")) if centred else (F.lit(0.0), F.lit(0.0))
+    residual = (y - centre_y) - b * (x - centre_x)
+    per_fit = [F.first(c).alias(c) for c in ("_slope", "_intercept", "_yy")]
+    fitted = rows.join(fits, key).groupBy(quoted(key)).agg(F.avg(residual * residual).alias("_error"), *per_fit)
+    error = F.col("_error")
     explained = F.when(b == 0, F.lit(0.0)).otherwise(1 - error / F.col("_yy"))
     plain = reg * alpha == 0
     return fitted.select(
-        key,
+        quoted(key),
         F.lit(0 if plain else None).cast("int").alias("total_iterations"),
         F.sqrt(error).alias("rmse"),
         F.when(F.col("_yy") > 0, explained).alias("r2"),
-        (F.col("_my") - b * F.col("_mx") if centred else F.lit(0.0)).alias("intercept"),
+        F.col("_intercept").alias("intercept"),
         F.array(b).alias("slope_coefficients"),
         (F.array(F.lit(0.0)) if plain else F.lit(None)).cast("array<double>").alias("objective_history"),
     )
@@ -99,7 +107,7 @@ def _fit_by_iteration(rows: DataFrame, key: str, keys: list, params: dict, paral
     with staged_by_key(rows, key) as staged:
 
         def fit(value):
-            own = assemble(staged.where(quoted(key) == F.lit(value)), ["_x"])
+            own = assemble(rows_with_key(staged, key, value), ["_x"])
             if own.isEmpty():
                 return None
             model = estimator.fit(own)
@@ -128,14 +136,15 @@ def linear_regression(
     features: str | list[str],
     label: str,
     keys: list | DataFrame | None = None,
-    history: bool = False,
+    history: bool = True,
     parallelism: int = 4,
     **params,
 ) -> DataFrame:
     """Fit ``label`` on exactly one feature for every key (or the given ``keys``).
 
     ``(key, total_iterations, rmse, r2, intercept, slope_coefficients[], objective_history[])``. Keys without complete rows
-    have no answer. With an L1 share the history is only known from an iterative fit: ask for it with ``history``.
+    have no answer. With an L1 share, iterations and history are only known from an iterative fit per key; with
+    ``history=False`` they are null and all keys are one aggregation there too.
     """
     names = [features] if isinstance(features, str) else list(features)
     if len(names) != 1:

@@ -12,9 +12,9 @@ from keyspan.operators.frames import quoted
 
 
 def distinct_keys(rows: DataFrame, key: str) -> list:
-    """The keys to train a model for, in order. One model per key: a list the driver has to hold anyway."""
-    found = rows.select(quoted(key)).where(quoted(key).isNotNull()).distinct().collect()
-    return sorted(r[0] for r in found)
+    """The keys to train a model for, in order. One model per key: a list the driver has to hold anyway, streamed to it."""
+    found = rows.select(quoted(key)).where(quoted(key).isNotNull()).distinct()
+    return sorted(r[0] for r in found.toLocalIterator())
 
 
 def fit_each_key(spark: SparkSession, keys: list, fit: Callable, parallelism: int = 4) -> list:

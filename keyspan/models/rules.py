@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from typing import Any, NamedTuple
 
@@ -33,7 +34,10 @@ def is_bool(value) -> bool:
 
 
 def apply_rules(rules: tuple[Rule, ...], raw: dict) -> dict:
-    """Accepted values and defaults by target name. A rule without default leaves its parameter to the library."""
+    """Accepted values and defaults by target name. A rule without default leaves its parameter to the library.
+
+    A value out of its range is replaced by the default, with a warning that says so.
+    """
     unknown = set(raw) - {r.name for r in rules}
     if unknown:
         raise ValueError(f"unknown parameters: {sorted(unknown)}")
@@ -42,6 +46,10 @@ def apply_rules(rules: tuple[Rule, ...], raw: dict) -> dict:
         value = raw.get(rule.name)
         if value is not None and rule.accepts(value):
             chosen[rule.target] = value
-        elif rule.default is not None:
+            continue
+        if value is not None:
+            instead = "the library's default" if rule.default is None else repr(rule.default)
+            warnings.warn(f"{rule.name}={value!r} is out of range, {instead} is used", stacklevel=3)
+        if rule.default is not None:
             chosen[rule.target] = rule.default
     return chosen

@@ -24,7 +24,7 @@ from keyspan.models.layout import laid_out
 from keyspan.models.per_key import distinct_keys, fit_each_key
 from keyspan.models.rules import Rule, apply_rules, between, is_bool, not_blank
 from keyspan.operators.frames import drop_incomplete, filter_keys, quoted
-from keyspan.sources.storage import staged_by_key
+from keyspan.sources.storage import FOLDER, rows_with_key, staged_by_key
 
 # Three independent draws per row; together they also stand for the row's id.
 DRAWS = ("split", "sample", "fold")
@@ -113,11 +113,11 @@ def training_table(
     )
     inputs = [f"_f{i}" for i in range(len(features))]
     with staged_by_key(drop_incomplete(rows, [key, *inputs, "label"]), key) as staged:
-        yield assemble(staged, inputs).select(*DRAW_COLUMNS, key, "features", "label")
+        yield assemble(staged, inputs).select(*DRAW_COLUMNS, quoted(key), "features", "label", FOLDER)
 
 
 def rows_of(table: DataFrame, key: str, value) -> DataFrame:
-    return table.where(quoted(key) == F.lit(value)).drop(key)
+    return rows_with_key(table, key, value).drop(quoted(key))
 
 
 def sampled(rows: DataFrame, fraction: float) -> DataFrame:

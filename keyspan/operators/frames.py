@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 Step = Callable[[DataFrame], DataFrame]
 
-# Longer key lists become a join instead of one long IN expression.
+# Longer key lists become a join instead of one long IN expression. Either way a value is cast to the column's type.
 IN_LIST_KEYS = 500
 
 COMPARISONS = {
@@ -48,13 +48,16 @@ def filter_key(df: DataFrame, key: str, value) -> DataFrame:
 def filter_keys(df: DataFrame, key: str, values: Iterable | DataFrame) -> DataFrame:
     """Rows whose key is in ``values``: a list, or a DataFrame with a column named like the key."""
     if isinstance(values, DataFrame):
-        return df.join(values.select(key).distinct(), key, "left_semi")
-    wanted = list(dict.fromkeys(values))
+        return df.join(values.select(quoted(key)), key, "left_semi")
+    wanted = list(dict.fromkeys(v for v in values if v is not None))
+    kind = df.schema[key].dataType
     if len(wanted) <= IN_LIST_KEYS:
-        return df.where(quoted(key).isin(wanted))
-    kind = df.schema[key].dataType.simpleString()
-    listed = df.sparkSession.createDataFrame([(v,) for v in wanted], f"`{key}` {kind}")
-    return df.join(listed, key, "left_semi")
+        return df.where(quoted(key).isin([F.lit(v).cast(kind) for v in wanted]))
+    by_type: dict[type, list] = {}
+    for value in wanted:
+        by_type.setdefault(type(value), []).append((value,))
+    listed = [df.sparkSession.createDataFrame(rows, ["_value"]).select(F.col("_value").cast(kind).alias(key)) for rows in by_type.values()]
+    return df.join(reduce(DataFrame.unionAll, listed), key, "left_semi")
 
 
 def _instant(value: str | dt.date | dt.datetime) -> dt.datetime:

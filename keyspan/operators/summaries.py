@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyspan.functions.sampling import id_hash
 from keyspan.operators.frames import filter_dates, filter_key, quoted
+from keyspan.operators.positions import numbered
+from keyspan.sources.storage import written
 from keyspan.sources.tables import load_table
 
-# Aimed-at children per array; larger clusters are spread over several rows (``part`` 0, 1, ...).
+# Children per array; larger clusters continue in further rows (``part`` 0, 1, ...).
 GROUP_CHILDREN = 10_000
 
 
@@ -72,28 +73,27 @@ def cluster_members(clusters: DataFrame, key: str) -> DataFrame:
 def cluster_groups(clusters: DataFrame, key: str, group_children: int = GROUP_CHILDREN) -> DataFrame:
     """Children of every centre as sorted arrays: ``(cluster_id, parent, part, children[], multiple_centers)``.
 
-    A centre without children has one empty array. Clusters of more than ``group_children`` members are spread by hash over
-    as many rows as they need, copies of one member too, so that no array grows with the table; ``cluster_members`` is the
-    flat form.
+    A centre without children has one empty array. ``part`` counts from 0 within the cluster: the parts, one after the other, are
+    the sorted children, and every part but the last has ``group_children`` of them. ``cluster_members`` is the flat form.
     """
-    members = (
-        clusters.where(F.col("is_center").isNotNull() & quoted(key).isNotNull())
-        .groupBy("cluster_id", "is_center", quoted(key).alias("_member"))
-        .agg(F.count(F.lit(1)).alias("_copies"))
-    )
-    size = F.lit(group_children)
-    parts = F.greatest(F.ceil(F.col("n_children") / size), F.lit(1))
-    part = F.when(F.col("is_center"), F.lit(0)).otherwise((id_hash("_member", "part", 0) + F.col("_chunk")) % parts)
-    placed = (
-        members.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / size))))
-        .withColumn("_copies", F.least(size, F.col("_copies") - F.col("_chunk") * size))
-        .join(cluster_centers_of(clusters, key), "cluster_id")
-        .withColumn("part", part.cast("int"))
-    )
-    copies = F.array_repeat("_member", F.col("_copies").cast("int"))
-    children = F.collect_list(F.when(~F.col("is_center"), copies))
-    return (
-        placed.groupBy("cluster_id", "parent", "part", "multiple_centers")
-        .agg(F.array_sort(F.flatten(children)).alias("children"))
-        .select("cluster_id", "parent", "part", "children", "multiple_centers")
+    members = clusters.where(F.col("is_center").isNotNull() & quoted(key).isNotNull())
+    members = members.select("cluster_id", "is_center", quoted(key).alias("_member"))
+    # Written: small, and asked several times.
+    heads = written(cluster_centers_of(clusters, key))
+    large = heads.where(F.col("n_children") > group_children)
+    fitting = heads.where(F.col("n_children") <= group_children).withColumn("part", F.lit(0))
+    children = members.where(~F.col("is_center"))
+    whole = children.join(large, "cluster_id", "left_anti").withColumn("part", F.lit(0))
+    if large.isEmpty():
+        parts, pieces = fitting, whole
+    else:
+        placed = numbered(children.join(large, "cluster_id", "left_semi"), "cluster_id", ["_member"])
+        placed = placed.withColumn("part", F.floor(F.col("_position") / group_children).cast("int")).drop("_position")
+        last = F.floor((F.col("n_children") - 1) / group_children).cast("int")
+        parts = fitting.unionByName(large.withColumn("part", F.explode(F.sequence(F.lit(0), last))))
+        pieces = whole.unionByName(placed)
+    arrays = pieces.groupBy("cluster_id", "part").agg(F.array_sort(F.collect_list("_member")).alias("children"))
+    empty = F.array().cast(arrays.schema["children"].dataType)
+    return parts.join(arrays, ["cluster_id", "part"], "left").select(
+        "cluster_id", "parent", "part", F.coalesce("children", empty).alias("children"), "multiple_centers"
     )

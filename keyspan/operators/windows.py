@@ -2,40 +2,35 @@
 
 A series is the rows of one key in the order of a date column, ties broken by a row id. Most keys have short series, and one
 shuffle on the key puts each of them, sorted, into a task. A key with more than ``split_rows`` rows would make that task the
-bottleneck. The rows of such keys are sorted globally, numbered, and cut into blocks of ``split_rows`` consecutive rows; each
+bottleneck. The rows of such keys are sorted globally, numbered within their key, and cut into blocks of ``split_rows`` consecutive rows; each
 block also gets copies of the few rows before it that its first windows reach back to. No task then holds more than a block
 of a series, whatever the distribution of the keys.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from keyspan.operators.frames import filter_keys, quoted
+from keyspan.operators.positions import numbered
 from keyspan.sources.storage import written
 
 SPLIT_ROWS = 1_000_000
 # Most entries of one array in a result row; longer series continue in further rows (``part`` 1, 2, ...).
 ARRAY_ROWS = 100_000
 
-# monotonically_increasing_id keeps the partition number above this many bits and the row number below.
-ROW_BITS = 33
-# Block number of the series that are not cut.
-WHOLE = -1
-
 
 def _series_rows(df: DataFrame, key: str, order: str, feature: str, row_id: str | list[str]) -> DataFrame:
-    """The columns of a series under internal names. Rows without key or value take no part."""
+    """The columns of a series under internal names. Rows without key or value (null or NaN) take no part."""
     ids = [row_id] if isinstance(row_id, str) else list(row_id)
     return df.select(
         quoted(key).alias("_key"),
         quoted(order).alias("_date"),
         F.struct(*[quoted(c).alias(f"_{i}") for i, c in enumerate(ids)]).alias("_id"),
         quoted(feature).cast("double").alias("_value"),
-    ).where(F.col("_key").isNotNull() & F.col("_value").isNotNull())
+    ).where(F.col("_key").isNotNull() & F.col("_value").isNotNull() & ~F.isnan("_value"))
 
 
 def long_series(df: DataFrame, key: str, split_rows: int) -> DataFrame:
@@ -45,45 +40,42 @@ def long_series(df: DataFrame, key: str, split_rows: int) -> DataFrame:
     return counts.where(F.col("_n") > split_rows).select("_key")
 
 
+def _first_type(rows: DataFrame) -> StructType:
+    return rows.select(F.struct("_date").alias("_first")).schema["_first"].dataType
+
+
 def _in_blocks(rows: DataFrame, reach: int, size: int) -> DataFrame:
-    """Globally sorted rows in blocks of ``size``, the last ``reach`` of each copied to the next block."""
-    numbered = written(
-        rows.sort("_key", "_date", "_id").withColumn("_at", F.monotonically_increasing_id())
-    )
-    partition = F.shiftright("_at", ROW_BITS)
-    # One number per sorted partition comes to the driver, and goes back as a table of that size.
-    sizes = numbered.groupBy(partition.alias("_partition")).agg(F.count(F.lit(1)).alias("_n")).collect()
-    sizes.sort(key=lambda r: r["_partition"])
-    starts = accumulate((r["_n"] for r in sizes), initial=0)
-    offsets = numbered.sparkSession.createDataFrame(
-        [(r["_partition"], start) for r, start in zip(sizes, starts)], "_partition bigint, _start bigint"
-    )
-    placed = numbered.withColumn("_partition", partition).join(F.broadcast(offsets), "_partition")
-    position = F.col("_start") + F.col("_at").bitwiseAND(F.lit(2**ROW_BITS - 1))
-    placed = placed.withColumn("_position", position).withColumn(
-        "_home", F.floor(F.col("_position") / F.lit(size))
-    )
+    """Rows in blocks of ``size`` consecutive rows of a key, the last ``reach`` of each copied to the next block."""
+    placed = numbered(rows, "_key", ["_date", "_id"], {"_first": F.struct("_date")})
+    placed = placed.withColumn("_home", F.floor(F.col("_position") / F.lit(size)).cast("int"))
     near_end = F.col("_position") % F.lit(size) >= F.lit(size - reach)
     blocks = F.when(near_end, F.array("_home", F.col("_home") + 1)).otherwise(F.array("_home"))
     return placed.withColumn("_block", F.explode(blocks)).select(
-        "_key", "_date", "_id", "_value", "_block", (F.col("_block") == F.col("_home")).alias("_own")
+        "_key", "_date", "_id", "_value", "_first", "_block", (F.col("_block") == F.col("_home")).alias("_own")
     )
 
 
 def _lay_out(
     df: DataFrame, key: str, order: str, feature: str, row_id: str | list[str], reach: int, split_rows: int | None
 ) -> tuple[DataFrame, list[str]]:
-    """Series rows plus ``_own`` (false for copies), and the columns whose groups hold a series or a piece of one."""
+    """Series rows plus ``_own`` (false for copies), and the columns whose groups hold a series or a piece of one.
+
+    Pieces are numbered by ``_block`` within their key, and ``_first`` holds the first date of a key that has several.
+    """
     if split_rows is not None and split_rows < 1:
         raise ValueError("split_rows must be at least 1")
     rows = _series_rows(df, key, order, feature, row_id)
-    if split_rows is None or long_series(df, key, split_rows).isEmpty():
-        return rows.withColumn("_own", F.lit(True)), ["_key"]
-    # Written down, so that Spark knows its size and broadcasts it only if that is small.
+    whole = rows.withColumns(
+        {"_first": F.lit(None).cast(_first_type(rows)), "_block": F.lit(0), "_own": F.lit(True)}
+    )
+    if split_rows is None:
+        return whole, ["_key"]
+    # Written down, so that it is counted once, and Spark knows its size and broadcasts it only if that is small.
     long_keys = written(long_series(df, key, split_rows))
+    if long_keys.isEmpty():
+        return whole, ["_key"]
     blocks = _in_blocks(rows.join(long_keys, "_key", "left_semi"), reach, max(split_rows, reach))
-    whole = rows.join(long_keys, "_key", "left_anti").withColumns({"_block": F.lit(WHOLE), "_own": F.lit(True)})
-    return blocks.unionByName(whole), ["_key", "_block"]
+    return blocks.unionByName(whole.join(long_keys, "_key", "left_anti")), ["_key", "_block"]
 
 
 def _check_days(days: int) -> None:
@@ -132,23 +124,13 @@ def moving_average(
     )
 
 
-def _numbered_parts(laid: DataFrame) -> DataFrame:
-    """``part`` (0, 1, ... within the key) and the first date of the key, for every piece of a split series."""
-    pieces = laid.where("_own").groupBy("_key", "_block").agg(F.min(F.struct("_date")).alias("_first"))
-    w = Window.partitionBy("_key").orderBy("_block")
-    return pieces.select(
-        "_key",
-        "_block",
-        (F.row_number().over(w) - 1).alias("part"),
-        F.first("_first").over(w)["_date"].alias("start_date"),
-    )
+# A piece's part of its key's answer, and the first date of the key.
+def _part() -> Column:
+    return F.first("_block").alias("part")
 
 
-def _with_parts(pieces: DataFrame, laid: DataFrame, groups: list[str]) -> DataFrame:
-    """Add ``part`` and ``start_date`` to one row per piece."""
-    if groups == ["_key"]:
-        return pieces.withColumns({"part": F.lit(0), "start_date": F.col("_start")["_date"]})
-    return pieces.join(_numbered_parts(laid), ["_key", "_block"])
+def _start_date() -> Column:
+    return F.coalesce(F.first("_first"), F.min(F.struct("_date")))["_date"].alias("start_date")
 
 
 def series(
@@ -161,19 +143,17 @@ def series(
 ) -> DataFrame:
     """The ordered series of every key as arrays: ``(key, part, series[value, date])``.
 
-    All keys with up to ``array_rows`` rows have a single part 0.
+    ``part`` counts from 0 within the key and is always there: every part but a key's last has ``array_rows`` entries, whatever
+    other keys the table has.
     """
     laid, groups = _lay_out(df, key, order, feature, row_id, 0, array_rows)
     pieces = laid.groupBy(*groups).agg(
-        F.min(F.struct("_date")).alias("_start"),
-        F.array_sort(F.collect_list(F.struct("_date", "_id", "_value"))).alias("_rows"),
+        _part(), F.array_sort(F.collect_list(F.struct("_date", "_id", "_value"))).alias("_rows")
     )
     values = F.transform(
         "_rows", lambda r: F.struct(r["_value"].alias("value"), r["_date"].alias("date"))
     )
-    return _with_parts(pieces, laid, groups).select(
-        F.col("_key").alias(key), "part", values.alias("series")
-    )
+    return pieces.select(F.col("_key").alias(key), "part", values.alias("series"))
 
 
 def moving_average_arrays(
@@ -194,11 +174,12 @@ def moving_average_arrays(
     laid, groups = _lay_out(df, key, order, feature, row_id, days - 1, array_rows)
     point = F.when(F.col("_full"), F.struct("_date", "_id", "_avg"))
     pieces = _averaged(laid, groups, days).groupBy(*groups).agg(
-        F.min(F.struct("_date")).alias("_start"),
+        _part(),
+        _start_date(),
         F.array_sort(F.collect_list(point)).alias("_points"),
     )
     averages = F.transform("_points", lambda p: F.struct(p["_avg"].alias("avg"), p["_date"].alias("date")))
-    return _with_parts(pieces, laid, groups).select(
+    return pieces.select(
         F.col("_key").alias(key),
         "part",
         averages.alias("moving_averages"),
@@ -228,19 +209,15 @@ def moving_average_request(
     wanted = requested.select("pos", key)
     rows = filter_keys(df, key, wanted)
     answers = moving_average_arrays(rows, key, order, feature, days, row_id, array_rows)
-    known = wanted.join(answers, key).select("pos", key, "part", "moving_averages", "num_days", "start_date")
-    # Keys without an answer are found by name, so that no outer join has to carry the arrays.
-    names = _series_rows(rows, key, order, feature, row_id).select(F.col("_key").alias(key)).distinct()
     types = answers.schema
-    unknown = wanted.join(names, key, "left_anti").select(
+    return wanted.join(answers, key, "left").select(
         "pos",
-        key,
-        F.lit(0).alias("part"),
-        F.array().cast(types["moving_averages"].dataType).alias("moving_averages"),
+        quoted(key),
+        F.coalesce("part", F.lit(0)).alias("part"),
+        F.coalesce("moving_averages", F.array().cast(types["moving_averages"].dataType)).alias("moving_averages"),
         F.lit(days).alias("num_days"),
-        F.lit(None).cast(types["start_date"].dataType).alias("start_date"),
+        "start_date",
     )
-    return known.unionAll(unknown)
 
 
 def moving_average_from_arrays(

@@ -57,7 +57,9 @@ def test_requested_keys_and_history(spark):
         data(spark), "k", ["x"], "y", keys=["b", "zzz"], reg_param=0.3, elastic_net=0.5, history=True
     ).collect()
     assert [r["k"] for r in got] == ["b"] and got[0]["total_iterations"] == len(got[0]["objective_history"]) - 1 > 0
-    without = linear_regression(data(spark), "k", "x", "y", keys=["b"], reg_param=0.3, elastic_net=0.5).first()
+    without = linear_regression(
+            data(spark), "k", "x", "y", keys=["b"], reg_param=0.3, elastic_net=0.5, history=False
+        ).first()
     assert without["objective_history"] is None
     assert without["slope_coefficients"] == pytest.approx(got[0]["slope_coefficients"], rel=1e-3)
 
