@@ -315,7 +315,7 @@ def compound_nested(spark: SparkSession, directory: str) -> DataFrame:
 
 def _line_fits(spark, directory, feature="l_quantity", **params) -> DataFrame:
     lines = load_table(spark, directory, "lineitem")
-    return linear_regression(lines, "l_suppkey", feature, "l_extendedprice", **params)
+    return linear_regression(lines, "l_suppkey", feature, "l_extendedprice", history=False, **params)
 
 
 def _fit_report(fits: DataFrame, slope_digits: int = 4, key: str = "l_suppkey") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CLUSTER_SCHEMA = "cluster_id int, gis_join string, is_center boolean"
 
@@ -61,3 +62,8 @@ def to_json_column(*cols: str) -> Column:
 def to_json_rows(df: DataFrame) -> DataFrame:
     """One JSON document per row in column ``json``; null fields are written out, not left away."""
     return df.select(to_json_column().alias("json"))
+
+
+def from_json_rows(df: DataFrame, schema: StructType | str, json: str = "json") -> DataFrame:
+    """The rows that the documents in column ``json`` stand for; fields that a document lacks, and documents that are none, are null."""
+    return df.select(F.from_json(F.col(f"`{json}`"), schema).alias("_row")).select("_row.*")

@@ -77,3 +77,10 @@ def test_filters_reach_the_scan(spark, small_dir):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_totalprice,1000.0)" in plan
     assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in plan
+
+
+def test_key_lists_of_any_length_cast_alike(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (None,)], "`my.key` double")
+    for more in (0, 600):
+        keys = [1, 7.5, None, *range(1000, 1000 + more)]
+        assert [r[0] for r in frames.filter_keys(df, "my.key", keys).collect()] == [1.0]

@@ -109,3 +109,15 @@ def test_parameter_rules(name, target, inside, outside, default):
         assert lr_params(**{name: value})[target] == default
     with pytest.raises(ValueError):
         lr_params(nonsense=1)
+
+
+def test_points_on_a_line_leave_no_error(spark):
+    df = spark.createDataFrame([("a", float(i), 100000.0 * i) for i in range(500)], "`my.key` string, x double, y double")
+    for intercept in (True, False):
+        fit = linear_regression(df, "my.key", "x", "y", reg_param=0.0, fit_intercept=intercept).first()
+        assert fit["rmse"] < 1e-6 * 5e7 * 1e-3 and fit["r2"] > 1 - 1e-12
+
+
+def test_values_out_of_range_warn():
+    with pytest.warns(UserWarning, match="max_iterations=100"):
+        assert lr_params(max_iterations=100)["maxIter"] == 10

@@ -1,10 +1,14 @@
 from types import SimpleNamespace
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from keyspan.sources import load_models, load_stats, load_table, save_models, shared_dir, staged_by_key, to_json_rows, written
+from keyspan.operators.windows import moving_average
 from keyspan.sources.models import load_targets
+from keyspan.sources.storage import rows_with_key, scratch
 from keyspan.sources.tables import stats_table
 from keyspan.models import trees
 
@@ -59,18 +63,52 @@ def test_written_table_cuts_the_plan(spark):
 
 
 def test_staged_rows(spark):
-    df = spark.createDataFrame([("007", 1.0), ("7", 2.0), (None, 3.0), ("a/b=c", 4.0)], "k string, v double")
+    keys = ["007", "7", "", "a/b=c", "__HIVE_DEFAULT_PARTITION__", "null", None, " "]
+    df = spark.createDataFrame([(k, float(i)) for i, k in enumerate(keys)], "k string, v double")
     with staged_by_key(df, "k") as staged:
-        assert staged.columns == ["k", "v"]
-        assert sorted(map(tuple, staged.collect())) == [("007", 1.0), ("7", 2.0), ("a/b=c", 4.0)]
-        one = staged.where(F.col("k") == "007")
-        assert [tuple(r) for r in one.collect()] == [("007", 1.0)]
-        assert "PartitionFilters: [isnotnull(k" in one._jdf.queryExecution().executedPlan().toString()
-        folder = staged.inputFiles()[0].split("/k=")[0]
+        assert sorted(tuple(r)[:2] for r in staged.collect()) == sorted((k, float(i)) for i, k in enumerate(keys) if k is not None)
+        for i, k in enumerate(keys):
+            if k is not None:
+                one = rows_with_key(staged, "k", k)
+                assert one.columns == ["k", "v"] and [tuple(r) for r in one.collect()] == [(k, float(i))]
+        assert "PartitionFilters: [isnotnull(_folder" in one._jdf.queryExecution().executedPlan().toString()
+        folder = staged.inputFiles()[0].split("/_folder=")[0]
     with pytest.raises(Exception):
         spark.read.parquet(folder).count()
 
 
+@pytest.mark.parametrize("kind", ["int", "double", "date", "boolean", "decimal(5,2)"])
+def test_staged_rows_of_other_types(spark, kind):
+    df = spark.sql(f"select cast(x as {kind}) as k from values (1), (2) as t(x)" if kind != "date" else "select date '2020-01-01' as k")
+    with staged_by_key(df, "k") as staged:
+        for r in df.collect():
+            assert rows_with_key(staged, "k", r["k"]).count() == df.where(F.col("k") == F.lit(r["k"])).count()
+
+
+def test_scratch_owns_what_is_written(spark, small_dir):
+    events = spark.read.parquet(f"{small_dir}/events.parquet")
+    args = ("user_id", "ts", "value", 7, "event_id")
+    before = set(Path(shared_dir(spark)).iterdir())
+    with scratch(spark):
+        answer = moving_average(events, *args, split_rows=10).count()
+        assert set(Path(shared_dir(spark)).iterdir()) > before
+    assert set(Path(shared_dir(spark)).iterdir()) == before
+    assert answer == moving_average(events, *args, split_rows=None).count()
+
+
+def test_models_of_two_runs_and_odd_keys(spark, tmp_path):
+    rows = [(k, float(i % 7), float(i % 5), i) for k in ("", "a/b", "p") for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, x double, y double, id long")
+    folder = f"{tmp_path}/models"
+    for keys in (["", "a/b"], ["p"]):
+        trained = trees.random_forest(df, "k", ["x"], "y", "id", keys=keys, num_trees=1, max_depth=1)
+        assert sorted(trained.models) == keys
+        save_models(trained.models, trained.metrics, folder)
+    models, missing = load_models(spark, ["", "a/b", "p", "q"], folder, "random_forest")
+    assert sorted(models) == ["", "a/b", "p"] and missing == ["q"]
+    assert sorted(r["k"] for r in load_targets(spark, folder).collect()) == ["", "a/b", "p"]
+
+
 def test_saved_models_predict_the_same(spark, small_dir, tmp_path):
     lines = spark.read.parquet(f"{small_dir}/lineitem.parquet")
     args = ("l_linestatus", ["l_quantity", "l_tax"], "l_extendedprice", ["l_orderkey", "l_linenumber", "l_partkey"])

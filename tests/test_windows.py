@@ -129,5 +129,21 @@ def test_blocks_stay_small(spark):
     assert groups == ["_key", "_block"]
     largest = laid.groupBy(*groups).count().agg(F.max("count")).first()[0]
     assert largest <= 6 + 2
-    assert {r[0] for r in laid.where("_block >= 0").select("_key").distinct().collect()} == {"hot"}
+    assert {r[0] for r in laid.where("_first is not null").select("_key").distinct().collect()} == {"hot"}
     assert laid.where("_own").count() == len([r for r in SKEWED if r[0] is not None and r[3] is not None])
+
+
+def test_parts_depend_on_their_own_key_only(spark):
+    rows = [("a", i, float(i)) for i in range(25)]
+    others = [("b", i, float(i)) for i in range(13)] + [("0", i, 1.0) for i in range(31)]
+    alone, beside = (spark.createDataFrame(r, "k string, d int, v double") for r in (rows, rows + others))
+    parts = [
+        sorted((r["part"], [e["value"] for e in r["series"]]) for r in windows.series(df, "k", "d", "v", "d", array_rows=10).where("k = 'a'").collect())
+        for df in (alone, beside)
+    ]
+    assert parts[0] == parts[1] and [len(values) for _, values in parts[0]] == [10, 10, 5]
+
+
+def test_nan_is_no_value(spark):
+    df = spark.createDataFrame([("a", i, float("nan") if i == 2 else float(i)) for i in range(5)], "k string, d int, v double")
+    assert sorted(r["avg"] for r in windows.moving_average(df, "k", "d", "v", 2, "d").collect()) == [0.5, 2.0, 3.5]
