@@ -6,7 +6,7 @@ What passes from a parent to its children are its hyper-parameters and its rmse
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from keyspan.models.trees import (
     fit_and_test,
     rows_of,
     sampled,
+    training_counts,
     training_table,
     tree_params,
 )
@@ -51,33 +52,41 @@ def hyper_parameters(model, kind: str) -> dict:
     return {p.name: v for p, v in model.extractParamMap().items() if p.name in names}
 
 
+def growing(start: float, limit: float) -> tuple[float, ...]:
+    """``start`` and its doubles up to ``limit``, ``start`` at least: the sample of every round."""
+    if not 0.0 < start <= 1.0:
+        raise ValueError(f"the first fraction must be in (0, 1], not {start}")
+    fractions = [start]
+    while fractions[-1] * 2 <= limit:
+        fractions.append(fractions[-1] * 2)
+    return tuple(fractions)
+
+
 def train_incremental(
     rows: DataFrame,
     estimator,
     target_rmse: float,
-    start: float,
-    limit: float = FRACTION_LIMIT,
+    fractions: tuple[float, ...],
+    counts: list[int],
     train_split: float = 0.8,
 ) -> tuple:
-    """Fit on ``start`` of the rows, then on twice as many, until the test rmse is below the target.
+    """Fit on a sample of the rows, then on the next larger one, until the test rmse is below the target or none is left.
 
-    Gives up once the next share would exceed ``limit``. ``rows`` are those of one key of a ``training_table``. Returns the
-    model with the smallest rmse and one ``(round, fraction, seconds, rmse, r2, reached)`` per round.
+    ``rows`` are those of one key of a ``training_table``, ``counts`` its training rows per fraction. Returns the model with
+    the smallest rmse and one ``(round, fraction, seconds, rmse, r2, reached)`` per round.
     """
-    if not 0.0 < start <= 1.0:
-        raise ValueError(f"the first fraction must be in (0, 1], not {start}")
-    best, best_rmse, rounds, fraction = None, None, [], start
-    while True:
+    best, best_rmse, rounds = None, None, []
+    for fraction, n_rows in zip(fractions, counts):
         began = time.monotonic()
-        answer = fit_and_test(sampled(rows, fraction), estimator, train_split)
+        answer = fit_and_test(sampled(rows, fraction), estimator, train_split, n_rows)
         model, rmse, r2 = answer or (None, None, None)
         reached = rmse is not None and rmse < target_rmse
         rounds.append((len(rounds), fraction, time.monotonic() - began, rmse, r2, reached))
         if model is not None and (best is None or (rmse is not None and (best_rmse is None or rmse < best_rmse))):
             best, best_rmse = model, rmse
-        fraction *= 2
-        if reached or fraction > limit:
-            return best, rounds
+        if reached:
+            break
+    return best, rounds
 
 
 def _history(df: DataFrame, key: str, rows: list) -> DataFrame:
@@ -149,15 +158,15 @@ def train_children(
     trainable = sorted((r["child"], r["parent"]) for r in pairs if r["parent"] in parents and rmse.get(r["parent"]) is not None)
     known = {child for child, _ in trainable}
     skipped = sorted(r["child"] for r in pairs if r["child"] not in known)
-    first = START_FRACTION[kind] if start is None else start
+    fractions = growing(START_FRACTION[kind] if start is None else start, limit)
     with training_table(df, key, features, label, row_id, [c for c, _ in trainable], seed) as table:
+        counts = training_counts(table, key, train_split, fractions)
 
         def train(pair):
             child, parent = pair
             estimator = estimator_for(kind, hyper_parameters(parents[parent], kind), seed)
-            return train_incremental(
-                rows_of(table, key, child), estimator, rmse[parent], first, limit, train_split
-            )
+            own = counts.get(child, [0] * len(fractions))
+            return train_incremental(rows_of(table, key, child), estimator, rmse[parent], fractions, own, train_split)
 
         answers = fit_each_key(df.sparkSession, trainable, train, parallelism)
     return _transferred(df, key, trainable, answers, [], skipped)
@@ -217,9 +226,13 @@ def train_from_first(
     train_split = settings.pop("train_split")
     first, others = wanted[0], wanted[1:]
     estimator = estimator_for("gradient_boost", settings, seed)
+    # All rows of the first key come before the growing samples of the others.
+    fractions = (1.0, *growing(start, limit))
     with training_table(df, key, features, label, row_id, wanted, seed) as table:
+        counts = training_counts(table, key, train_split, fractions)
+        none = [0] * len(fractions)
         began = time.monotonic()
-        answer = fit_and_test(rows_of(table, key, first), estimator, train_split)
+        answer = fit_and_test(rows_of(table, key, first), estimator, train_split, counts.get(first, none)[0])
         if answer is None or answer[1] is None:
             raise ValueError(f"key {first!r} has too few rows to train on")
         model, rmse, r2 = answer
@@ -227,14 +240,14 @@ def train_from_first(
             df.sparkSession,
             others,
             lambda v: train_incremental(
-                rows_of(table, key, v), estimator, rmse, start, limit, train_split
+                rows_of(table, key, v), estimator, rmse, fractions[1:], counts.get(v, none)[1:], train_split
             ),
             parallelism,
         )
     opening = (first, "parent", 0, 1.0, time.monotonic() - began, rmse, r2, True)
     result = _transferred(df, key, [(k, first) for k in others], answers, [opening], [])
-    result.models[first] = model
-    return result
+    own = df.sparkSession.createDataFrame([(first, first, rmse, r2, 1, True)], result.metrics.schema)
+    return replace(result, models={**result.models, first: model}, metrics=own.unionAll(result.metrics))
 
 
 def train_until(
@@ -254,8 +267,8 @@ def train_until(
     settings = tree_params("gradient_boost", **{"train_split": 0.9, **params})
     train_split = settings.pop("train_split")
     estimator = estimator_for("gradient_boost", settings, seed)
+    fractions = growing(start, limit)
     with training_table(df, key, features, label, row_id, [value], seed) as table:
-        answer = train_incremental(
-            rows_of(table, key, value), estimator, target_rmse, start, limit, train_split
-        )
+        own = training_counts(table, key, train_split, fractions).get(value, [0] * len(fractions))
+        answer = train_incremental(rows_of(table, key, value), estimator, target_rmse, fractions, own, train_split)
     return _transferred(df, key, [(value, value)], [answer], [], [])

@@ -21,7 +21,7 @@ from keyspan.functions.metrics import regression_metrics
 from keyspan.functions.sampling import below, id_hash, nth_fold
 from keyspan.functions.scaling import assemble
 from keyspan.models.layout import laid_out
-from keyspan.models.per_key import distinct_keys, fit_each_key
+from keyspan.models.per_key import fit_each_key
 from keyspan.models.rules import Rule, apply_rules, between, is_bool, not_blank
 from keyspan.operators.frames import drop_incomplete, filter_keys, quoted
 from keyspan.sources.storage import FOLDER, rows_with_key, staged_by_key
@@ -124,12 +124,18 @@ def sampled(rows: DataFrame, fraction: float) -> DataFrame:
     return rows.where(below(F.col("_sample"), fraction))
 
 
-def _training_rows(rows: DataFrame, train_split: float) -> tuple[DataFrame | None, DataFrame]:
-    """Training and test rows, the former laid out, or None where there are none."""
+def training_counts(table: DataFrame, key: str, train_split: float, fractions: tuple[float, ...] = (1.0,)) -> dict:
+    """Training rows of every key, a list with one number per sample fraction: one aggregation for all fits to come."""
     in_train = below(F.col("_split"), train_split)
-    train, test = rows.where(in_train), rows.where(~in_train)
-    n_rows = train.count()
-    return (laid_out(train, n_rows, DRAW_COLUMNS) if n_rows else None), test
+    counts = [F.sum((in_train & below(F.col("_sample"), f)).cast("long")).alias(f"n{i}") for i, f in enumerate(fractions)]
+    rows = table.groupBy(quoted(key).alias("_key")).agg(*counts).toLocalIterator()
+    return {r["_key"]: [r[f"n{i}"] for i in range(len(fractions))] for r in rows}
+
+
+def _training_rows(rows: DataFrame, train_split: float, n_rows: int) -> tuple[DataFrame | None, DataFrame]:
+    """Training and test rows, the former (``n_rows`` of them) laid out, or None where there are none."""
+    in_train = below(F.col("_split"), train_split)
+    return (laid_out(rows.where(in_train), n_rows, DRAW_COLUMNS) if n_rows else None), rows.where(~in_train)
 
 
 def accuracy(model, test: DataFrame) -> tuple[float | None, float | None]:
@@ -138,9 +144,9 @@ def accuracy(model, test: DataFrame) -> tuple[float | None, float | None]:
     return row["rmse"], row["r2"]
 
 
-def fit_and_test(rows: DataFrame, estimator, train_split: float):
-    """Model and accuracy of one key, or None when it has no training rows."""
-    train, test = _training_rows(rows, train_split)
+def fit_and_test(rows: DataFrame, estimator, train_split: float, n_rows: int):
+    """Model and accuracy of one key with ``n_rows`` training rows, or None when it has none."""
+    train, test = _training_rows(rows, train_split, n_rows)
     if train is None:
         return None
     model = estimator.fit(train)
@@ -160,15 +166,35 @@ def _settings(grid: dict) -> list[dict]:
     return [dict(zip(grid, values)) for values in product(*grid.values())]
 
 
+def _fits(kind: str, settings: list[dict]) -> list[tuple[dict, list[int]]]:
+    """Settings to fit, each with the positions in ``settings`` that it answers.
+
+    Boosting adds one tree after the other, so settings that differ in ``maxIter`` only are stages of the longest of them.
+    """
+    groups: dict[tuple, list[int]] = {}
+    for i, setting in enumerate(settings):
+        shared = tuple(v for n, v in sorted(setting.items()) if kind != "gradient_boost" or n != "maxIter")
+        groups.setdefault(shared, []).append(i)
+    return [(settings[max(which, key=lambda i: settings[i].get("maxIter", 0))], which) for which in groups.values()]
+
+
+def _stage_errors(model, test: DataFrame, stages: list[int | None]) -> list[float]:
+    """The rmse of the model's first so many trees on ``test``, or of all of them for None; one pass."""
+    if stages == [None]:
+        return [accuracy(model, test)[0]]
+    errors = model.evaluateEachIteration(test, "squared")
+    return [errors[(n or len(errors)) - 1] ** 0.5 for n in stages]
+
+
 def search_and_test(
-    rows: DataFrame, kind: str, base: dict, grid: dict, folds: int, parallelism: int, train_split: float, seed: int
+    rows: DataFrame, kind: str, base: dict, grid: dict, folds: int, parallelism: int, train_split: float, seed: int, n_rows: int
 ):
     """Cross-validated choice among the grid's settings, then the best one on all training rows.
 
     Folds come from the row ids, and every setting is scored by its mean rmse over them.
     """
     spark = rows.sparkSession
-    train, test = _training_rows(rows, train_split)
+    train, test = _training_rows(rows, train_split, n_rows)
     if train is None:
         return None
     train = train.withColumn("_fold", nth_fold(F.col("_fold"), folds)).persist()
@@ -179,13 +205,17 @@ def search_and_test(
         usable = filled if len(filled) > 1 else []
 
         def score(task):
-            setting, fold = task
+            setting, which, fold = task
             model = estimator_for(kind, {**base, **setting}, seed).fit(train.where(F.col("_fold") != fold))
-            return accuracy(model, train.where(F.col("_fold") == fold))[0]
-
-        found = fit_each_key(spark, [(s, fold) for s in settings for fold in usable], score, parallelism)
-        n = len(usable)
-        means = [sum(found[i * n : (i + 1) * n]) / n if n else None for i in range(len(settings))]
+            stages = [settings[i].get("maxIter") if kind == "gradient_boost" else None for i in which]
+            return list(zip(which, _stage_errors(model, train.where(F.col("_fold") == fold), stages)))
+
+        tasks = [(setting, which, fold) for setting, which in _fits(kind, settings) for fold in usable]
+        errors: dict[int, list[float]] = {}
+        for found in fit_each_key(spark, tasks, score, parallelism):
+            for i, error in found:
+                errors.setdefault(i, []).append(error)
+        means = [sum(errors[i]) / len(errors[i]) if i in errors else None for i in range(len(settings))]
         best = first_best(means)
         model = estimator_for(kind, {**base, **settings[best]}, seed).fit(train)
         return (model, *accuracy(model, test), list(zip(settings, means)))
@@ -216,11 +246,14 @@ def _train(kind, df, key, features, label, row_id, keys, seed, parallelism, para
     settings = tree_params(kind, **params)
     train_split = settings.pop("train_split")
     with training_table(df, key, features, label, row_id, keys, seed) as table:
-        wanted = list(dict.fromkeys(keys)) if isinstance(keys, list) else distinct_keys(table, key)
+        counts = training_counts(table, key, train_split)
+        wanted = list(dict.fromkeys(keys)) if isinstance(keys, list) else sorted(counts)
         answers = fit_each_key(
             df.sparkSession,
             wanted,
-            lambda v: fit_and_test(rows_of(table, key, v), estimator_for(kind, settings, seed), train_split),
+            lambda v: fit_and_test(
+                rows_of(table, key, v), estimator_for(kind, settings, seed), train_split, counts.get(v, [0])[0]
+            ),
             parallelism,
         )
     return _collected(df, key, wanted, answers, with_scores=False)
@@ -261,12 +294,13 @@ def _search(kind, df, key, features, label, row_id, keys, grid, folds, paralleli
     train_split = settings.pop("train_split")
     chosen_grid = GRIDS[kind] if grid is None else grid
     with training_table(df, key, features, label, row_id, keys, seed) as table:
-        wanted = list(dict.fromkeys(keys)) if isinstance(keys, list) else distinct_keys(table, key)
+        counts = training_counts(table, key, train_split)
+        wanted = list(dict.fromkeys(keys)) if isinstance(keys, list) else sorted(counts)
         answers = fit_each_key(
             df.sparkSession,
             wanted,
             lambda v: search_and_test(
-                rows_of(table, key, v), kind, settings, chosen_grid, folds, parallelism, train_split, seed
+                rows_of(table, key, v), kind, settings, chosen_grid, folds, parallelism, train_split, seed, counts.get(v, [0])[0]
             ),
             key_parallelism,
         )

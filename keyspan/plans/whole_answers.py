@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyspan.functions.scaling import minmax_scale
-from keyspan.models import clustering, trees
+from keyspan.models import clustering, transfer, trees
 from keyspan.models.linear import linear_regression
 from keyspan.operators import frames, windows
 from keyspan.operators.joins import compound
 from keyspan.plans import catalogue, oracles
+from keyspan.sources.storage import new_path
 from keyspan.sources.tables import from_json_rows, load_stats, load_table, to_json_rows
 
 # Entries of an array in the queries that cut series into parts.
@@ -232,6 +235,38 @@ def random_forest_stump_empty_key(spark: SparkSession, directory: str) -> DataFr
     return catalogue._accuracy(trees.random_forest(lines, key, *rest, **catalogue.RF_STUMP).metrics)
 
 
+def gradient_boost_saved(spark: SparkSession, directory: str) -> DataFrame:
+    """Children of boosted parents that were saved and loaded again."""
+    lines, *rest = catalogue._tree_args(spark, directory)
+    workflow = (lines, catalogue._line_clusters(lines), "gradient_boost")
+    folder = new_path(spark, "models")
+    transfer.ensemble(*workflow, "exhaustive", folder, *rest, grid=catalogue.GBT_STUMP_GRID, folds=2, **catalogue.STUMP)
+    return catalogue._rounds(transfer.ensemble(*workflow, "transfer", folder, *rest).history)
+
+
+def _whole_grid(spark, directory, kind: str) -> DataFrame:
+    """The default grid and folds on the smallest kind of line: settings scored, scores below the chosen one's, settings outside the grid."""
+    grid = trees.GRIDS[kind]
+    found = transfer.EXHAUSTIVE[kind](*catalogue._tree_args(spark, directory), keys=["N-F"])
+    outside = reduce(lambda a, b: a | b, [~F.col("setting")[name].isin([float(v) for v in values]) for name, values in grid.items()])
+    chosen = transfer.hyper_parameters(found.models["N-F"], kind)
+    is_chosen = reduce(lambda a, b: a & b, [F.col("setting")[name] == float(chosen[name]) for name in grid])
+    return found.scores.groupBy("line_kind").agg(
+        F.count("*").alias("n_settings"),
+        F.count("avg_rmse").alias("n_scored"),
+        F.sum(outside.cast("long")).alias("n_outside"),
+        (F.min("avg_rmse") * (1 + trees.TIE) >= F.min(F.when(is_chosen, F.col("avg_rmse")))).alias("best_chosen"),
+    )
+
+
+def random_forest_whole_grid(spark: SparkSession, directory: str) -> DataFrame:
+    return _whole_grid(spark, directory, "random_forest")
+
+
+def gradient_boost_whole_grid(spark: SparkSession, directory: str) -> DataFrame:
+    return _whole_grid(spark, directory, "gradient_boost")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -256,6 +291,9 @@ QUERIES = {
         mixture_holds,
         lda_holds,
         random_forest_stump_empty_key,
+        gradient_boost_saved,
+        random_forest_whole_grid,
+        gradient_boost_whole_grid,
     )
 }
 
@@ -344,6 +382,15 @@ ORACLES = {
     "kmeans_holds": f"SELECT ({_COMPLETE}) AS n_rows, CAST(0 AS BIGINT) AS nearer_elsewhere, CAST(0 AS BIGINT) AS centres_off",
     "mixture_holds": f"SELECT ({_COMPLETE}) AS n_rows, CAST(0 AS BIGINT) AS not_one, CAST(0 AS BIGINT) AS not_likeliest, CAST(1.0 AS DOUBLE) AS weights",
     "lda_holds": f"SELECT ({_COMPLETE}) AS n_rows, CAST(0 AS BIGINT) AS not_one, CAST(0 AS BIGINT) AS not_largest",
+    "gradient_boost_saved": oracles.GRADIENT_BOOST_TRANSFER,
+    **{
+        f"{kind}_whole_grid": f"""
+            SELECT DISTINCT l_returnflag || '-' || l_linestatus AS line_kind, CAST({n} AS BIGINT) AS n_settings, CAST({n} AS BIGINT) AS n_scored,
+                   CAST(0 AS BIGINT) AS n_outside, TRUE AS best_chosen
+            FROM lineitem WHERE l_returnflag = 'N' AND l_linestatus = 'F'
+        """
+        for kind, n in (("random_forest", 81), ("gradient_boost", 27))
+    },
     "random_forest_stump_empty_key": oracles.RANDOM_FOREST_STUMP.replace(
         "l_returnflag || '-' || l_linestatus AS k",
         "CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN '' ELSE l_returnflag || '-' || l_linestatus END AS k",
