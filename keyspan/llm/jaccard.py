@@ -104,6 +104,13 @@ def _part_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=_PART_NAMES)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, so that texts are Python objects only briefly."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def _joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(table[name].to_pylist()), kind)
 
@@ -138,8 +145,8 @@ def _documents(rows: DataFrame, words: int) -> DataFrame:
             own = (-1 - (ids[0] + sent) % buckets, local.astype(np.int64).tobytes(), np.array(ids, np.int64).tobytes(), b"", np.array([len(s) for s in sets], np.int64).tobytes(), marks[:, 0].tobytes(), marks[:, 1].tobytes())
             return _part_batch([own, *((*e, b"", b"", b"") for e in entries)])
 
-        for batch in batches:
-            for doc, shingles in zip(batch["doc_id"].to_pylist(), shingle_sets(batch["text"].to_pylist(), words), strict=True):
+        for part in _slices(batches):
+            for doc, shingles in zip(part["doc_id"].to_pylist(), shingle_sets(part["text"].to_pylist(), words), strict=True):
                 ids.append(_NO_ID if doc is None else doc)
                 sets.append(shingles)
                 digests.append(digest(shingles))
@@ -180,18 +187,16 @@ def _class_sets(rows: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """``rep, n, shingles`` per class (``rep, first, second``), from the text of its representative."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                found = list(shingle_sets(part["text"].to_pylist(), words))
-                marks = [digest(s) for s in found]
-                # An id can stand in several rows: only the text of the class counts.
-                right = [m == w for m, w in zip(marks, zip(part["first"].to_pylist(), part["second"].to_pylist(), strict=True), strict=True)]
-                offsets = np.concatenate(([0], np.cumsum([len(s) for s in found])))
-                values = pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-                whole = pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(s) for s in found], pa.int32()), lists], names=["rep", "n", "shingles"])
-                yield whole.filter(pa.array(right, pa.bool_()))
+        for part in _slices(batches):
+            found = list(shingle_sets(part["text"].to_pylist(), words))
+            marks = [digest(s) for s in found]
+            # An id can stand in several rows: only the text of the class counts.
+            right = [m == w for m, w in zip(marks, zip(part["first"].to_pylist(), part["second"].to_pylist(), strict=True), strict=True)]
+            offsets = np.concatenate(([0], np.cumsum([len(s) for s in found])))
+            values = pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+            whole = pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(s) for s in found], pa.int32()), lists], names=["rep", "n", "shingles"])
+            yield whole.filter(pa.array(right, pa.bool_()))
 
     wanted = classes.select(F.col("rep").alias("doc_id"), "first", "second")
     # A filter drops nearly all other texts before the shuffle; what it lets pass the join sorts out.

@@ -8,7 +8,7 @@ import numpy as np
 
 WORDS = 5
 # Bytes of text hashed at once: bounds the arrays of 8 bytes per byte of text. A longer text is hashed alone.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 19
 _STEP, _JOIN, _SHORT = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0x2545F4914F6CDD1D))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
