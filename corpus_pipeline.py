@@ -8,13 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyspan.llm.bitmaps import without_ids
 from keyspan.llm.bpe import encode
 from keyspan.llm.decontaminate import find_matches, is_contaminated, n_hit
 from keyspan.llm.exact_dedup import drop_duplicates
 from keyspan.llm.jaccard import jaccard_components
 from keyspan.llm.quality import keep_good, train_quality
 from keyspan.llm.staging import ship_package, staged
-from keyspan.operators.frames import quoted
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -34,7 +34,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One document, that with the smallest id, of each group of near copies."""
     ship_package(spark)
     dropped = jaccard_components(docs).where("doc_id != component_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*map(quoted, docs.columns))
+    return without_ids(docs, "doc_id", dropped)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ship_package(spark)
     matches = find_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     contaminated = matches.where(is_contaminated(n_hit(F.col("spans")), F.col("n_words"))).select("doc_id")
-    return docs.join(contaminated, "doc_id", "left_anti").select(*map(quoted, docs.columns))
+    return without_ids(docs, "doc_id", contaminated)
 
 
 def bpe_coding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

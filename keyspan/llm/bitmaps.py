@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyspan.llm.staging import staged
+
 # Bits in one of Spark's bitmaps, which are binaries of 4096 bytes.
 BITMAP = 32768
 # A filter has 512 KB at least and 32 MB at most, and 64 slots per row as long as that fits.
@@ -35,3 +37,22 @@ def with_bit(rows: DataFrame, bitmaps: DataFrame, slot: str, name: str) -> DataF
     byte = F.conv(F.hex(F.substring(F.col(BITS), (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
     bit = F.coalesce(F.getbit(byte, (position % 8).cast("int")) == 1, F.lit(False))
     return joined.withColumn(name, bit).drop(BUCKET, BITS)
+
+
+def marked(rows: DataFrame, key: str, wanted: DataFrame, name: str) -> DataFrame:
+    """``rows`` with ``name``: whether their ``key`` may be one of the only column of ``wanted``. Null keys are none."""
+    column = F.col("`" + key.replace("`", "``") + "`")
+    bits = filter_bits(wanted.count())
+    slots = wanted.select(slot_of(F.col(wanted.columns[0]), bits).alias("slot"))
+    slotted = rows.withColumn("_bm_slot", F.when(column.isNotNull(), slot_of(column, bits)))
+    return with_bit(slotted, staged(bitmaps_of(slots, "slot")), "_bm_slot", name).drop("_bm_slot")
+
+
+def without_ids(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """``rows`` without those whose ``key`` is in ``gone`` (one column). Only rows that the filter marks are shuffled."""
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    gone = staged(gone.select(F.col(gone.columns[0]).alias("_bm_gone")).where("_bm_gone is not null"))
+    likely = marked(rows, key, gone, "_bm_likely")
+    straight = likely.where("not _bm_likely")
+    others = likely.where("_bm_likely").join(gone, quoted(key) == F.col("_bm_gone"), "left_anti")
+    return straight.union(others).select(*map(quoted, rows.columns))

@@ -28,7 +28,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyspan.llm.bitmaps import bitmaps_of, filter_bits, slot_of, with_bit
+from keyspan.llm.bitmaps import marked
 from keyspan.llm.components import connected
 from keyspan.llm.shingles import WORDS, digest, mixed, shingle_sets
 from keyspan.llm.staging import staged
@@ -200,9 +200,7 @@ def _class_sets(rows: DataFrame, classes: DataFrame, words: int) -> DataFrame:
 
     wanted = classes.select(F.col("rep").alias("doc_id"), "first", "second")
     # A filter drops nearly all other texts before the shuffle; what it lets pass the join sorts out.
-    bits = filter_bits(wanted.count())
-    marks = staged(bitmaps_of(wanted.select(slot_of(F.col("doc_id"), bits).alias("slot")), "slot"))
-    likely = with_bit(rows.withColumn("slot", slot_of(F.col("doc_id"), bits)), marks, "slot", "likely").where("likely")
+    likely = marked(rows, "doc_id", wanted.select("doc_id"), "likely").where("likely")
     joined = likely.join(wanted, "doc_id").select("doc_id", "text", "first", "second")
     return joined.mapInArrow(sets, "rep long, n int, shingles array<long>").dropDuplicates(["rep"])
 
