@@ -285,9 +285,13 @@ def fit_tree(own_pages: list[tuple[list[Element], list[int]]]) -> TreeModel:
 
 
 def train_tree(pages: DataFrame, html: str = "html", sample: int = SAMPLE) -> TreeModel:
-    """From the pages written down here and at most ``sample`` of the table, those with the smallest hashes."""
+    """From the pages written down here and about ``sample`` different ones of the table, at most twice as many, by their hashes."""
     column = F.col("`" + html.replace("`", "``") + "`")
-    chosen = pages.select(column.alias("html")).where("html is not null").orderBy(F.xxhash64("html"), "html").limit(sample)
+    share = min(1.0, sample / max(1, pages.count()))
+    drawn = pages.select(column.alias("html"), F.xxhash64(column).alias("hash")).where("html is not null")
+    drawn = drawn.where(F.pmod("hash", F.lit(1 << 30)) < int(share * (1 << 30)))
+    # Copies count once, and are dropped before anything is sent anywhere.
+    chosen = drawn.groupBy("hash").agg(F.min("html").alias("html")).orderBy("hash").limit(2 * sample)
     return fit_tree([(p.elements, labels) for r in chosen.collect() if (labels := self_labelled((p := parsed(r["html"])).elements))])
 
 

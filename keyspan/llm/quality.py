@@ -195,6 +195,8 @@ def train_quality(
     # Below a share of all hashes: the bound holds up to chance, and the sample is the same each time.
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     texts = docs.select(_quoted(doc_id).alias("doc_id"), _quoted(text).alias("text")).join(F.broadcast(sample), "doc_id")
+    # One text per id, however often an id is repeated.
+    texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
