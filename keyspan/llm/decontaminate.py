@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -134,19 +135,22 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-# One automaton per block and worker.
-_built: dict[int, SuffixAutomaton] = {}
+# The last automaton of a worker: it serves many tasks of one block.
+_built: dict[str, SuffixAutomaton] = {}
 
 
 def _automaton(block: Broadcast, window: int) -> SuffixAutomaton:
-    if block.value[0] not in _built:
-        _built[block.value[0]] = SuffixAutomaton(block.value[1], window)
-    return _built[block.value[0]]
+    name, items = block.value
+    if name not in _built:
+        _built.clear()
+        _built[name] = SuffixAutomaton(items, window)
+    return _built[name]
 
 
-def _blocks(items: DataFrame, window: int, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
     """The items in blocks that the driver can hold, by the hash of their ids."""
-    rows = items.where("item_id is not null and item_text is not null").select(F.col("item_id").cast("string").alias("item_id"), "item_text")
+    rows = items.where("item_id is not null and item_text is not null")
+    rows = rows.select(F.col("item_id").cast("string").alias("item_id"), "item_text").distinct()
     chars = rows.agg(F.sum(F.length("item_text"))).first()[0] or 0
     n = -(-chars // (block_words * 4)) or 1  # words of four characters: more blocks than needed, rather than fewer
     for k in range(n):
@@ -172,8 +176,8 @@ def find_matches(
     )
     id_type = out.schema["doc_id"].dataType.simpleString()
     named = items.select(quoted(item_id).alias("item_id"), quoted(item_text).alias("item_text"))
-    for k, block in enumerate(_blocks(named, window, block_words)):
-        shared = spark.sparkContext.broadcast((f"{id(out)}-{k}-{hash(str(block))}", block))
+    for block in _blocks(named, block_words):
+        shared = spark.sparkContext.broadcast((uuid4().hex, block))
 
         def matched(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(shared, window)
