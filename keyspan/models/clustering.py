@@ -14,15 +14,19 @@ from pyspark.sql import functions as F
 from keyspan.functions.scaling import scaled_vectors
 from keyspan.models.layout import laid_out
 from keyspan.operators.frames import drop_incomplete, quoted, select_columns
+from keyspan.sources.storage import written
 
 
 def prepared(df: DataFrame, key: str, features: list[str]) -> tuple[DataFrame, int]:
-    """``(key, features)`` with the scaled feature vector, rows with a null left out, and their number."""
+    """``(key, features)`` with the scaled feature vector, rows with a null left out, and their number.
+
+    The rows are written once: bounds, fit and assignment read them, not what they were computed from.
+    """
     rows = drop_incomplete(select_columns(df, key, features), [key, *features])
     # Under other names, so that a feature may itself be called ``features``.
     inputs = [f"_f{i}" for i in range(len(features))]
     rows = rows.select(quoted(key), *[quoted(c).alias(i) for c, i in zip(features, inputs)])
-    return scaled_vectors(rows, inputs)
+    return scaled_vectors(written(rows), inputs)
 
 
 def _check_k(k: int, at_least: int) -> None:
@@ -66,7 +70,7 @@ def kmeans(
 ) -> DataFrame:
     """``(key, prediction)`` by k-means."""
     model, rows = fit_kmeans(df, key, features, k, max_iter, seed, unique_key)
-    return model.transform(rows).select(key, "prediction")
+    return model.transform(rows).select(quoted(key), "prediction")
 
 
 def bisecting_kmeans(
@@ -74,7 +78,7 @@ def bisecting_kmeans(
 ) -> DataFrame:
     """``(key, prediction)`` by bisecting k-means."""
     model, rows = fit_bisecting_kmeans(df, key, features, k, max_iter, seed, unique_key)
-    return model.transform(rows).select(key, "prediction")
+    return model.transform(rows).select(quoted(key), "prediction")
 
 
 def gaussian_mixture(
@@ -82,7 +86,7 @@ def gaussian_mixture(
 ) -> DataFrame:
     """``(key, prediction)``, the most probable component of a Gaussian mixture."""
     model, rows = fit_gaussian_mixture(df, key, features, k, max_iter, seed, unique_key)
-    return model.transform(rows).select(key, "prediction")
+    return model.transform(rows).select(quoted(key), "prediction")
 
 
 def lda(
@@ -90,9 +94,9 @@ def lda(
 ) -> DataFrame:
     """``(key, prediction, topic_distribution[])`` by latent Dirichlet allocation; the prediction is the largest topic."""
     model, rows = fit_lda(df, key, features, k, max_iter, seed, unique_key)
-    topics = model.transform(rows).select(key, vector_to_array("topicDistribution").alias("topic_distribution"))
+    topics = model.transform(rows).select(quoted(key), vector_to_array("topicDistribution").alias("topic_distribution"))
     largest = F.array_position("topic_distribution", F.array_max("topic_distribution")) - 1
-    return topics.select(key, largest.cast("int").alias("prediction"), "topic_distribution")
+    return topics.select(quoted(key), largest.cast("int").alias("prediction"), "topic_distribution")
 
 
 def cluster_centers(model, df: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
+import uuid
+
 import pytest
 
 from keyspan.models import transfer, trees
+from keyspan.models.layout import laid_out
 from keyspan.models.trees import tree_params
 
 KEY, FEATURES, LABEL = "k", ["x", "z"], "y"
@@ -172,3 +175,52 @@ def test_split_rule(kind):
     assert tree_params(kind, train_split=0.9)["train_split"] == 0.9
     assert tree_params(kind, train_split=1.0)["train_split"] == tree_params(kind)["train_split"] == 0.8
     assert tree_params("random_forest")["numTrees"] == tree_params("random_forest", num_trees=0)["numTrees"] == 1
+
+
+def jobs_of(spark, run) -> int:
+    group = str(uuid.uuid4())
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_few_jobs_per_fit(spark, data):
+    one, three = (
+        jobs_of(spark, lambda keys=keys: trees.random_forest(data, *ARGS, keys=keys, max_depth=1, num_trees=1)) for keys in (["a"], ["a", "b", "c"])
+    )
+    assert (three - one) / 2 <= 8
+    # Three settings that differ in the number of trees only are one fit a fold.
+    grids = ({"maxIter": [3]}, {"maxIter": [1, 2, 3]})
+    short, long = (jobs_of(spark, lambda g=g: trees.gradient_boost_exhaustive(data, *ARGS, keys=["a"], grid=g, folds=2, max_depth=1)) for g in grids)
+    assert long <= short + 4
+
+
+def test_stages_are_the_shorter_models(data):
+    together = trees.gradient_boost_exhaustive(data, *ARGS, keys=["a"], grid={"maxIter": [1, 3]}, folds=2, max_depth=2)
+    scores = {r["setting"]["maxIter"]: r["avg_rmse"] for r in together.scores.collect()}
+    for n in (1, 3):
+        alone = trees.gradient_boost_exhaustive(data, *ARGS, keys=["a"], grid={"maxIter": [n]}, folds=2, max_depth=2)
+        assert alone.scores.first()["avg_rmse"] == pytest.approx(scores[n], rel=1e-9)
+
+
+def test_draws_do_not_follow_the_session(spark, data):
+    rows = data.where("k = 'noise'")
+    found = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in ("1", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            found.append(trees.random_forest(rows, *ARGS, num_trees=3, max_depth=2).metrics.first()["rmse"])
+            assert laid_out(rows, 50_000, ["id"]).rdd.getNumPartitions() == 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+
+
+def test_first_key_is_in_the_metrics(data):
+    result = transfer.train_from_first(data, "a, b", *ARGS, max_iter=2)
+    rows = as_dict(result.metrics)
+    assert set(rows) == {"a", "b"} and rows["a"]["parent"] == "a" and rows["a"]["rmse"] is not None
