@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyspan.llm.staging import staged
+from keyspan.operators.frames import quoted
 
 # Bits in one of Spark's bitmaps, which are binaries of 4096 bytes.
 BITMAP = 32768
@@ -41,7 +42,7 @@ def with_bit(rows: DataFrame, bitmaps: DataFrame, slot: str, name: str) -> DataF
 
 def marked(rows: DataFrame, key: str, wanted: DataFrame, name: str) -> DataFrame:
     """``rows`` with ``name``: whether their ``key`` may be one of the only column of ``wanted``. Null keys are none."""
-    column = F.col("`" + key.replace("`", "``") + "`")
+    column = quoted(key)
     bits = filter_bits(wanted.count())
     slots = wanted.select(slot_of(F.col(wanted.columns[0]), bits).alias("slot"))
     slotted = rows.withColumn("_bm_slot", F.when(column.isNotNull(), slot_of(column, bits)))
@@ -50,7 +51,6 @@ def marked(rows: DataFrame, key: str, wanted: DataFrame, name: str) -> DataFrame
 
 def without_ids(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     """``rows`` without those whose ``key`` is in ``gone`` (one column). Only rows that the filter marks are shuffled."""
-    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
     gone = staged(gone.select(F.col(gone.columns[0]).alias("_bm_gone")).where("_bm_gone is not null"))
     likely = marked(rows, key, gone, "_bm_likely")
     straight = likely.where("not _bm_likely")

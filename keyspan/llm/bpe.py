@@ -1,13 +1,15 @@
 """Byte-pair encoding and decoding with tree concatenation (operator 6).
 
-Most texts are encoded whole by a public tokenizer. A text of more than ``LONG`` characters is cut into pieces that other tasks
-encode in parallel. A cut between a letter and a single space before a letter is a boundary of tokens in any case; where a
-stretch has no such place, it is cut anywhere and its pieces are joined as a tree: tokens left and right of the join are encoded again as one
-window, which grows until its first and last tokens are those that the two sides have there.
+Most texts are encoded whole by a public tokenizer. A text of more than ``LONG`` characters is cut into pieces that
+other tasks encode in parallel. A cut between a letter and a single space before a letter is a boundary of tokens in
+any case; where a stretch has no such place, it is cut anywhere and its pieces are joined as a tree: tokens left and
+right of the join are encoded again as one window, which grows until its first and last tokens are those that the two
+sides have there.
 
-Why that is exact: a token sequence is the encoding of its text if every two neighbours are the encoding of theirs. Inside a side and
-inside the window all neighbours are, and where both share a token, so are those across. A window doesn't begin with an apostrophe, the one
-character whose role depends on what stands before it, and holds ``EDGE`` bytes of either side, more than any added token.
+Why that is exact: a token sequence is the encoding of its text if every two neighbours are the encoding of theirs.
+Inside a side and inside the window all neighbours are, and where both share a token, so are those across. A window
+doesn't begin with an apostrophe, the one character whose role depends on what stands before it, and holds ``EDGE``
+bytes of either side, more than any added token.
 
 Defined cases: null and empty texts have no tokens and decode to the empty text. Repeated ids are encoded row by row.
 """
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyspan.llm.staging import staged
+from keyspan.operators.frames import quoted
 
 LONG = 60_000
 PIECE = 30_000
@@ -151,9 +154,16 @@ def _rows(code: Coder, first: pa.Array, all_ids: list[list[int]], whole: bool) -
     return pa.RecordBatch.from_arrays([first, *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", digests: bool = False, long: int = LONG, piece: int = PIECE) -> DataFrame:
+def encode(
+    docs: DataFrame,
+    path: str,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    digests: bool = False,
+    long: int = LONG,
+    piece: int = PIECE,
+) -> DataFrame:
     """``doc_id, ids, decoded`` per row of ``docs``; with ``digests`` ``doc_id, n_tokens, ids_sha256, decoded_sha256`` instead."""
-    quoted = lambda x: F.col("`" + x.replace("`", "``") + "`")
     rows = docs.select(quoted(doc_id).alias("doc_id"), F.coalesce(quoted(text), F.lit("")).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
@@ -166,10 +176,14 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
             for doc, row, whole in zip(batch["doc_id"], batch["row"], batch["text"], strict=True):
                 cuts = pieces(whole.as_py(), piece)
                 n = len(cuts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc.as_py()] * n, batch["doc_id"].type), pa.array([row.as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([s for s, _ in cuts]), pa.array([t for _, t in cuts], pa.string())],
-                    names=["doc_id", "row", "no", "sure", "text"],
-                )
+                columns = [
+                    pa.array([doc.as_py()] * n, batch["doc_id"].type),
+                    pa.array([row.as_py()] * n, pa.int64()),
+                    pa.array(range(n), pa.int32()),
+                    pa.array([sure for sure, _ in cuts]),
+                    pa.array([part for _, part in cuts], pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "no", "sure", "text"])
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _encoded(batches, path, lambda code, part, ids: part.append_column("ids", pa.array(ids, pa.list_(pa.int32()))))

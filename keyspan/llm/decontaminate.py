@@ -1,14 +1,14 @@
 """Benchmark decontamination with a generalised suffix automaton (operator 5).
 
-The automaton of all test items accepts every run of words that occurs in an item. The words of a document stream through it;
-at each word it holds the longest run ending there that an item contains. Runs of ``window`` words or more are matches, and so
-is a whole item of fewer words. The words of all matches are the document's spans.
+The automaton of all test items accepts every run of words that occurs in an item. The words of a document stream
+through it; at each word it holds the longest run ending there that an item contains. Runs of ``window`` words or more
+are matches, and so is a whole item of fewer words. The words of all matches are the document's spans.
 
-Items are broadcast in blocks of about ``BLOCK_WORDS`` words; documents pass one block after the other in the same stage, so a larger
-benchmark adds automata, not a shuffle. Each Python worker builds a block's automaton once.
+Items are broadcast in blocks of about ``BLOCK_WORDS`` words; documents pass one block after the other in the same
+stage, so a larger benchmark adds automata, not a shuffle. Each Python worker builds a block's automaton once.
 
-Defined cases: null and empty texts have no words, no spans and are clean. Items without words or id are left out; rows
-repeating an item's id count as one item. Repeated documents are judged one by one. Other columns are ignored.
+Defined cases: null and empty texts have no words, no spans and are clean. Items without words or id are left out;
+rows repeating an item's id count as one item. Repeated documents are judged one by one. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyspan.operators.frames import quoted
+
 WINDOW = 13
 # A document is contaminated from one hit word in so many.
 SHARE = 20
@@ -170,7 +172,6 @@ def find_matches(
 ) -> DataFrame:
     """``doc_id, text, n_words, spans, items`` per row of ``docs``: spans of hit words (first, behind the last), ids of the items."""
     spark = docs.sparkSession
-    quoted = lambda x: F.col("`" + x.replace("`", "``") + "`")
     out = docs.select(
         quoted(doc_id).alias("doc_id"), quoted(text).alias("text"), F.lit(0).alias("n_words"), F.expr("cast(array() as array<struct<start: int, end: int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items")
     )
@@ -190,10 +191,8 @@ def find_matches(
                     old = [(s["start"], s["end"]) for s in old_spans.as_py()] if len(old_spans) else []
                     spans.append([{"start": a, "end": b} for a, b in merged(old + new_spans)])
                     found.append(sorted(new_items.union(old_items.as_py())) if len(old_items) else sorted(new_items))
-                yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"], batch["text"], pa.array(n_words, pa.int32()), pa.array(spans, batch["spans"].type), pa.array(found, batch["items"].type)],
-                    names=batch.schema.names,
-                )
+                results = pa.array(n_words, pa.int32()), pa.array(spans, batch["spans"].type), pa.array(found, batch["items"].type)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], *results], names=batch.schema.names)
 
         out = out.mapInArrow(matched, f"doc_id {id_type}, text string, n_words int, {_MATCHES}")
     return out
@@ -230,7 +229,8 @@ def remove_matches(matches: DataFrame, longest: int = WINDOW, share: int = SHARE
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [without_spans(t, [(s["start"], s["end"]) for s in spans], longest) for t, spans in zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True)]
+            rows = zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True)
+            texts = [without_spans(t, [(s["start"], s["end"]) for s in spans], longest) for t, spans in rows]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return clean.mapInArrow(cut, f"doc_id {id_type}, text string")

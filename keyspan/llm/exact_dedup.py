@@ -1,15 +1,17 @@
 """Exact deduplication by two passes over a Bloom filter (operator 8), DataFrame functions only.
 
-Texts are equal when they are identical after every run of ``[\\x20\\x09-\\x0D]`` became one space. The first pass counts the
-rows of each of a filter's slots and keeps the slots of two rows or more as bitmaps. The second pass looks every row up: a row
-with a slot of its own has no copy and passes straight through; the others are shuffled and compared by SHA-256.
-
-Defined cases: a null text is the empty text, and all empty texts are copies of one another. Of equal texts the row with the
-smallest id stays; a null id counts as larger than any other. Rows repeating one id with one text are copies of each other in
-``group_size`` and are all marked ``kept``; :func:`drop_duplicates` returns one of them. Other columns, whatever their names, are untouched.
-
-The filter is broadcast, so its size is bounded: twice 32 MB. Up to 10**8 rows it lets nearly no unique row
-into the shuffle; beyond that the share grows until every row is shuffled, with the same result.
+Texts are equal when they are identical after every run of ``[\\x20\\x09-\\x0D]`` became one space. The first pass
+counts the rows of each of a filter's slots and keeps the slots of two rows or more as bitmaps. The second pass looks
+every row up: a row with a slot of its own has no copy and passes straight through; the others are shuffled and
+compared by SHA-256.
+
+Defined cases: a null text is the empty text, and all empty texts are copies of one another. Of equal texts the row
+with the smallest id stays; a null id counts as larger than any other. Rows repeating one id with one text are copies
+of each other in ``group_size`` and are all marked ``kept``; :func:`drop_duplicates` returns one of them. Other
+columns, whatever their names, are untouched.
+
+The filter is broadcast, so its size is bounded: twice 32 MB. Up to 10**8 rows it lets nearly no unique row into the
+shuffle; beyond that the share grows until every row is shuffled, with the same result.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from keyspan.llm.bitmaps import bitmaps_of, filter_bits, slot_of, with_bit
 from keyspan.llm.staging import staged
+from keyspan.operators.frames import quoted
 
 _PREFIX = "_dd_"
 SHA, FIRST, SECOND, KEEP = (f"{_PREFIX}{x}" for x in ("sha", "first", "second", "keep"))
@@ -32,10 +35,6 @@ def text_sha256(text: Column) -> Column:
     return F.sha2(normalised(text), 256)
 
 
-def _quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def _slots(sha: Column, bits: int) -> tuple[Column, Column]:
     """The row's slots: the second filter lies behind the first."""
     return slot_of(sha, bits, 1), slot_of(sha, bits, 2) + bits
@@ -62,7 +61,7 @@ def _filtered(rows: DataFrame, hashes: DataFrame) -> DataFrame:
 
 def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``."""
-    hashes = staged(docs.select(_quoted(doc_id).alias("doc_id"), text_sha256(_quoted(text)).alias(SHA)))
+    hashes = staged(docs.select(quoted(doc_id).alias("doc_id"), text_sha256(quoted(text)).alias(SHA)))
     marked = _filtered(hashes, hashes)
     alone = marked.where(~F.col(FIRST)).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), SHA)
     shared = marked.where(F.col(FIRST)).select("doc_id", SHA)
@@ -75,14 +74,14 @@ def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of equal texts each. Only rows that may have a copy are shuffled."""
-    rows = docs.withColumn(SHA, text_sha256(_quoted(text)))
-    hashes = staged(rows.select(_quoted(doc_id).alias("doc_id"), SHA))
+    rows = docs.withColumn(SHA, text_sha256(quoted(text)))
+    hashes = staged(rows.select(quoted(doc_id).alias("doc_id"), SHA))
     marked = _filtered(rows, hashes)
-    alone = marked.where(~F.col(FIRST)).select(*map(_quoted, docs.columns))
+    alone = marked.where(~F.col(FIRST)).select(*map(quoted, docs.columns))
     # Which of several rows with the smallest id stays is open; the rest of the group goes before any text is compared.
     shared = marked.where(F.col(FIRST)).drop(FIRST)
     firsts = (
         _filtered(hashes, hashes).where(F.col(FIRST)).groupBy(F.col(SHA).alias("_dd_group")).agg(F.min("doc_id").alias(KEEP))
     )
-    kept = shared.join(firsts, (F.col(SHA) == F.col("_dd_group")) & _quoted(doc_id).eqNullSafe(F.col(KEEP)), "left_semi")
-    return alone.union(kept.dropDuplicates([SHA]).select(*map(_quoted, docs.columns)))
+    kept = shared.join(firsts, (F.col(SHA) == F.col("_dd_group")) & quoted(doc_id).eqNullSafe(F.col(KEEP)), "left_semi")
+    return alone.union(kept.dropDuplicates([SHA]).select(*map(quoted, docs.columns)))

@@ -1,14 +1,16 @@
 """Main text of HTML pages by a tree-structured graphical model (operator 4).
 
-A page's block elements form a tree. Each is content or not; a table of potentials ties what it looks like to that (its kind of element, the
-words of its class and id, the length of its own text, its share of links), another ties a parent to its child. Sum-product messages go up and down the tree
-once and give every element's marginal probability of content; the text of the elements at one half or more is the page's.
+A page's block elements form a tree. Each is content or not; a table of potentials ties what it looks like to that
+(its kind of element, the words of its class and id, the length of its own text, its share of links), another ties a
+parent to its child. Sum-product messages go up and down the tree once and give every element's marginal probability
+of content; the text of the elements at one half or more is the page's.
 
-The potentials are counts of labelled pages: a few that are written down here, and a bounded sample of the table's own pages, of which
-elements with a plain meaning (``article``, ``nav``, ...) label themselves and what they hold. ``SAMPLE`` is the bound.
+The potentials are counts of labelled pages: a few that are written down here, and a bounded sample of the table's own
+pages, of which elements with a plain meaning (``article``, ``nav``, ...) label themselves and what they hold.
+``SAMPLE`` is the bound.
 
-Defined cases: null, empty and textless pages have an empty text. Pages cut off or with tags left open are read as far as they go. Every page, repeated ids included,
-gives one row. Other columns are ignored.
+Defined cases: null, empty and textless pages have an empty text. Pages cut off or with tags left open are read as far
+as they go. Every page, repeated ids included, gives one row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyspan.operators.frames import quoted
+
 # Pages of the table that are learned from, at most.
 SAMPLE = 300
 # Most that what an element is named, and each look of its text, can say for or against content.
@@ -32,11 +36,22 @@ MOST_BY_KIND, MOST_BY_TEXT = 10.0, 3.0
 # Elements of HTML by how they nest and lay out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math object select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    (
+        "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span "
+        "strike strong sub sup time tt u var wbr"
+    ).split()
+)
 CLOSES_P = frozenset(
-    "address article aside blockquote body center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table ul".split()
+    (
+        "address article aside blockquote body center details dialog dd dir div dl dt fieldset figcaption figure "
+        "footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table ul"
+    ).split()
 )
-SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+SAME_LEVEL = {
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"},
+    "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
+}
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 # Words of a class, id or role, by what they name.
 MEANINGS = {
@@ -51,8 +66,16 @@ MEANINGS = {
     "share": "share sharing social",
 }
 _MEANING = {word: kind for kind, words in MEANINGS.items() for word in words.split()}
-_ELEMENT = {"nav": "menu", "menu": "menu", "header": "header", "footer": "footer", "aside": "side", "form": "form", "dialog": "notice", "button": "form", "fieldset": "form", "article": "article", "main": "article", "head": "head"}
-_PLAIN = {**dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), "heading"), **dict.fromkeys(("p", "pre", "blockquote", "figcaption"), "paragraph"), **dict.fromkeys(("ul", "ol", "dl", "li", "dt", "dd"), "list"), **dict.fromkeys(("table", "thead", "tbody", "tr", "td", "th", "caption"), "table")}
+_ELEMENT = {
+    "nav": "menu", "menu": "menu", "header": "header", "footer": "footer", "aside": "side", "form": "form",
+    "button": "form", "fieldset": "form", "dialog": "notice", "article": "article", "main": "article", "head": "head",
+}
+_PLAIN = {
+    **dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), "heading"),
+    **dict.fromkeys(("p", "pre", "blockquote", "figcaption"), "paragraph"),
+    **dict.fromkeys(("ul", "ol", "dl", "li", "dt", "dd"), "list"),
+    **dict.fromkeys(("table", "thead", "tbody", "tr", "td", "th", "caption"), "table"),
+}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -243,10 +266,31 @@ def self_labelled(elements: list[Element]) -> list[int] | None:
 
 # Labelled pages that teach what the table's own may not have: x marks elements with content.
 LABELLED = (
-    "<body><div class=topbar><a href=/>Home</a><a href=/a>About</a></div><div x id=content><h1 x>A title</h1><p x>A first sentence, of some length, that tells a reader what comes. More follows here.</p><p x>Short.</p><ul x><li x>One point, with words.</li><li x>Two.</li></ul></div><div class=sidebar><ul><li><a href=/x>Other page</a></li></ul><p>Words of a side box. And more of them, too.</p></div><div class=comments><p>A reader's words, which go on for a while. They are no part of it.</p></div><div class=footer>Imprint</div></body>",
-    "<body><header><h1>The site's name</h1></header><main x><section x><h2 x>Part</h2><p x>Running text, long enough to be read as such, with commas and a full stop at its end.</p><div class=ad><p>Buy this now, it is cheap. Really, it is.</p></div><blockquote x><p x>Quoted, in a few words.</p></blockquote><table x><tr x><td x>Cell</td><td x>9</td></tr></table></section><aside><p>Beside the text, a box that tells of other things. It has sentences, too.</p></aside><form><p>Your name, please.</p></form></main><footer><p>Rights reserved, of course. All of them.</p></footer></body>",
-    "<body><div class=cookie-notice><p>This site uses cookies, as sites do. Do you agree?</p></div><nav><ul><li><a href=/>Start</a></li><li><a href=/b>News</a></li></ul></nav><article x><h1 x>What happened</h1><p x>It happened in a town, on a day in spring, and nobody had thought of it before.</p><p x>Then.</p><div x><p x>A paragraph in a box of its own, which belongs to the article all the same.</p></div><div class=share><a href=/s>Share</a></div><section id=comments><div><p>I don't agree. It was different, and I know it.</p></div></section></article><aside class=related><ul><li><a href=/c>More of this</a></li></ul></aside></body>",
-    "<body><table><tr><td><a href=/>Home</a></td></tr></table><p x>A page without any structure, but with a paragraph, of one or two long sentences, that is what it is about.</p><p x>And another one, which goes on about the same matter, for a few more words than the first.</p><p><a href=/n>Next</a></p></body>",
+    "<body><div class=topbar><a href=/>Home</a><a href=/a>About</a></div><div x id=content><h1 x>A title</h1>"
+    "<p x>A first sentence, of some length, that tells a reader what comes. More follows here.</p><p x>Short.</p>"
+    "<ul x><li x>One point, with words.</li><li x>Two.</li></ul></div><div class=sidebar>"
+    "<ul><li><a href=/x>Other page</a></li></ul><p>Words of a side box. And more of them, too.</p></div>"
+    "<div class=comments><p>A reader's words, which go on for a while. They are no part of it.</p></div>"
+    "<div class=footer>Imprint</div></body>",
+    "<body><header><h1>The site's name</h1></header><main x><section x><h2 x>Part</h2>"
+    "<p x>Running text, long enough to be read as such, with commas and a full stop at its end.</p><div class=ad>"
+    "<p>Buy this now, it is cheap. Really, it is.</p></div><blockquote x>"
+    "<p x>Quoted, in a few words.</p></blockquote>"
+    "<table x><tr x><td x>Cell</td><td x>9</td></tr></table></section><aside>"
+    "<p>Beside the text, a box that tells of other things. It has sentences, too.</p></aside><form>"
+    "<p>Your name, please.</p></form></main><footer>"
+    "<p>Rights reserved, of course. All of them.</p></footer></body>",
+    "<body><div class=cookie-notice><p>This site uses cookies, as sites do. Do you agree?</p></div><nav>"
+    "<ul><li><a href=/>Start</a></li><li><a href=/b>News</a></li></ul></nav><article x><h1 x>What happened</h1>"
+    "<p x>It happened in a town, on a day in spring, and nobody had thought of it before.</p><p x>Then.</p>"
+    "<div x><p x>A paragraph in a box of its own, which belongs to the article all the same.</p></div>"
+    "<div class=share><a href=/s>Share</a></div><section id=comments><div>"
+    "<p>I don't agree. It was different, and I know it.</p></div></section></article><aside class=related>"
+    "<ul><li><a href=/c>More of this</a></li></ul></aside></body>",
+    "<body><table><tr><td><a href=/>Home</a></td></tr></table>"
+    "<p x>A page without any structure, but with a paragraph, of one or two long sentences, that is what it is about.</p>"
+    "<p x>And another one, which goes on about the same matter, for a few more words than the first.</p>"
+    "<p><a href=/n>Next</a></p></body>",
 )
 
 
@@ -286,7 +330,7 @@ def fit_tree(own_pages: list[tuple[list[Element], list[int]]]) -> TreeModel:
 
 def train_tree(pages: DataFrame, html: str = "html", sample: int = SAMPLE) -> TreeModel:
     """From the pages written down here and about ``sample`` different ones of the table, at most twice as many, by their hashes."""
-    column = F.col("`" + html.replace("`", "``") + "`")
+    column = quoted(html)
     share = min(1.0, sample / max(1, pages.count()))
     drawn = pages.select(column.alias("html"), F.xxhash64(column).alias("hash")).where("html is not null")
     drawn = drawn.where(F.pmod("hash", F.lit(1 << 30)) < int(share * (1 << 30)))
@@ -297,7 +341,6 @@ def train_tree(pages: DataFrame, html: str = "html", sample: int = SAMPLE) -> Tr
 
 def extract_text(pages: DataFrame, model: TreeModel, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` per row of ``pages``."""
-    quoted = lambda x: F.col("`" + x.replace("`", "``") + "`")
     rows = pages.select(quoted(page_id).alias("page_id"), quoted(url).alias("url"), quoted(html).alias("html"))
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

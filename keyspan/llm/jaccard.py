@@ -1,21 +1,25 @@
 """N-gram Jaccard join with set relations (operator 1).
 
-Two documents link when their sets of word shingles have a Jaccard similarity of 75 % or more; the answer is each document's
-connected component. The join is exact, up to collisions of 64-bit hashes within a pair of sets.
+Two documents link when their sets of word shingles have a Jaccard similarity of 75 % or more; the answer is each
+document's connected component. The join is exact, up to collisions of 64-bit hashes within a pair of sets.
 
-1. *Sets with company.* Every shingle goes, as 32 bits in a bucket of shingles, to where its copies go; a document of which less than
-   75 % of the shingles occur elsewhere links with nothing. Shingles that occur twice in a task's own documents are known to be shared and
-   sent once, so a line that a third of all documents have costs one entry per task.
+1. *Sets with company.* Every shingle goes, as 32 bits in a bucket of shingles, to where its copies go; a document of
+   which less than 75 % of the shingles occur elsewhere links with nothing. Shingles that occur twice in a task's own
+   documents are known to be shared and sent once, so a line that a third of all documents have costs one entry per
+   task.
 2. *Classes.* Equal sets become one, represented by their smallest id.
-3. *Index.* Shingles are ordered by frequency; a set is listed under its rarest ones, as many as any partner must hit. Lists are cut into
-   blocks of one size class and one range of positions. A block that can't hold enough shingles behind its positions is skipped whole.
-4. *Leaders.* In each list the smallest id leads. A set is compared with the leader that most of its lists name; sets that link with it
-   take over its component.
-5. *Derived answers.* What a set shares with its leader bounds what two sets of one leader share with each other: pairs beyond the bounds are answered without
-   looking at the sets. Pairs within one component are not asked again. Only what is left is compared, and the components that link are united.
-
-Defined cases: null and empty texts have an empty set and link with nothing; a text of fewer than five words is one shingle. Rows repeating an id
-are rows of their own in the result. A row without id has its set's size and no component. Other columns are ignored.
+3. *Index.* Shingles are ordered by frequency; a set is listed under its rarest ones, as many as any partner must hit.
+   Lists are cut into blocks of one size class and one range of positions. A block that can't hold enough shingles
+   behind its positions is skipped whole.
+4. *Leaders.* In each list the smallest id leads. A set is compared with the leader that most of its lists name; sets
+   that link with it take over its component.
+5. *Derived answers.* What a set shares with its leader bounds what two sets of one leader share with each other:
+   pairs beyond the bounds are answered without looking at the sets. Pairs within one component are not asked again.
+   Only what is left is compared, and the components that link are united.
+
+Defined cases: null and empty texts have an empty set and link with nothing; a text of fewer than five words is one
+shingle. Rows repeating an id are rows of their own in the result. A row without id has its set's size and no
+component. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from keyspan.llm.bitmaps import marked
 from keyspan.llm.components import connected
 from keyspan.llm.shingles import WORDS, digest, mixed, shingle_sets
 from keyspan.llm.staging import staged
+from keyspan.operators.frames import quoted
 
 # Similarity in hundredths.
 LEAST = 75
@@ -49,10 +54,6 @@ _SEVERAL = np.iinfo(np.int64).min
 _NO_ID = _SEVERAL + 1
 
 
-def _quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def _needed(n: Column) -> Column:
     """The least number of shingles that a set of ``n`` shares with any partner."""
     return F.ceil(n * LEAST / 100)
@@ -142,7 +143,9 @@ def _documents(rows: DataFrame, words: int) -> DataFrame:
             local, entries = _parts(np.array(ids, np.int64), sets, buckets)
             marks = np.array(digests, np.int64).reshape(len(ids), 2)
             # The documents themselves, dealt out evenly: a negative bucket.
-            own = (-1 - (ids[0] + sent) % buckets, local.astype(np.int64).tobytes(), np.array(ids, np.int64).tobytes(), b"", np.array([len(s) for s in sets], np.int64).tobytes(), marks[:, 0].tobytes(), marks[:, 1].tobytes())
+            sizes = np.array([len(s) for s in sets], np.int64)
+            columns = (local.astype(np.int64), np.array(ids, np.int64), np.zeros(0), sizes, marks[:, 0], marks[:, 1])
+            own = (-1 - (ids[0] + sent) % buckets, *(c.tobytes() for c in columns))
             return _part_batch([own, *((*e, b"", b"", b"") for e in entries)])
 
         for part in _slices(batches):
@@ -214,8 +217,12 @@ def _indexed(sets: DataFrame) -> DataFrame:
     frequent = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     ranked = each.join(frequent, "shingle").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("ranked"))
     spare = F.size("ranked") - _needed(F.col("n"))
-    listed = F.transform(F.slice("ranked", 1, spare + 1), lambda x, i: F.struct(x["shingle"].alias("shingle"), (F.col("n") - F.size("ranked") + i + 1).alias("pos")))
-    return ranked.where(spare >= 0).select("rep", "n", F.sort_array(F.transform("ranked", lambda x: x["shingle"])).alias("shared"), listed.alias("prefix"))
+    position = F.col("n") - F.size("ranked") + 1
+    listed = F.transform(
+        F.slice("ranked", 1, spare + 1), lambda x, i: F.struct(x["shingle"].alias("shingle"), (position + i).alias("pos"))
+    )
+    shared = F.sort_array(F.transform("ranked", lambda x: x["shingle"]))
+    return ranked.where(spare >= 0).select("rep", "n", shared.alias("shared"), listed.alias("prefix"))
 
 
 def _common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -230,7 +237,8 @@ def _common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 x, y = x.values.to_numpy(), y.values.to_numpy()
                 at = np.searchsorted(y, x)
                 common.append(int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)) if len(x) and len(y) else 0)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("a", "b", "n_a", "n_b")), pa.array(common, pa.int64())], names=["a", "b", "n_a", "n_b", "common"])
+            kept = ["a", "b", "n_a", "n_b"]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(common, pa.int64())], names=[*kept, "common"])
 
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "set_a", "set_b")
     return both.mapInArrow(counted, "a long, b long, n_a int, n_b int, common long")
@@ -255,7 +263,8 @@ def _open_pairs(postings: DataFrame, known: DataFrame) -> DataFrame:
     """
     listed = postings.join(known, "rep")
     groups = listed.groupBy("shingle", "comp").agg(F.count("*").alias("many"))
-    lists = groups.groupBy("shingle").agg(F.max_by("comp", F.struct("many", "comp")).alias("major"), F.sum("many").alias("length"), F.count("*").alias("comps"))
+    major = F.max_by("comp", F.struct("many", "comp")).alias("major")
+    lists = groups.groupBy("shingle").agg(major, F.sum("many").alias("length"), F.count("*").alias("comps"))
     lists = lists.where("comps > 1").drop("comps")
     mixed_lists = staged(listed.join(lists, "shingle"))
     klass = F.floor(F.log(F.col("n").cast("double")) / float(np.log(SIZE_STEP)) + 1e-9).cast("int")
@@ -273,10 +282,11 @@ def _open_pairs(postings: DataFrame, known: DataFrame) -> DataFrame:
     # Every pair of different components has a side outside the list's largest one: that side asks.
     asking = mixed_lists.where("comp != major").withColumn("klass", F.explode(F.array(klass - 1, klass, klass + 1)))
     asking = asking.select("shingle", "klass", *(F.col(c).alias(f"a_{c}") for c in ("rep", "n", "pos", "comp", "leader", "leader_n", "with_leader")))
-    met = asking.join(blocks, ["shingle", "klass"]).where(
-        F.least(F.col("a_n") - F.col("a_pos"), F.col("behind")) + 1 >= _needed_with(F.col("a_n"), F.greatest("least_n", F.ceil(F.col("a_n") * LEAST / 100)))
-    )
     n, m = F.col("a_n"), F.col("m.n")
+    # The smallest partner in a block, and the most that any of it can share from here on: else the block is skipped.
+    smallest = F.greatest("least_n", F.ceil(n * LEAST / 100))
+    most = F.least(n - F.col("a_pos"), F.col("behind")) + 1
+    met = asking.join(blocks, ["shingle", "klass"]).where(most >= _needed_with(n, smallest))
     pairs = met.withColumn("m", F.explode("members")).where(
         (F.col("m.comp") != F.col("a_comp"))
         & ((F.col("m.comp") == F.col("m.major")) | (F.col("m.rep") < F.col("a_rep")))
@@ -288,25 +298,26 @@ def _open_pairs(postings: DataFrame, known: DataFrame) -> DataFrame:
     led = F.col("a_leader") == F.col("m.leader")
     at_least, at_most = x + y - z, F.least(x, y) + F.least(n - x, m - y)
     pairs = pairs.where(~led | (at_most >= _needed_with(n, m)))
-    ordered = pairs.select(F.greatest("a_rep", "m.rep").alias("a"), F.least("a_rep", "m.rep").alias("b"), (led & (at_least >= _needed_with(n, m))).alias("sure"))
+    sure = led & (at_least >= _needed_with(n, m))
+    ordered = pairs.select(F.greatest("a_rep", "m.rep").alias("a"), F.least("a_rep", "m.rep").alias("b"), sure.alias("sure"))
     return ordered.groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """``doc_id, n_shingles, component_id, class_id`` per row of ``docs``: the size of its set, the smallest id that it reaches by links, the smallest id with an equal set."""
-    rows = docs.select(_quoted(doc_id).cast("long").alias("doc_id"), _quoted(text).alias("text"))
+    rows = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text"))
     own = staged(_documents(rows, words))
     classes = staged(own.where("company").groupBy("first", "second").agg(F.min("doc_id").alias("rep")))
     sets = staged(_class_sets(rows, classes, words))
     indexed = staged(_indexed(sets))
-    postings = indexed.select("rep", "n", F.explode("prefix").alias("p")).select("rep", "n", F.col("p.shingle").alias("shingle"), F.col("p.pos").alias("pos"))
+    postings = indexed.select("rep", "n", F.inline("prefix"))
     led = staged(_common(_led(postings), indexed))
     first_links = staged(_links(led))
     first = staged(connected(first_links))
     known = (
         indexed.select("rep", "n")
         .join(first.withColumnRenamed("node", "rep"), "rep", "left")
-        .join(led.select(F.col("a").alias("rep"), F.col("b").alias("leader"), F.col("n_b").alias("leader_n"), F.col("common").alias("with_leader")), "rep", "left")
+        .join(led.drop("n_a").toDF("rep", "leader", "leader_n", "with_leader"), "rep", "left")
         .select(
             "rep",
             F.coalesce("component", "rep").alias("comp"),
@@ -327,7 +338,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     )
     second = connected(united).select(F.col("node").alias("comp"), F.col("component").alias("united"))
     reached = comp.join(second, "comp", "left").select("rep", F.coalesce("united", "comp").alias("component"))
-    named = classes.join(reached, "rep", "left").select("first", "second", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component"))
+    component = F.coalesce("component", "rep").alias("component")
+    named = classes.join(reached, "rep", "left").select("first", "second", F.col("rep").alias("class_id"), component)
     linked = own.join(named, ["first", "second"], "left")
     return linked.select(
         "doc_id",

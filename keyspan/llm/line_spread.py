@@ -1,13 +1,14 @@
 """Line deduplication by distinct-site spread (operator 3), DataFrame functions only.
 
-A line is boilerplate when documents of ``MIN_SITES`` sites or more have it. A HyperLogLog sketch of the sites per line hash merges by aggregation, so
-a line that every document has is a few bytes per task. Estimates well below or above the threshold decide by themselves; lines whose
-estimate is near it get an exact distinct count. Boilerplate lines are then taken out of every document.
+A line is boilerplate when documents of ``MIN_SITES`` sites or more have it. A HyperLogLog sketch of the sites per
+line hash merges by aggregation, so a line that every document has is a few bytes per task. Estimates well below or
+above the threshold decide by themselves; lines whose estimate is near it get an exact distinct count. Boilerplate
+lines are then taken out of every document.
 
 Lines are compared after white space became single spaces, without leading and trailing ones, by 64-bit hashes.
 
-Defined cases: a null text stays null, an empty one empty. Blank lines are no boilerplate and stay. A null site counts as a site of its own. A row repeating an id and text has
-the same lines taken out. Other columns are ignored.
+Defined cases: a null text stays null, an empty one empty. Blank lines are no boilerplate and stay. A null site counts
+as a site of its own. A row repeating an id and text has the same lines taken out. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyspan.llm.staging import staged
+from keyspan.operators.frames import quoted
 
 MIN_SITES = 8
 # Buckets of a sketch, as a power of two: a relative error of 1.04 / sqrt(512), 4.6 %.
@@ -40,7 +42,6 @@ def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
 
 def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """``doc_id, n_lines, n_removed, text`` per row of ``docs``."""
-    quoted = lambda x: F.col("`" + x.replace("`", "``") + "`")
     rows = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"), F.coalesce(F.xxhash64(quoted(site).cast("string")), F.lit(0)).alias("site"))
     # Keeps rows of one id and different texts apart.
     rows = rows.withColumn("mark", F.xxhash64("doc_id", "text"))

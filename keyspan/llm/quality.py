@@ -1,14 +1,17 @@
 """Quality classifier: a generalised additive model with pairwise interactions (operator 2).
 
-A text's score is the logistic function of a sum: one number for each feature, read from a table by the feature's bin, and one for
-each chosen pair of features, read from a table of two bins. Shallow trees on the bins learn the tables by cyclic gradient boosting, one feature after the
-other in every round, then the pairs that explain most of what is left. Scoring is a vectorised sum over tables.
-
-Training is bounded: ``TRAIN_ROWS`` labelled rows at most, about, chosen by a hash of their id, and never a row with ``crc32(id) mod 3 = 1``. Features are
-computed and texts are scored by all tasks; only the sample's numbers and the tables pass through the driver.
-
-Defined cases: null and empty texts have zeros for features and get a score like any other. Null labels and documents with labels that
-contradict each other are not learned from; rows repeating a label count once. Without labelled rows every score is 0.5. Rows with a null id are not held out.
+A text's score is the logistic function of a sum: one number for each feature, read from a table by the feature's bin,
+and one for each chosen pair of features, read from a table of two bins. Shallow trees on the bins learn the tables by
+cyclic gradient boosting, one feature after the other in every round, then the pairs that explain most of what is
+left. Scoring is a vectorised sum over tables.
+
+Training is bounded: ``TRAIN_ROWS`` labelled rows at most, about, chosen by a hash of their id, and never a row with
+``crc32(id) mod 3 = 1``. Features are computed and texts are scored by all tasks; only the sample's numbers and the
+tables pass through the driver.
+
+Defined cases: null and empty texts have zeros for features and get a score like any other. Null labels and documents
+with labels that contradict each other are not learned from; rows repeating a label count once. Without labelled rows
+every score is 0.5. Rows with a null id are not held out.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyspan.operators.frames import quoted
+
 TRAIN_ROWS = 20_000
 BINS, PAIR_BINS, PAIRS = 32, 8, 10
 ROUNDS, PAIR_ROUNDS, RATE = 60, 30, 0.3
@@ -175,16 +180,12 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def _quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def train_quality(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS
 ) -> AdditiveModel:
     """The model of the labelled documents that are not held out, from about ``rows`` of them at most."""
     known = (
-        labels.select(_quoted(doc_id).alias("doc_id"), _quoted(label).cast("int").alias("label"))
+        labels.select(quoted(doc_id).alias("doc_id"), quoted(label).cast("int").alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~is_held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.min("label").alias("label"), F.max("label").alias("most"))
@@ -194,7 +195,7 @@ def train_quality(
     share = min(1.0, rows / max(1, known.count()))
     # Below a share of all hashes: the bound holds up to chance, and the sample is the same each time.
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    texts = docs.select(_quoted(doc_id).alias("doc_id"), _quoted(text).alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text")).join(F.broadcast(sample), "doc_id")
     # One text per id, however often an id is repeated.
     texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
@@ -211,7 +212,7 @@ def train_quality(
 
 def score_quality(docs: DataFrame, model: AdditiveModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``."""
-    rows = docs.select(_quoted(doc_id).alias("doc_id"), _quoted(text).alias("text"))
+    rows = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -34,7 +34,9 @@ def _word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
     stops = np.concatenate((starts[1:], [len(data)]))
-    place = np.arange(len(data)) - np.repeat(starts, stops - starts) if starts[0] == 0 else np.concatenate((np.zeros(starts[0], np.int64), np.arange(starts[0], len(data)) - np.repeat(starts, stops - starts)))
+    # Of every byte, its place in its word; the white space before the first word counts for nothing.
+    place = np.zeros(len(data), np.int64)
+    place[starts[0] :] = np.arange(starts[0], len(data)) - np.repeat(starts, stops - starts)
     powers = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(int(place.max()), _STEP))))
     return mixed(np.add.reduceat(_BYTES[data] * powers[place], starts)), np.searchsorted(starts, ends)
 

@@ -1,14 +1,17 @@
 """Substring deduplication by sliding sentence spans (operator 9).
 
-A text is cut into sentences; every run of ``SPAN`` consecutive ones is hashed, and all runs of all documents meet by hash. A run that occurs more than once stays where it
-comes first, by id and place; sentences that any other occurrence covers are removed.
-
-Where a sentence ends depends only on the words before it, so a passage is cut alike wherever it stands: at a full stop, question or exclamation mark before
-white space, or at a line's end, if five words or more stand since the last end of any kind; and in sentences of over ``LONG_SENTENCE`` words at words chosen by their hash.
-A run so has 15 words at least, and a passage of more than 50 words contains one.
-
-Defined cases: null and empty texts stay as they are. Texts of fewer than three sentences have no runs. A null id comes before all others. Rows repeating an id and text
-count as one document. Runs are compared without regard to case of A-Z and to white space, by 128-bit hashes. Other columns are ignored.
+A text is cut into sentences; every run of ``SPAN`` consecutive ones is hashed, and all runs of all documents meet by
+hash. A run that occurs more than once stays where it comes first, by id and place; sentences that any other
+occurrence covers are removed.
+
+Where a sentence ends depends only on the words before it, so a passage is cut alike wherever it stands: at a full
+stop, question or exclamation mark before white space, or at a line's end, if five words or more stand since the last
+end of any kind; and in sentences of over ``LONG_SENTENCE`` words at words chosen by their hash. A run so has 15 words
+at least, and a passage of more than 50 words contains one.
+
+Defined cases: null and empty texts stay as they are. Texts of fewer than three sentences have no runs. A null id
+comes before all others. Rows repeating an id and text count as one document. Runs are compared without regard to case
+of A-Z and to white space, by 128-bit hashes. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyspan.llm.staging import staged
+from keyspan.operators.frames import quoted
 
 SPAN = 3
 LEAST_WORDS = 5
@@ -84,7 +88,6 @@ def _runs(text: str | None, span: int) -> Iterator[tuple[int, int]]:
 
 def remove_repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
     """``doc_id, n_sentences, n_removed, text`` per row of ``docs``."""
-    quoted = lambda x: F.col("`" + x.replace("`", "``") + "`")
     rows = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text")).withColumn("mark", F.xxhash64("doc_id", "text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
@@ -100,10 +103,9 @@ def remove_repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "
                     hashes += runs
                 marks = np.array(hashes, np.uint64).reshape(len(hashes), 2).view(np.int64)
                 rows_of = pa.array(owner, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"].take(rows_of), part["mark"].take(rows_of), pa.array(places, pa.int32()), pa.array(marks[:, 0]), pa.array(marks[:, 1])],
-                    names=["doc_id", "mark", "place", "high", "low"],
-                )
+                whose = part["doc_id"].take(rows_of), part["mark"].take(rows_of)
+                runs_of = pa.array(places, pa.int32()), pa.array(marks[:, 0]), pa.array(marks[:, 1])
+                yield pa.RecordBatch.from_arrays([*whose, *runs_of], names=["doc_id", "mark", "place", "high", "low"])
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,13 +115,13 @@ def remove_repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "
                 n.append(len(sentences(one)))
                 gone.append(len(covered))
                 texts.append(without_sentences(one, covered) if covered else one)
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_sentences", "n_removed", "text"]
-            )
+            columns = [batch["doc_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_sentences", "n_removed", "text"])
 
     runs = staged(rows.select("doc_id", "mark", "text").mapInArrow(hashed, f"doc_id {id_type}, mark long, place int, high long, low long"))
     first = F.min(F.struct("doc_id", "place", "mark")).alias("first")
     repeated = runs.groupBy("high", "low").agg(first, F.count("*").alias("times")).where("times > 1").drop("times")
     others = runs.join(repeated, ["high", "low"]).where(~F.struct("doc_id", "place", "mark").eqNullSafe(F.col("first")))
     starts = staged(others.groupBy("mark").agg(F.collect_set("place").alias("starts")))
-    return rows.join(starts, "mark", "left").select("doc_id", "text", "starts").mapInArrow(cleaned, f"doc_id {id_type}, n_sentences long, n_removed long, text string")
+    found = rows.join(starts, "mark", "left").select("doc_id", "text", "starts")
+    return found.mapInArrow(cleaned, f"doc_id {id_type}, n_sentences long, n_removed long, text string")

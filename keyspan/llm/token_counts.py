@@ -1,12 +1,14 @@
 """Token counts by a linear longest-match automaton (operator 7).
 
-Word pieces are taken greedily, the longest first. A trie holds the pieces that begin a word and those that go on within one. Every node knows
-where to fail to - the node for what is left after the pieces that longest match would take from its string - and how many pieces those
-are. One step per byte then gives the length of a word's encoding; no piece is ever built.
+Word pieces are taken greedily, the longest first. A trie holds the pieces that begin a word and those that go on
+within one. Every node knows where to fail to - the node for what is left after the pieces that longest match would
+take from its string - and how many pieces those are. One step per byte then gives the length of a word's encoding; no
+piece is ever built.
 
 Words are runs without ``[\\x20\\x09-\\x0D]``. A word no pieces make up counts as one token.
 
-Defined cases: null and empty texts have no words and no tokens. Repeated ids are counted row by row. Other columns are ignored.
+Defined cases: null and empty texts have no words and no tokens. Repeated ids are counted row by row. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from keyspan.operators.frames import quoted
 
 # Lengths of words that a Python worker remembers; then it starts afresh.
 REMEMBERED = 200_000
@@ -104,7 +107,6 @@ def automaton(path: str) -> LongestMatch:
 
 def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_words, n_tokens`` per row of ``docs``."""
-    quoted = lambda x: F.col("`" + x.replace("`", "``") + "`")
     rows = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,6 +128,7 @@ def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
                     total += n
                 n_words.append(len(words))
                 n_tokens.append(total)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
+            columns = [batch["doc_id"], pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_tokens"])
 
     return rows.mapInArrow(counted, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, n_tokens long")

@@ -1,16 +1,18 @@
 """URL rules by a sort-merge range join (operator 10), DataFrame functions only.
 
-A rule is ``(host, path, verdict)``: it fits its host and all subdomains where the url's path starts with the rule's. Hosts are
-written backwards, label by label (``org.example.www.``), so a rule's host and its subdomains are one interval of sorted keys;
-so are the paths that start with a rule's, behind the host's key. Two such intervals are disjoint or nested. A sweep over the sorted keys of rules
-and urls therefore needs the last rule that began and the rules around it: those still open there are the ones that fit.
+A rule is ``(host, path, verdict)``: it fits its host and all subdomains where the url's path starts with the rule's.
+Hosts are written backwards, label by label (``org.example.www.``), so a rule's host and its subdomains are one
+interval of sorted keys; so are the paths that start with a rule's, behind the host's key. Two such intervals are
+disjoint or nested. A sweep over the sorted keys of rules and urls therefore needs the last rule that began and the
+rules around it: those still open there are the ones that fit.
 
 The sweep runs on ranges of sorted distinct keys; a range starts with the rules that the ranges before it left open.
 Hosts and paths are made distinct before, so a host with a third of all pages is one key.
 
-Defined cases: a url that is null or has no ``://`` has an empty host and path, and no rule. An empty path fits no rule whose path is
-``/``. Of several fitting rules the longest ``host + path`` wins, at a tie the longer host. Rules repeated with both verdicts
-block. Rules with a null, or without a host, fit nothing. Without a fitting rule the verdict is ``default``.
+Defined cases: a url that is null or has no ``://`` has an empty host and path, and no rule. An empty path fits no
+rule whose path is ``/``. Of several fitting rules the longest ``host + path`` wins, at a tie the longer host. Rules
+repeated with both verdicts block. Rules with a null, or without a host, fit nothing. Without a fitting rule the
+verdict is ``default``.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyspan.llm.staging import staged
+from keyspan.operators.frames import quoted
 
 DEFAULT = "allow"
 # Stands behind the host in a key, below every character of a path.
@@ -73,8 +76,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url
         .withColumn("host_key", host_key(F.col("rule_host")))
         .withColumn("rule_key", F.concat("host_key", F.lit(BEHIND_HOST), "rule_path"))
     )
-    named = lambda x: F.col("`" + x.replace("`", "``") + "`")
-    rows = pages.select(named(page_id).alias("page_id"), url_host(named(url)).alias("host"), url_path(named(url)).alias("path"))
+    rows = pages.select(quoted(page_id).alias("page_id"), url_host(quoted(url)).alias("host"), url_path(quoted(url)).alias("path"))
     places = staged(rows.where("host != ''").groupBy("host", "path").count().select("host", "path", host_key(F.col("host")).alias("key")))
     hosts = open_intervals(places, rules.select(F.col("host_key").alias("key"))).where(F.size("open") > 0)
     # A place under each rule host above it, then the same sweep over the paths behind those hosts.
