@@ -11,8 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from keyspan.sources.storage import new_path
 
-# Spark removes the shuffle files of a query as soon as it has ended, instead of when the driver collects its garbage.
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# While a table is written: Spark removes the shuffle files as soon as the query has ended, instead of when the driver collects its
+# garbage, and hands rows to Python in batches that stay small beside an executor's memory.
+SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
 
 _shipped: set[str] = set()
 
@@ -30,10 +34,12 @@ def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there: computed once, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = new_path(spark, "llm")
-    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    before = {name: spark.conf.get(name) for name in SETTINGS}
     try:
+        for name, value in SETTINGS.items():
+            spark.conf.set(name, value)
         df.write.parquet(path)
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(path)
