@@ -244,6 +244,13 @@ def gradient_boost_saved(spark: SparkSession, directory: str) -> DataFrame:
     return catalogue._rounds(transfer.ensemble(*workflow, "transfer", folder, *rest).history)
 
 
+def gradient_boost_from_text(spark: SparkSession, directory: str) -> DataFrame:
+    """The keys as one text with commas."""
+    lines, *rest = catalogue._tree_args(spark, directory)
+    kinds = lines.agg(F.array_join(F.sort_array(F.collect_set("line_kind")), ", ")).first()[0]
+    return catalogue._rounds(transfer.train_from_first(lines, kinds, *rest, **catalogue.STUMP, max_iter=2).history)
+
+
 def _whole_grid(spark, directory, kind: str) -> DataFrame:
     """The default grid and folds on the smallest kind of line: settings scored, scores below the chosen one's, settings outside the grid."""
     grid = trees.GRIDS[kind]
@@ -292,6 +299,7 @@ QUERIES = {
         lda_holds,
         random_forest_stump_empty_key,
         gradient_boost_saved,
+        gradient_boost_from_text,
         random_forest_whole_grid,
         gradient_boost_whole_grid,
     )
@@ -382,6 +390,7 @@ ORACLES = {
     "kmeans_holds": f"SELECT ({_COMPLETE}) AS n_rows, CAST(0 AS BIGINT) AS nearer_elsewhere, CAST(0 AS BIGINT) AS centres_off",
     "mixture_holds": f"SELECT ({_COMPLETE}) AS n_rows, CAST(0 AS BIGINT) AS not_one, CAST(0 AS BIGINT) AS not_likeliest, CAST(1.0 AS DOUBLE) AS weights",
     "lda_holds": f"SELECT ({_COMPLETE}) AS n_rows, CAST(0 AS BIGINT) AS not_one, CAST(0 AS BIGINT) AS not_largest",
+    "gradient_boost_from_text": oracles.GRADIENT_BOOST_FROM_FIRST,
     "gradient_boost_saved": oracles.GRADIENT_BOOST_TRANSFER,
     **{
         f"{kind}_whole_grid": f"""
