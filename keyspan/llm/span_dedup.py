@@ -4,14 +4,16 @@ A text is cut into sentences; every run of ``SPAN`` consecutive ones is hashed,
 hash. A run that occurs more than once stays where it comes first, by id and place; sentences that any other
 occurrence covers are removed.
 
-Where a sentence ends depends only on the words before it, so a passage is cut alike wherever it stands: at a full
-stop, question or exclamation mark before white space, or at a line's end, if five words or more stand since the last
-end of any kind; and in sentences of over ``LONG_SENTENCE`` words at words chosen by their hash. A run so has 15 words
-at least, and a passage of more than 50 words contains one.
-
-Defined cases: null and empty texts stay as they are. Texts of fewer than three sentences have no runs. A null id
-comes before all others. Rows repeating an id and text count as one document. Runs are compared without regard to case
-of A-Z and to white space, by 128-bit hashes. Other columns are ignored.
+Words between two cuts are a sentence. A cut may stand between any two words; its rank is that of the two words alone:
+behind a full stop, question or exclamation mark before all others, and then by their hash. Cuts are taken by rank, each
+unless one within ``LEAST_WORDS`` words is taken already. So sentences have 5 to 9 words, whatever marks or line ends
+stand in between, a run has 15 to 27, and what a cut depends on ends a few words away: a passage is cut alike wherever
+it stands, but for some words at either side.
+
+Defined cases: null and empty texts stay as they are. Texts of fewer than 10 words are one sentence, those of fewer
+than three sentences (18 words at most) have no runs. A null id comes before all others. Rows repeating an id and text
+count as one document. Cuts and runs do not regard the case of A-Z or white space; runs are compared by 128-bit hashes.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,42 +33,53 @@ from keyspan.operators.frames import quoted
 
 SPAN = 3
 LEAST_WORDS = 5
-LONG_SENTENCE = 16
 _WORD = re.compile(r"\S+")
 _END = tuple(".!?。！？…")
 _QUOTES = "\"')]}»”’"
 
 
+def _lowered(words: list[str]) -> list[bytes]:
+    return " ".join(words).encode("utf-8", "surrogatepass").lower().split(b" ")
+
+
+def _ends(word: str) -> bool:
+    return word[-1] in _END or word[-1] in _QUOTES and word.rstrip(_QUOTES).endswith(_END)
+
+
+def _bounds(words: list[str], forms: list[bytes]) -> list[int]:
+    """The number of words before each sentence, and that of all words."""
+    n, least = len(words), LEAST_WORDS
+    if n < 2 * least:
+        return [0, n] if n else []
+    marks = np.fromiter(map(crc32, forms), np.uint64, n)
+    ranks = (marks[:-1] * _MIX[0] ^ marks[1:] * _MIX[1]) * _MIX[2] >> _ONE
+    ranks[~np.fromiter(map(_ends, words[:-1]), bool, n - 1)] |= _HIGHEST
+    near, taken, bounds = bytearray(n + least), b"\1" * (2 * least - 1), [0, n]
+    # Between equal ranks the first goes first: repeated words are cut at even distances.
+    for cut in (np.argsort(ranks[least - 1 : n - least], kind="stable") + least).tolist():
+        if not near[cut]:
+            near[cut - least + 1 : cut + least] = taken
+            bounds.append(cut)
+    return sorted(bounds)
+
+
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
+_ONE, _HIGHEST = np.uint64(1), np.uint64(1 << 63)
+
+
 def sentences(text: str | None) -> list[tuple[int, int, str]]:
     """``(start, end, normal form)`` of the sentences; together they cover the text but for white space before and after."""
-    out: list[tuple[int, int, str]] = []
-    if not text:
-        return out
-    words: list[str] = []
-    start, since, ended, last = 0, 0, False, 0
-    for found in _WORD.finditer(text):
-        begin, word = found.start(), found[0]
-        if since and (ended or "\n" in text[last:begin]):
-            # An end of a short sentence is none, but the next is counted from here.
-            if since >= LEAST_WORDS:
-                out.append((start, last, " ".join(words)))
-                words, start = [], begin
-            since = 0
-        elif since >= LONG_SENTENCE - 8 and (crc32(words[-1].encode("utf-8", "surrogatepass")) & 3 == 0 or since >= 2 * LONG_SENTENCE):
-            out.append((start, last, " ".join(words)))
-            words, start, since = [], begin, 0
-        if not words:
-            start = begin
-        words.append(word.lower() if word.isascii() else word.translate(_LOWER))
-        since += 1
-        last = found.end()
-        ended = word.endswith(_END) or word.rstrip(_QUOTES).endswith(_END)
-    if words:
-        out.append((start, last, " ".join(words)))
-    return out
-
-
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+    places = [found.span() for found in _WORD.finditer(text or "")]
+    words = [text[start:end] for start, end in places]
+    forms = _lowered(words)
+    bounds = _bounds(words, forms)
+    pairs = zip(bounds, bounds[1:], strict=False)
+    return [(places[a][0], places[b - 1][1], b" ".join(forms[a:b]).decode("utf-8", "surrogatepass")) for a, b in pairs]
+
+
+def _n_sentences(text: str | None) -> int:
+    words = (text or "").split()
+    return max(0, len(_bounds(words, _lowered(words))) - 1)
 
 
 def without_sentences(text: str, removed: set[int]) -> str:
@@ -81,9 +94,11 @@ def without_sentences(text: str, removed: set[int]) -> str:
 
 
 def _runs(text: str | None, span: int) -> Iterator[tuple[int, int]]:
-    forms = [form.encode("utf-8", "surrogatepass") for _, _, form in sentences(text)]
-    for k in range(len(forms) - span + 1):
-        yield divmod(xxhash.xxh3_128_intdigest(b" ".join(forms[k : k + span])), 1 << 64)
+    words = (text or "").split()
+    forms = _lowered(words)
+    bounds = _bounds(words, forms)
+    for a, b in zip(bounds, bounds[span:], strict=False):
+        yield divmod(xxhash.xxh3_128_intdigest(b" ".join(forms[a:b])), 1 << 64)
 
 
 def remove_repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
@@ -112,7 +127,7 @@ def remove_repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "
             n, gone, texts = [], [], []
             for one, starts in zip(batch["text"].to_pylist(), batch["starts"].to_pylist(), strict=True):
                 covered = {k + i for k in starts or () for i in range(span)}
-                n.append(len(sentences(one)))
+                n.append(_n_sentences(one))
                 gone.append(len(covered))
                 texts.append(without_sentences(one, covered) if covered else one)
             columns = [batch["doc_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())]

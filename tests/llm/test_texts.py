@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from keyspan.llm import bpe, quality, token_counts
+from keyspan.llm import bpe, quality, span_dedup, token_counts
 from keyspan.llm.decontaminate import SuffixAutomaton, find_matches, is_contaminated, merged, n_hit, remove_matches, without_spans, words_of
 from keyspan.llm.line_spread import remove_boilerplate
 from keyspan.llm.span_dedup import remove_repeated_spans, sentences, without_sentences
@@ -271,3 +272,56 @@ def test_long_sentences_are_cut_alike_wherever_they_stand():
     long = " ".join(prose(80, 200, capitals=False).replace(".", "").split())
     forms = lambda t: {f for _, _, f in sentences(t)}
     assert len(forms(long) & forms("some other words before it here " + long)) > 8
+
+
+def brute_bounds(words, least=5):
+    """Cuts by rank, each unless a taken one is near, without any arrays."""
+    mix = [int(x) for x in span_dedup._MIX]
+    forms = [w.lower() if w.isascii() else "".join(c.lower() if c.isascii() else c for c in w) for w in words]
+    marks = [crc32(f.encode("utf-8", "surrogatepass")) for f in forms]
+    ranks = []
+    for p in range(least, len(words) - least + 1):
+        end = re.search(r"[.!?。！？…][\"')\]}»”’]*$", words[p - 1])
+        ranks.append((not end, ((marks[p - 1] * mix[0] ^ marks[p] * mix[1]) * mix[2]) % 2**64 >> 1, p))
+    taken = []
+    for _, _, p in sorted(ranks):
+        if all(abs(p - q) >= least for q in taken):
+            taken.append(p)
+    return [0, *sorted(taken), len(words)]
+
+
+def lines_of(words, n):
+    return "\n".join(" ".join(words[k : k + n]) for k in range(0, len(words), n))
+
+
+SHORT = {
+    "lines": lambda w: lines_of(w, 4),
+    "a word a line": lambda w: "\n".join(w),
+    "shouted": lambda w: " ".join(x.upper() + "!!" for x in w),
+    "short sentences": lambda w: " ".join(x + "." * (k % 4 == 3) for k, x in enumerate(w)),
+    "no marks": lambda w: " ".join(w),
+    "quoted": lambda w: " ".join(f"“{x}É.”" if k % 3 else x for k, x in enumerate(w)),
+}
+
+
+def plain(seed, n):
+    return prose(seed, n, capitals=False).replace(".", "").split()
+
+
+@pytest.mark.parametrize("shape", SHORT)
+def test_short_lines_and_short_sentences_are_cut(shape):
+    text = SHORT[shape](plain(81, 400))
+    bounds = brute_bounds(text.split())
+    assert [len(form.split()) for _, _, form in sentences(text)] == [b - a for a, b in zip(bounds, bounds[1:], strict=False)]
+    assert all(5 <= len(form.split()) <= 9 for _, _, form in sentences(text))
+
+
+def test_copies_of_short_lines_go(spark):
+    rows = []
+    for k, shape in enumerate(SHORT.values()):
+        passage = shape(plain(100 + k, 60))
+        rows += [(10 * k, shape(plain(200 + k, 30)) + "\n" + passage), (10 * k + 1, passage + "\n" + shape(plain(300 + k, 45))), (10 * k + 2, passage)]
+    found = [(r["doc_id"], r["n_sentences"], r["n_removed"], r["text"]) for r in remove_repeated_spans(odd_documents(spark, rows)).collect()]
+    assert Counter(found) == Counter(brute_spans(rows))
+    gone = {i: n for i, _, n, _ in found}
+    assert all(gone[10 * k] == 0 and gone[10 * k + 1] >= 4 and gone[10 * k + 2] >= 4 for k in range(len(SHORT)))
