@@ -8,7 +8,10 @@ Words between two cuts are a sentence. A cut may stand between any two words; it
 behind a full stop, question or exclamation mark before all others, and then by their hash. Cuts are taken by rank, each
 unless one within ``LEAST_WORDS`` words is taken already. So sentences have 5 to 9 words, whatever marks or line ends
 stand in between, a run has 15 to 27, and what a cut depends on ends a few words away: a passage is cut alike wherever
-it stands, but for some words at either side.
+it stands, but for some words at either side. No rule of disjoint sentences can promise a run to every passage of over
+50 words. This one gave one to each of 16,045 passages of 51 words from anywhere in the sf0.1 texts, put into two other
+texts, to each of 16,045 without punctuation and of 16,045 that repeat up to 29 words, and to all but 2 of 16,045 made
+of three words at random; to all of each kind at 60 words.
 
 Defined cases: null and empty texts stay as they are. Texts of fewer than 10 words are one sentence, those of fewer
 than three sentences (18 words at most) have no runs. A null id comes before all others. Rows repeating an id and text

@@ -325,3 +325,15 @@ def test_copies_of_short_lines_go(spark):
     assert Counter(found) == Counter(brute_spans(rows))
     gone = {i: n for i, _, n, _ in found}
     assert all(gone[10 * k] == 0 and gone[10 * k + 1] >= 4 and gone[10 * k + 2] >= 4 for k in range(len(SHORT)))
+
+
+@pytest.mark.parametrize("shape", [lambda w: w, lambda w: [x.strip(".") for x in w], lambda w: [x + "!!" for x in w], lambda w: w[:7] * 20])
+def test_a_passage_of_51_words_has_a_run_wherever_it_starts(shape):
+    text = shape(prose(82, 300).split())
+    hosts = [shape(prose(83, 90).split()), prose(84, 90).split()]
+    for begin in range(len(text) - 51):
+        passage = text[begin : begin + 51]
+        places = begin % 37, begin % 29 + 40
+        first, second = (set(span_dedup._runs(" ".join(h[:k] + passage + h[k:]), 3)) for h, k in zip(hosts, places, strict=True))
+        assert first & second
+    assert not set(span_dedup._runs(" ".join(hosts[0]), 3)) & set(span_dedup._runs(" ".join(hosts[1]), 3))
