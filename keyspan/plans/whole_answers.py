@@ -251,13 +251,14 @@ def gradient_boost_from_text(spark: SparkSession, directory: str) -> DataFrame:
     return catalogue._rounds(transfer.train_from_first(lines, kinds, *rest, **catalogue.STUMP, max_iter=2).history)
 
 
-def _whole_grid(spark, directory, kind: str) -> DataFrame:
-    """The default grid and folds on the smallest kind of line: settings scored, scores below the chosen one's, settings outside the grid."""
+def _whole_grid(spark, directory, kind: str, keys: list | None = None) -> DataFrame:
+    """The default grid and folds on these kinds of line, else on all: settings scored, settings outside the grid, whether the best is chosen."""
     grid = trees.GRIDS[kind]
-    found = transfer.EXHAUSTIVE[kind](*catalogue._tree_args(spark, directory), keys=["N-F"])
+    found = transfer.EXHAUSTIVE[kind](*catalogue._tree_args(spark, directory), keys=keys)
     outside = reduce(lambda a, b: a | b, [~F.col("setting")[name].isin([float(v) for v in values]) for name, values in grid.items()])
-    chosen = transfer.hyper_parameters(found.models["N-F"], kind)
-    is_chosen = reduce(lambda a, b: a & b, [F.col("setting")[name] == float(chosen[name]) for name in grid])
+    chosen = {k: transfer.hyper_parameters(model, kind) for k, model in found.models.items()}
+    of_key = [reduce(lambda a, b: a & b, [F.col("setting")[name] == float(c[name]) for name in grid], F.col("line_kind") == k) for k, c in chosen.items()]
+    is_chosen = reduce(lambda a, b: a | b, of_key, F.lit(False))
     return found.scores.groupBy("line_kind").agg(
         F.count("*").alias("n_settings"),
         F.count("avg_rmse").alias("n_scored"),
@@ -267,10 +268,20 @@ def _whole_grid(spark, directory, kind: str) -> DataFrame:
 
 
 def random_forest_whole_grid(spark: SparkSession, directory: str) -> DataFrame:
-    return _whole_grid(spark, directory, "random_forest")
+    """On the kind of line that its SQL has."""
+    return _whole_grid(spark, directory, "random_forest", ["N-F"])
 
 
 def gradient_boost_whole_grid(spark: SparkSession, directory: str) -> DataFrame:
+    """On the kind of line that its SQL has."""
+    return _whole_grid(spark, directory, "gradient_boost", ["N-F"])
+
+
+def random_forest_whole_grid_all_keys(spark: SparkSession, directory: str) -> DataFrame:
+    return _whole_grid(spark, directory, "random_forest")
+
+
+def gradient_boost_whole_grid_all_keys(spark: SparkSession, directory: str) -> DataFrame:
     return _whole_grid(spark, directory, "gradient_boost")
 
 
@@ -302,6 +313,8 @@ QUERIES = {
         gradient_boost_from_text,
         random_forest_whole_grid,
         gradient_boost_whole_grid,
+        random_forest_whole_grid_all_keys,
+        gradient_boost_whole_grid_all_keys,
     )
 }
 

@@ -5,6 +5,7 @@ import pytest
 from keyspan.models import transfer, trees
 from keyspan.models.layout import laid_out
 from keyspan.models.trees import tree_params
+from keyspan.plans import QUERIES
 
 KEY, FEATURES, LABEL = "k", ["x", "z"], "y"
 
@@ -224,3 +225,11 @@ def test_first_key_is_in_the_metrics(data):
     result = transfer.train_from_first(data, "a, b", *ARGS, max_iter=2)
     rows = as_dict(result.metrics)
     assert set(rows) == {"a", "b"} and rows["a"]["parent"] == "a" and rows["a"]["rmse"] is not None
+
+
+@pytest.mark.parametrize("kind", ["random_forest", "gradient_boost"])
+def test_the_grid_of_all_keys_reaches_every_key(spark, small_dir, monkeypatch, kind):
+    monkeypatch.setitem(trees.GRIDS, kind, {"maxDepth": [1, 2]})
+    found = QUERIES[f"{kind}_whole_grid_all_keys"](spark, small_dir).collect()
+    lines = spark.read.parquet(f"{small_dir}/lineitem.parquet").select("l_returnflag", "l_linestatus").distinct().collect()
+    assert sorted(map(tuple, found)) == sorted((f"{r[0]}-{r[1]}", 2, 2, 0, True) for r in lines)
