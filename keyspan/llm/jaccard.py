@@ -7,7 +7,8 @@ document's connected component. The join is exact, up to collisions of 64-bit ha
    which less than 75 % of the shingles occur elsewhere links with nothing. Shingles that occur twice in a task's own
    documents are known to be shared and sent once, so a line that a third of all documents have costs one entry per
    task.
-2. *Classes.* Equal sets become one, represented by their smallest id.
+2. *Classes.* Equal sets become one, with a number in the order of their smallest ids; an id that stands in several rows
+   can be the smallest of several classes.
 3. *Index.* Shingles are ordered by frequency; a set is listed under its rarest ones, as many as any partner must hit.
    Lists are cut into blocks of one size class and one range of positions. A block that can't hold enough shingles
    behind its positions is skipped whole.
@@ -187,7 +188,7 @@ def _documents(rows: DataFrame, words: int) -> DataFrame:
 
 
 def _class_sets(rows: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """``rep, n, shingles`` per class (``rep, first, second``), from the text of its representative."""
+    """``rep, n, shingles`` per class (``rep, class_id, first, second``), from the text of its smallest id."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
@@ -198,13 +199,13 @@ def _class_sets(rows: DataFrame, classes: DataFrame, words: int) -> DataFrame:
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in found])))
             values = pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-            whole = pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(s) for s in found], pa.int32()), lists], names=["rep", "n", "shingles"])
+            whole = pa.RecordBatch.from_arrays([part["rep"], pa.array([len(s) for s in found], pa.int32()), lists], names=["rep", "n", "shingles"])
             yield whole.filter(pa.array(right, pa.bool_()))
 
-    wanted = classes.select(F.col("rep").alias("doc_id"), "first", "second")
+    wanted = classes.select("rep", F.col("class_id").alias("doc_id"), "first", "second")
     # A filter drops nearly all other texts before the shuffle; what it lets pass the join sorts out.
     likely = marked(rows, "doc_id", wanted.select("doc_id"), "likely").where("likely")
-    joined = likely.join(wanted, "doc_id").select("doc_id", "text", "first", "second")
+    joined = likely.join(wanted, "doc_id").select("rep", "text", "first", "second")
     return joined.mapInArrow(sets, "rep long, n int, shingles array<long>").dropDuplicates(["rep"])
 
 
@@ -307,7 +308,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """``doc_id, n_shingles, component_id, class_id`` per row of ``docs``: the size of its set, the smallest id that it reaches by links, the smallest id with an equal set."""
     rows = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text"))
     own = staged(_documents(rows, words))
-    classes = staged(own.where("company").groupBy("first", "second").agg(F.min("doc_id").alias("rep")))
+    named = own.where("company").groupBy("first", "second").agg(F.min("doc_id").alias("class_id"))
+    # Numbers follow the ids; written once, they stay.
+    classes = staged(named.orderBy("class_id", "first", "second").withColumn("rep", F.monotonically_increasing_id()))
     sets = staged(_class_sets(rows, classes, words))
     indexed = staged(_indexed(sets))
     postings = indexed.select("rep", "n", F.inline("prefix"))
@@ -338,12 +341,13 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     )
     second = connected(united).select(F.col("node").alias("comp"), F.col("component").alias("united"))
     reached = comp.join(second, "comp", "left").select("rep", F.coalesce("united", "comp").alias("component"))
-    component = F.coalesce("component", "rep").alias("component")
-    named = classes.join(reached, "rep", "left").select("first", "second", F.col("rep").alias("class_id"), component)
+    reached = staged(classes.join(reached, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    least = reached.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    named = reached.join(least, "component").select("first", "second", "class_id", "component_id")
     linked = own.join(named, ["first", "second"], "left")
     return linked.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
     )

@@ -75,6 +75,17 @@ def test_components_of_a_large_group_with_chains(spark):
     assert by_text(found_components(docs)) == by_text(brute_components(rows))
 
 
+def test_texts_of_one_id_have_links_of_their_own(spark):
+    near = lambda seed, *places: " ".join(f"other{k}" if k in places else w for k, w in enumerate(prose(seed, 90).split()))
+    rows = [(1, prose(600 + k, 90)) for k in range(4)]
+    rows += [(10 + k, near(600 + k, 30)) for k in range(4)] + [(20 + k, near(600 + k, 60)) for k in range(4)]
+    rows += [(30, prose(602, 90)), (1, prose(601, 90)), (1, prose(700, 90)), (40, prose(701, 90))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = found_components(docs)
+    assert by_text(found) == by_text(brute_components(rows))
+    assert {c for i, _, c in found if i != 40} == {1}
+
+
 def test_shingles_of_whole_texts():
     texts = ["a b c d e", "A  b\tc\nd e", "a b c d", "", None, LONG, "x y z z z z z z z z"]
     got = list(shingle_sets(texts))
