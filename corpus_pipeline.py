@@ -8,11 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyspan.llm.bitmaps import without_ids
 from keyspan.llm.bpe import encode
-from keyspan.llm.decontaminate import find_matches, is_contaminated, n_hit
+from keyspan.llm.decontaminate import without_contaminated
 from keyspan.llm.exact_dedup import drop_duplicates
-from keyspan.llm.jaccard import jaccard_components
+from keyspan.llm.jaccard import without_near_copies
 from keyspan.llm.quality import keep_good, train_quality
 from keyspan.llm.staging import ship_package, staged
 
@@ -33,16 +32,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near copies."""
     ship_package(spark)
-    dropped = jaccard_components(docs).where("doc_id != component_id").select("doc_id")
-    return without_ids(docs, "doc_id", dropped)
+    return without_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words are benchmark passages, as they are."""
     ship_package(spark)
-    matches = find_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    contaminated = matches.where(is_contaminated(n_hit(F.col("spans")), F.col("n_words"))).select("doc_id")
-    return without_ids(docs, "doc_id", contaminated)
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def bpe_coding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -234,3 +234,14 @@ def remove_matches(matches: DataFrame, longest: int = WINDOW, share: int = SHARE
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return clean.mapInArrow(cut, f"doc_id {id_type}, text string")
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", share: int = SHARE) -> DataFrame:
+    """The clean rows of ``docs``, each judged by itself whatever its id."""
+    # The other columns travel as one, under names that any schema can have.
+    others = [c for c in docs.columns if c != text]
+    row = F.struct(F.lit(0).alias("c"), *(quoted(c).alias(f"c{k}") for k, c in enumerate(others)))
+    matches = find_matches(docs.select(row.alias("row"), quoted(text).alias("text")), items, doc_id="row")
+    clean = matches.where(~is_contaminated(n_hit(F.col("spans")), F.col("n_words"), share))
+    place = {c: F.col(f"doc_id.c{k}") for k, c in enumerate(others)} | {text: F.col("text")}
+    return clean.select(*(place[c].alias(c) for c in docs.columns))

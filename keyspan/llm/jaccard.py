@@ -32,6 +32,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from keyspan.llm.bitmaps import marked
 from keyspan.llm.components import connected
@@ -304,8 +305,8 @@ def _open_pairs(postings: DataFrame, known: DataFrame) -> DataFrame:
     return ordered.groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """``doc_id, n_shingles, component_id, class_id`` per row of ``docs``: the size of its set, the smallest id that it reaches by links, the smallest id with an equal set."""
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, digests: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id, class_id`` per row of ``docs``: the size of its set, the smallest id that it reaches by links, the smallest id with an equal set. ``digests`` adds ``first, second``, 128 bits of the set."""
     rows = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text"))
     own = staged(_documents(rows, words))
     named = own.where("company").groupBy("first", "second").agg(F.min("doc_id").alias("class_id"))
@@ -350,4 +351,26 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
+        *(["first", "second"] if digests else []),
     )
+
+
+def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """``docs`` without the rows that reach a smaller id by links. Rows that repeat an id are told apart by their sets."""
+    found = jaccard_components(docs, doc_id, text, words, digests=True).where("doc_id != component_id")
+    gone = staged(found.select(F.col("doc_id").alias("_nc_id"), F.col("first").alias("_nc_first"), F.col("second").alias("_nc_second")).distinct())
+    rows = docs.withColumn("_nc_doc", quoted(doc_id).cast("long")).withColumn("_nc_text", quoted(text))
+    likely = marked(rows, "_nc_doc", gone.select("_nc_id"), "_nc_likely")
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            marks = np.array([digest(s) for s in shingle_sets(part["_nc_text"].to_pylist(), words)], np.int64).reshape(part.num_rows, 2)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(marks[:, 0]), pa.array(marks[:, 1])], names=[*part.schema.names, "_nc_one", "_nc_two"])
+
+    # The columns travel as one, under names that any schema can have.
+    row = F.struct(*(quoted(c).alias(f"c{k}") for k, c in enumerate(docs.columns))).alias("_nc_row")
+    asked = likely.where("_nc_likely").select(row, "_nc_doc", "_nc_text")
+    asked = asked.mapInArrow(digested, StructType([*asked.schema.fields, StructField("_nc_one", LongType()), StructField("_nc_two", LongType())]))
+    same = (F.col("_nc_doc") == F.col("_nc_id")) & (F.col("_nc_one") == F.col("_nc_first")) & (F.col("_nc_two") == F.col("_nc_second"))
+    others = asked.join(gone, same, "left_anti").select(*(F.col(f"_nc_row.c{k}").alias(c) for k, c in enumerate(docs.columns)))
+    return likely.where("not _nc_likely").select(*map(quoted, docs.columns)).union(others)

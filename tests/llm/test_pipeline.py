@@ -7,7 +7,7 @@ from keyspan.llm.bitmaps import without_ids
 from keyspan.llm.bpe import coder
 from keyspan.llm.decontaminate import words_of
 from keyspan.llm.quality import score_quality, train_quality
-from tests.llm.fixtures import no_documents, odd_documents
+from tests.llm.fixtures import no_documents, odd_documents, prose
 from tests.llm.test_pairs import brute_components, normal
 from tests.llm.test_texts import VOCABULARY, brute_matches
 
@@ -64,3 +64,17 @@ def test_dropping_ids(spark):
     left = without_ids(docs, "doc_id", gone)
     assert left.columns == docs.columns
     assert left.count() == docs.where(F.coalesce(~F.col("doc_id").isin(1, 12), F.lit(True))).count()
+
+
+def test_rows_that_share_an_id_or_have_none_are_judged_one_by_one(spark, small_dir):
+    _, _, near, clean, _ = (stage for _, stage in corpus_pipeline.STAGES)
+    item = next(r["text"] for r in spark.read.parquet(f"{small_dir}/benchmark.parquet").collect() if len(words_of(r["text"])) >= 13)
+    rows = [(1, prose(800, 60)), (1, item), (None, item), (None, prose(801, 60)), (2, item), (3, prose(802, 60))]
+    left = clean(spark, odd_documents(spark, rows), small_dir)
+    assert {(r["doc_id"], r["text"]) for r in left.collect()} == {rows[k] for k in (0, 3, 5)}
+
+    copied = prose(803, 90)
+    rows = [(1, copied), (5, copied.replace(copied.split()[40], "changed", 1)), (5, prose(804, 60)), (None, copied), (6, prose(805, 60))]
+    docs = odd_documents(spark, rows)
+    left = near(spark, docs, small_dir)
+    assert left.columns == docs.columns and {(r["doc_id"], r["text"]) for r in left.collect()} == {rows[k] for k in (0, 2, 3, 4)}
