@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from keyspan.llm.bpe import encode
 from keyspan.llm.decontaminate import find_matches, is_contaminated, n_hit
 from keyspan.llm.exact_dedup import duplicate_groups
+from keyspan.llm.fertility import quality_rules
 from keyspan.llm.html_text import extract_text, train_tree
 from keyspan.llm.jaccard import jaccard_components
 from keyspan.llm.line_spread import remove_boilerplate
 from keyspan.llm.quality import score_quality, train_quality
 from keyspan.llm.span_dedup import remove_repeated_spans
 from keyspan.llm.staging import ship_package
+from keyspan.llm.token_alignment import score_alignment
 from keyspan.llm.token_counts import count_tokens
 from keyspan.llm.url_rules import judge_urls
+from keyspan.llm.whitening import whiten
 
 # Host, path, verdict: the rules of the contract.
 URL_RULES = (
@@ -90,6 +93,24 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), rules)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    paths = path_a or public_tokenizers.path("byte_bpe_50k.json"), path_b or public_tokenizers.path("piece_bpe_32k.model")
+    return score_alignment(_table(spark, sf_dir, "documents"), *paths)
+
+
+def op13_fertility(spark: SparkSession, sf_dir: str, byte_path: str | None = None, piece_path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    paths = byte_path or public_tokenizers.path("byte_bpe_50k.json"), piece_path or public_tokenizers.path("piece_bpe_32k.model")
+    return quality_rules(_table(spark, sf_dir, "documents"), *paths)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard": op1_jaccard,
     "op2_quality": op2_quality,
@@ -101,6 +122,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_span_dedup": op9_span_dedup,
     "op10_url_rules": op10_url_rules,
+    "op11_whitening": op11_whitening,
+    "op12_alignment": op12_alignment,
+    "op13_fertility": op13_fertility,
 }
 
 ORACLES: dict[str, str] = {
