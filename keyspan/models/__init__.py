@@ -10,6 +10,15 @@ from keyspan.models.clustering import (
     lda_quality,
 )
 from keyspan.models.components import components_for_variance
+from keyspan.models.forest_search import (
+    children_together,
+    load_together,
+    parents_together,
+    save_together,
+    search_together,
+    train_together,
+)
+from keyspan.models.forests import predicted
 from keyspan.models.linear import linear_regression, lr_params
 from keyspan.models.transfer import (
     ensemble,
@@ -29,6 +38,7 @@ from keyspan.models.trees import (
 
 __all__ = [
     "bisecting_kmeans",
+    "children_together",
     "cluster_centers",
     "components_for_variance",
     "ensemble",
@@ -40,13 +50,19 @@ __all__ = [
     "lda",
     "lda_quality",
     "linear_regression",
+    "load_together",
     "lr_params",
+    "parents_together",
+    "predicted",
     "random_forest",
     "random_forest_exhaustive",
+    "save_together",
+    "search_together",
     "train_children",
     "train_from_first",
     "train_incremental",
     "train_parents",
+    "train_together",
     "train_until",
     "tree_params",
 ]

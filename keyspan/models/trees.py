@@ -162,7 +162,7 @@ def first_best(scores: list[float | None]) -> int:
     return next(i for i, s in enumerate(scores) if s is not None and s <= bound)
 
 
-def _settings(grid: dict) -> list[dict]:
+def grid_settings(grid: dict) -> list[dict]:
     return [dict(zip(grid, values)) for values in product(*grid.values())]
 
 
@@ -199,7 +199,7 @@ def search_and_test(
         return None
     train = train.withColumn("_fold", nth_fold(F.col("_fold"), folds)).persist()
     try:
-        settings = _settings(grid)
+        settings = grid_settings(grid)
         # A fold can be scored when it has rows and leaves some to train on; a key of a few rows may have none.
         filled = sorted(r["_fold"] for r in train.select("_fold").distinct().collect())
         usable = filled if len(filled) > 1 else []

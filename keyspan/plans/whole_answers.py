@@ -8,8 +8,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyspan.functions.metrics import regression_metrics
+from keyspan.functions.sampling import split
 from keyspan.functions.scaling import minmax_scale
-from keyspan.models import clustering, transfer, trees
+from keyspan.models import clustering, forest_search, transfer, trees
+from keyspan.models.forests import predicted
 from keyspan.models.linear import linear_regression
 from keyspan.operators import frames, windows
 from keyspan.operators.joins import compound
@@ -254,12 +257,11 @@ def gradient_boost_from_text(spark: SparkSession, directory: str) -> DataFrame:
 def _whole_grid(spark, directory, kind: str, keys: list | None = None) -> DataFrame:
     """The default grid and folds on these kinds of line, else on all: settings scored, settings outside the grid, whether the best is chosen."""
     grid = trees.GRIDS[kind]
-    found = transfer.EXHAUSTIVE[kind](*catalogue._tree_args(spark, directory), keys=keys)
+    found = forest_search.search_together(kind, *catalogue._tree_args(spark, directory), keys=keys)
     outside = reduce(lambda a, b: a | b, [~F.col("setting")[name].isin([float(v) for v in values]) for name, values in grid.items()])
-    chosen = {k: transfer.hyper_parameters(model, kind) for k, model in found.models.items()}
-    of_key = [reduce(lambda a, b: a & b, [F.col("setting")[name] == float(c[name]) for name in grid], F.col("line_kind") == k) for k, c in chosen.items()]
-    is_chosen = reduce(lambda a, b: a | b, of_key, F.lit(False))
-    return found.scores.groupBy("line_kind").agg(
+    chosen = found.chosen.select("line_kind", *[F.col("setting")[name].alias(name) for name in grid])
+    is_chosen = reduce(lambda a, b: a & b, [F.col("setting")[name] == F.col(name) for name in grid])
+    return found.scores.join(chosen, "line_kind").groupBy("line_kind").agg(
         F.count("*").alias("n_settings"),
         F.count("avg_rmse").alias("n_scored"),
         F.sum(outside.cast("long")).alias("n_outside"),
@@ -285,6 +287,62 @@ def gradient_boost_whole_grid_all_keys(spark: SparkSession, directory: str) -> D
     return _whole_grid(spark, directory, "gradient_boost")
 
 
+# The same answers from trees of all keys grown together
+
+
+def random_forest_together(spark: SparkSession, directory: str) -> DataFrame:
+    return catalogue._accuracy(forest_search.train_together("random_forest", *catalogue._tree_args(spark, directory), **catalogue.RF_STUMP).metrics)
+
+
+def gradient_boost_together(spark: SparkSession, directory: str) -> DataFrame:
+    return catalogue._accuracy(forest_search.train_together("gradient_boost", *catalogue._tree_args(spark, directory), **catalogue.STUMP, max_iter=2).metrics)
+
+
+def _parents_together(spark, directory, kind: str) -> forest_search.Models:
+    lines, *rest = catalogue._tree_args(spark, directory)
+    grid, params = (catalogue.RF_STUMP_GRID, catalogue.RF_STUMP) if kind == "random_forest" else (catalogue.GBT_STUMP_GRID, catalogue.STUMP)
+    return forest_search.parents_together(lines, catalogue._line_clusters(lines), kind, *rest, grid=grid, folds=2, **params)
+
+
+def random_forest_search_together(spark: SparkSession, directory: str) -> DataFrame:
+    scores = _parents_together(spark, directory, "random_forest").scores
+    return scores.select("line_kind", F.col("setting")["minWeightFractionPerNode"].alias("setting"), catalogue._rounded("avg_rmse", 4))
+
+
+def gradient_boost_search_together(spark: SparkSession, directory: str) -> DataFrame:
+    scores = _parents_together(spark, directory, "gradient_boost").scores
+    return scores.select("line_kind", F.col("setting")["maxIter"].alias("setting"), catalogue._rounded("avg_rmse", 4))
+
+
+def random_forest_from_rows(spark: SparkSession, directory: str) -> DataFrame:
+    """Parents saved as rows, loaded, and applied to their held-out rows in one plan."""
+    lines, key, features, label, row_id = catalogue._tree_args(spark, directory)
+    folder = new_path(spark, "models")
+    forest_search.save_together(_parents_together(spark, directory, "random_forest"), folder)
+    nodes = forest_search.load_together(spark, folder).nodes
+    held_out = split(lines, 0.8, row_id)[1].withColumn("label", F.col(label).cast("double"))
+    rows = predicted(held_out, nodes, key, features).where("prediction IS NOT NULL")
+    return catalogue._accuracy(regression_metrics(rows, by=[key]))
+
+
+def _children_together(spark, directory, kind: str) -> DataFrame:
+    """Parents that were saved as rows and loaded; every round of the children is a table."""
+    lines, *rest = catalogue._tree_args(spark, directory)
+    folder = new_path(spark, "models")
+    forest_search.save_together(_parents_together(spark, directory, kind), folder)
+    parents = forest_search.load_together(spark, folder)
+    history, _, _ = forest_search.children_together(lines, catalogue._line_clusters(lines), parents, kind, *rest, folder)
+    return catalogue._rounds(history.withColumn("phase", F.lit("child")))
+
+
+def random_forest_children_together(spark: SparkSession, directory: str) -> DataFrame:
+    return _children_together(spark, directory, "random_forest")
+
+
+def gradient_boost_children_together(spark: SparkSession, directory: str) -> DataFrame:
+    return _children_together(spark, directory, "gradient_boost")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -315,6 +373,13 @@ QUERIES = {
         gradient_boost_whole_grid,
         random_forest_whole_grid_all_keys,
         gradient_boost_whole_grid_all_keys,
+        random_forest_together,
+        gradient_boost_together,
+        random_forest_search_together,
+        gradient_boost_search_together,
+        random_forest_from_rows,
+        random_forest_children_together,
+        gradient_boost_children_together,
     )
 }
 
@@ -406,13 +471,21 @@ ORACLES = {
     "gradient_boost_from_text": oracles.GRADIENT_BOOST_FROM_FIRST,
     "gradient_boost_saved": oracles.GRADIENT_BOOST_TRANSFER,
     **{
-        f"{kind}_whole_grid": f"""
+        f"{kind}_whole_grid{keys}": f"""
             SELECT DISTINCT l_returnflag || '-' || l_linestatus AS line_kind, CAST({n} AS BIGINT) AS n_settings, CAST({n} AS BIGINT) AS n_scored,
                    CAST(0 AS BIGINT) AS n_outside, TRUE AS best_chosen
-            FROM lineitem WHERE l_returnflag = 'N' AND l_linestatus = 'F'
+            FROM lineitem WHERE {which}
         """
         for kind, n in (("random_forest", 81), ("gradient_boost", 27))
+        for keys, which in (("", "l_returnflag = 'N' AND l_linestatus = 'F'"), ("_all_keys", "TRUE"))
     },
+    "random_forest_together": oracles.RANDOM_FOREST_STUMP,
+    "gradient_boost_together": oracles.GRADIENT_BOOST_STUMPS,
+    "random_forest_search_together": oracles.ORACLES["random_forest_exhaustive"],
+    "gradient_boost_search_together": oracles.ORACLES["gradient_boost_exhaustive"],
+    "random_forest_from_rows": oracles.ORACLES["random_forest_parents"],
+    "random_forest_children_together": oracles.RANDOM_FOREST_TRANSFER,
+    "gradient_boost_children_together": oracles.GRADIENT_BOOST_TRANSFER,
     "random_forest_stump_empty_key": oracles.RANDOM_FOREST_STUMP.replace(
         "l_returnflag || '-' || l_linestatus AS k",
         "CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN '' ELSE l_returnflag || '-' || l_linestatus END AS k",

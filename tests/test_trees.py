@@ -70,7 +70,7 @@ def test_ties_go_to_the_earlier_setting():
 
 
 def test_default_grids():
-    assert len(trees._settings(trees.RF_GRID)) == 81 and len(trees._settings(trees.GBT_GRID)) == 27
+    assert len(trees.grid_settings(trees.RF_GRID)) == 81 and len(trees.grid_settings(trees.GBT_GRID)) == 27
 
 
 @pytest.fixture(scope="module")
