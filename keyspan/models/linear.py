@@ -1,8 +1,9 @@
 """Linear regression of one label on one feature, for every key.
 
-With the squared-error loss the fit of a key is a formula over its moments, so all keys are two aggregations, the fits and
-their residuals: partial sums before the shuffle, no loop over keys, no limit on their number. Loss ``huber``, the ``l-bfgs``
-solver and the iteration history of L1 fits go through Spark ML, one fit per key.
+With the squared-error loss the fit of a key is a formula over its moments, and so is its error, so all keys are one aggregation of
+one read: partial sums before the shuffle, no loop over keys, no limit on their number. Only where the points of a key are so close to
+their line that a difference of moments would lose the digits (``NEAR``) the residuals of those keys are summed in a second read.
+Loss ``huber`` is one aggregation per iteration for all keys. The ``l-bfgs`` solver is Spark ML's, one fit per key.
 """
 
 from __future__ import annotations
@@ -12,10 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyspan.functions.scaling import assemble
+from keyspan.models.huber import huber_fits
 from keyspan.models.per_key import distinct_keys, fit_each_key
 from keyspan.models.rules import Rule, apply_rules, between, is_bool, not_blank
 from keyspan.operators.frames import drop_incomplete, filter_keys, quoted
-from keyspan.sources.storage import rows_with_key, staged_by_key
+from keyspan.sources.storage import rows_with_key, staged_by_key, written
+
+# Share of a label's spread below which an error is not taken from moments: they know it to about 1e-16 of the spread.
+NEAR = 1e-6
 
 # Request parameter, Spark ML parameter, accepted values, value used otherwise.
 LR_RULES = (
@@ -39,8 +44,11 @@ def lr_params(**raw) -> dict:
     return apply_rules(LR_RULES, raw)
 
 
-def _closed_form(rows: DataFrame, key: str, params: dict) -> DataFrame:
-    """Elastic-net least squares per key from population moments of ``x`` and ``y``."""
+def _closed_form(rows: DataFrame, key: str, params: dict, history: bool) -> DataFrame:
+    """Elastic-net least squares per key from population moments of ``x`` and ``y``.
+
+    With an L1 share the minimum is one step of coordinate descent from zero: a history of two values of the standardised objective.
+    """
     reg, alpha = params["regParam"], params["elasticNetParam"]
     centred, standardized = params["fitIntercept"], params["standardization"]
     x, y = F.col("_x"), F.col("_y")
@@ -72,30 +80,44 @@ def _closed_form(rows: DataFrame, key: str, params: dict) -> DataFrame:
     shrunk = F.signum(corr) * F.greatest(F.abs(corr) - l1, F.lit(0.0))
     slope = F.when((sx > 0) & sy.isNotNull(), shrunk / (curvature + l2) * sy / sx).otherwise(F.lit(0.0))
 
-    fits = moments.select(quoted(key), slope.alias("_slope"), "_mx", "_my", "_yy").withColumn(
-        "_intercept", F.col("_my") - F.col("_slope") * F.col("_mx") if centred else F.lit(0.0)
+    shrunken = slope * sx / sy
+    at_zero = F.col("_yy") / (sy * sy) / 2
+    objective = F.when(
+        (sx > 0) & sy.isNotNull(), at_zero - shrunken * corr + shrunken * shrunken * (curvature + l2) / 2 + l1 * F.abs(shrunken)
     )
-    # The residuals themselves, in a second combined aggregation: their sum as a difference of moments would lose all digits
-    # on points close to a line.
     b = F.col("_slope")
-    centre_y, centre_x = (F.col("_my"), F.col("_mx")) if centred else (F.lit(0.0), F.lit(0.0))
-    residual = (y - centre_y) - b * (x - centre_x)
-    per_fit = [F.first(c).alias(c) for c in ("_slope", "_intercept", "_yy")]
-    fitted = rows.join(fits, key).groupBy(quoted(key)).agg(F.avg(residual * residual).alias("_error"), *per_fit)
+    from_moments = F.greatest(F.col("_yy") - 2 * b * F.col("_xy") + b * b * F.col("_xx"), F.lit(0.0))
+    fits = moments.select(
+        quoted(key), slope.alias("_slope"), "_mx", "_my", "_xx", "_xy", "_yy", F.array(F.coalesce(at_zero, F.lit(0.0)), F.coalesce(objective, at_zero, F.lit(0.0))).alias("_steps")
+    ).withColumns({"_intercept": F.col("_my") - b * F.col("_mx") if centred else F.lit(0.0), "_error": from_moments})
+    fits = written(fits)
+    near = fits.where((b != 0) & (F.col("_error") <= NEAR * F.col("_yy")))
+    if not near.isEmpty():
+        centre_y, centre_x = (F.col("_my"), F.col("_mx")) if centred else (F.lit(0.0), F.lit(0.0))
+        residual = (y - centre_y) - b * (x - centre_x)
+        summed = rows.join(near.select(quoted(key), "_slope", "_mx", "_my"), key).groupBy(quoted(key)).agg(F.avg(residual * residual).alias("_exact"))
+        fits = fits.join(summed, key, "left").withColumn("_error", F.coalesce("_exact", "_error"))
     error = F.col("_error")
     explained = F.when(b == 0, F.lit(0.0)).otherwise(1 - error / F.col("_yy"))
     plain = reg * alpha == 0
-    return fitted.select(
+    steps = F.array(F.lit(0.0)) if plain else F.col("_steps") if history else F.lit(None)
+    return fits.select(
         quoted(key),
-        F.lit(0 if plain else None).cast("int").alias("total_iterations"),
+        F.lit(0 if plain else 1 if history else None).cast("int").alias("total_iterations"),
         F.sqrt(error).alias("rmse"),
         F.when(F.col("_yy") > 0, explained).alias("r2"),
         F.col("_intercept").alias("intercept"),
         F.array(b).alias("slope_coefficients"),
-        (F.array(F.lit(0.0)) if plain else F.lit(None)).cast("array<double>").alias("objective_history"),
+        steps.cast("array<double>").alias("objective_history"),
     )
 
 
+def _huber(rows: DataFrame, key: str, params: dict) -> DataFrame:
+    fits = huber_fits(rows.select(quoted(key).alias("key"), F.col("_x").alias("x"), F.col("_y").alias("y")), params)
+    columns = ["total_iterations", "rmse", "r2", "intercept", F.array("slope").alias("slope_coefficients"), "objective_history"]
+    return fits.select(F.col("key").alias(key), *columns)
+
+
 def _number(value: float) -> float | None:
     return None if value != value else float(value)
 
@@ -143,8 +165,8 @@ def linear_regression(
     """Fit ``label`` on exactly one feature for every key (or the given ``keys``).
 
     ``(key, total_iterations, rmse, r2, intercept, slope_coefficients[], objective_history[])``. Keys without complete rows
-    have no answer. With an L1 share, iterations and history are only known from an iterative fit per key; with
-    ``history=False`` they are null and all keys are one aggregation there too.
+    have no answer. Iterations and history are those of the method used here (see ``_closed_form`` and ``huber_fits``), of Spark ML
+    with the ``l-bfgs`` solver; with ``history=False`` those of fits with an L1 share are null.
     """
     names = [features] if isinstance(features, str) else list(features)
     if len(names) != 1:
@@ -155,13 +177,10 @@ def linear_regression(
         rows.select(quoted(key), _as_number(df, names[0]).alias("_x"), _as_number(df, label).alias("_y")),
         [key, "_x", "_y"],
     )
-    iterate = (
-        settings["loss"] != "squaredError"
-        or settings["solver"] not in CLOSED_FORM_SOLVERS
-        or (history and settings["regParam"] * settings["elasticNetParam"] > 0)
-    )
-    if not iterate:
-        return _closed_form(rows, key, settings)
+    if settings["loss"] == "huber":
+        return _huber(rows, key, settings)
+    if settings["loss"] == "squaredError" and settings["solver"] in CLOSED_FORM_SOLVERS:
+        return _closed_form(rows, key, settings, history)
     wanted = keys if isinstance(keys, list) else distinct_keys(rows, key)
     return _fit_by_iteration(rows, key, list(dict.fromkeys(wanted)), settings, parallelism)
 

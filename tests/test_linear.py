@@ -118,6 +118,61 @@ def test_points_on_a_line_leave_no_error(spark):
         assert fit["rmse"] < 1e-6 * 5e7 * 1e-3 and fit["r2"] > 1 - 1e-12
 
 
+def with_outliers(spark):
+    rows = [("a", float(x), 3.0 * x + 5 + (x * 37 % 7)) for x in range(60)] + [("a", float(7 * x), 900.0 + 50 * x) for x in range(6)]
+    rows += [("b", float(x % 13) / 100, -1.5 * (x % 13) + (x * 11 % 5)) for x in range(90)] + [("b", 0.01, -500.0)]
+    rows += [("", 20.0 + x, 100.0 + 0.01 * x + (x * 29 % 11)) for x in range(70)] + [("", 23.0, 2e3)]
+    return spark.createDataFrame(rows, "k string, x double, y double")
+
+
+@pytest.mark.parametrize("settings", [dict(reg_param=0.4, standardization=False, epsilon=1.1), dict(reg_param=0.0, fit_intercept=False)])
+def test_huber_is_that_of_the_library(spark, settings):
+    df = with_outliers(spark)
+    got = {r["k"]: r for r in linear_regression(df, "k", "x", "y", loss="huber", max_iterations=40, tolerance=1e-9, **settings).collect()}
+    names = {"reg_param": "regParam", "epsilon": "epsilon", "standardization": "standardization", "fit_intercept": "fitIntercept"}
+    own = {names[n]: v for n, v in settings.items()}
+    for k, row in got.items():
+        table = VectorAssembler(inputCols=["x"], outputCol="features").transform(df.where(f"k = '{k}'"))
+        model = LinearRegression(labelCol="y", loss="huber", maxIter=5000, tol=1e-15, **own).fit(table)
+        assert row["slope_coefficients"] == pytest.approx(list(model.coefficients), rel=1e-6, abs=1e-6)
+        assert row["intercept"] == pytest.approx(model.intercept, rel=1e-6, abs=1e-5)
+        assert row["rmse"] == pytest.approx(model.summary.rootMeanSquaredError, rel=1e-6)
+        assert row["r2"] == pytest.approx(model.summary.r2, rel=1e-5, abs=1e-6)
+        assert row["total_iterations"] == len(row["objective_history"]) < 40
+        assert row["objective_history"][-1] <= row["objective_history"][0] * (1 + 1e-12)
+        assert row["objective_history"][-1] == pytest.approx(model.summary.objectiveHistory[-1], rel=1e-6)
+
+
+def test_huber_of_odd_keys(spark):
+    rows = [("line", float(x), 2.0 * x) for x in range(9)] + [("one", 1.0, 3.0)] + [("x", 2.0, float(y * y)) for y in range(9)]
+    df = spark.createDataFrame(rows, "`my.key` string, x double, y double")
+    got = {r["my.key"]: r for r in linear_regression(df, "my.key", "x", "y", loss="huber", reg_param=0.0, max_iterations=5).collect()}
+    assert got["line"]["slope_coefficients"][0] == pytest.approx(2.0) and got["line"]["total_iterations"] == 0
+    assert got["one"]["intercept"] == 3.0 and got["x"]["slope_coefficients"] == [0.0]
+    assert linear_regression(df.limit(0), "my.key", "x", "y", loss="huber").collect() == []
+    with pytest.raises(ValueError):
+        linear_regression(df, "my.key", "x", "y", loss="huber", elastic_net=0.5)
+
+
+def test_jobs_do_not_depend_on_keys(spark):
+    def jobs(n, name, **settings):
+        df = spark.range(60 * n).selectExpr("cast(id % {} as string) as k".format(n), "id % 7 * 1.0 as x", "id % 11 * 1.0 as y")
+        spark.sparkContext.setJobGroup(f"linear-{name}-{n}", "")
+        linear_regression(df, "k", "x", "y", **settings).collect()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"linear-{name}-{n}"))
+
+    for name, settings in (("huber", dict(loss="huber", max_iterations=3, tolerance=0.0)), ("l1", dict(reg_param=0.3, elastic_net=0.5))):
+        assert abs(jobs(30, name, **settings) - jobs(2, name, **settings)) <= 2
+
+
+def test_points_near_a_line_keep_their_digits(spark):
+    rows = [(k, float(i), scale * (3.0 * i + 1.0 + 1e-9 * (1 if i % 2 else -1))) for k, scale in (("a", 1.0), ("b", 1e6)) for i in range(1000)]
+    rows += [("rough", float(i), 5.0 * (i % 3)) for i in range(100)]
+    got = {r["k"]: r["rmse"] for r in linear_regression(spark.createDataFrame(rows, "k string, x double, y double"), "k", "x", "y", reg_param=0.0).collect()}
+    # Labels up to 3,000 are known to 4e-13, so the error to three digits of 1e-9.
+    assert got["a"] == pytest.approx(1e-9, rel=2e-3) and got["b"] == pytest.approx(1e-3, rel=2e-3)
+
+
 def test_values_out_of_range_warn():
     with pytest.warns(UserWarning, match="max_iterations=100"):
         assert lr_params(max_iterations=100)["maxIter"] == 10
