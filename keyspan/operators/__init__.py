@@ -1,5 +1,6 @@
 """Operators over keyed tables. Each takes and returns DataFrames."""
 
+from keyspan.operators.documents import run_documents
 from keyspan.operators.frames import (
     add_fields,
     aggregate,
@@ -60,6 +61,7 @@ __all__ = [
     "moving_average_from_arrays",
     "moving_average_request",
     "project",
+    "run_documents",
     "select_columns",
     "series",
     "sort",

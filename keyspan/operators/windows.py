@@ -20,6 +20,8 @@ from keyspan.sources.storage import written
 SPLIT_ROWS = 1_000_000
 # Most entries of one array in a result row; longer series continue in further rows (``part`` 1, 2, ...).
 ARRAY_ROWS = 100_000
+# Windows of so many rows at most are added up row by row.
+FRAME_DAYS = 64
 
 
 def _series_rows(df: DataFrame, key: str, order: str, feature: str, row_id: str | list[str]) -> DataFrame:
@@ -84,11 +86,25 @@ def _check_days(days: int) -> None:
 
 
 def _averaged(laid: DataFrame, groups: list[str], days: int) -> DataFrame:
-    """Own rows with ``_avg`` over the last ``days`` rows, null where the series is still shorter."""
+    """Own rows with ``_avg`` over the last ``days`` rows, null where the series is still shorter.
+
+    A short window is added up for every row. For longer ones the series is cut into runs of ``days`` rows with sums up to every row
+    and from every row on: a window is the end of one run and the beginning of the next, whatever ``days`` is.
+    """
     w = Window.partitionBy(*groups).orderBy("_date", "_id")
-    average = F.avg("_value").over(w.rowsBetween(1 - days, 0))
-    full = F.row_number().over(w) >= days
-    return laid.withColumns({"_full": full, "_avg": average}).where("_own")
+    if days <= FRAME_DAYS:
+        average = F.avg("_value").over(w.rowsBetween(1 - days, 0))
+        return laid.withColumns({"_full": F.row_number().over(w) >= days, "_avg": average}).where("_own")
+    placed = laid.withColumn("_row", F.row_number().over(w))
+    placed = placed.withColumn("_run", F.floor((F.col("_row") - 1) / F.lit(days)).cast("int"))
+    run = Window.partitionBy(*groups, "_run")
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    # Backwards first: the order of the forward sums is that of the last step as well.
+    placed = placed.withColumn("_rest", F.sum("_value").over(run.orderBy(F.desc("_row")).rowsBetween(*so_far)))
+    placed = placed.withColumn("_sum", F.sum("_value").over(run.orderBy("_row").rowsBetween(*so_far)))
+    before = F.lag("_rest", days - 1).over(Window.partitionBy(*groups).orderBy("_run", "_row"))
+    total = F.when(F.col("_row") % F.lit(days) == 0, F.col("_sum")).otherwise(F.col("_sum") + before)
+    return placed.withColumns({"_full": F.col("_row") >= days, "_avg": total / F.lit(days)}).drop("_row", "_run", "_rest", "_sum").where("_own")
 
 
 def _id_columns(row_id: str | list[str], taken: tuple[str, ...]) -> list[Column]:

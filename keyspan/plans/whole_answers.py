@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
@@ -15,6 +16,7 @@ from keyspan.models import clustering, forest_search, transfer, trees
 from keyspan.models.forests import predicted
 from keyspan.models.linear import linear_regression
 from keyspan.operators import frames, windows
+from keyspan.operators.documents import run_documents
 from keyspan.operators.joins import compound
 from keyspan.plans import catalogue, oracles
 from keyspan.sources.storage import new_path
@@ -22,6 +24,8 @@ from keyspan.sources.tables import from_json_rows, load_stats, load_table, to_js
 
 # Entries of an array in the queries that cut series into parts.
 PART_ROWS = 10
+# Rows of the long windows.
+LONG_DAYS = 130
 
 
 # Every entry of the series
@@ -287,6 +291,45 @@ def gradient_boost_whole_grid_all_keys(spark: SparkSession, directory: str) -> D
     return _whole_grid(spark, directory, "gradient_boost")
 
 
+# Windows of many rows
+
+
+def moving_average_long(spark: SparkSession, directory: str) -> DataFrame:
+    """Windows of ``LONG_DAYS`` events of a type; runs of rows make them, not a frame per row."""
+    events = load_table(spark, directory, "events")
+    averages = windows.moving_average(events, "event_type", "ts", "value", LONG_DAYS, "event_id")
+    return averages.select("event_type", "ts", "event_id", F.round("avg", 6).alias("avg"))
+
+
+# Stages sent as JSON
+
+
+def documents_moving_averages(spark: SparkSession, directory: str) -> DataFrame:
+    """The moving averages of every user by a pipeline of JSON documents, the form in which clients ask for them."""
+    days = catalogue.DAYS
+    averages = {
+        "input": {"$range": [0, {"$subtract": [{"$size": "$movingAverages"}, days - 1]}]},
+        "as": "i",
+        "in": {
+            "avg": {"$avg": {"$slice": ["$movingAverages.value", "$$i", days]}},
+            "date": {"$arrayElemAt": ["$movingAverages.date", {"$add": ["$$i", days - 1]}]},
+        },
+    }
+    stages = [
+        {"$match": {"user_id": {"$ne": None}, "value": {"$ne": None}}},
+        {"$sort": {"ts": 1, "event_id": 1}},
+        {"$group": {"_id": "$user_id", "movingAverages": {"$push": {"value": "$value", "date": "$ts"}}}},
+        {"$addFields": {"numDays": days, "startDate": {"$arrayElemAt": ["$movingAverages.date", 0]}}},
+        {"$addFields": {"movingAverages": {"$map": averages}}},
+    ]
+    answers = run_documents(load_table(spark, directory, "events"), json.dumps(stages))
+    entries = answers.select("_id", "numDays", "startDate", F.explode("movingAverages").alias("entry"))
+    return entries.select(
+        F.col("_id").alias("user_id"), F.lit(0).alias("part"), F.col("numDays").alias("num_days"), F.col("startDate").alias("start_date"),
+        F.round("entry.avg", 6).alias("avg"), F.col("entry.date").alias("date"),
+    )
+
+
 # The same answers from trees of all keys grown together
 
 
@@ -373,6 +416,8 @@ QUERIES = {
         gradient_boost_whole_grid,
         random_forest_whole_grid_all_keys,
         gradient_boost_whole_grid_all_keys,
+        moving_average_long,
+        documents_moving_averages,
         random_forest_together,
         gradient_boost_together,
         random_forest_search_together,
@@ -479,6 +524,15 @@ ORACLES = {
         for kind, n in (("random_forest", 81), ("gradient_boost", 27))
         for keys, which in (("", "l_returnflag = 'N' AND l_linestatus = 'F'"), ("_all_keys", "TRUE"))
     },
+    "moving_average_long": f"""
+        SELECT event_type, ts, event_id, round(average, 6) AS avg FROM (
+            SELECT event_type, ts, event_id,
+                   avg(value) OVER (PARTITION BY event_type ORDER BY ts NULLS FIRST, event_id ROWS BETWEEN {LONG_DAYS - 1} PRECEDING AND CURRENT ROW) AS average,
+                   row_number() OVER (PARTITION BY event_type ORDER BY ts NULLS FIRST, event_id) AS rn
+            FROM events WHERE event_type IS NOT NULL AND value IS NOT NULL
+        ) WHERE rn >= {LONG_DAYS}
+    """,
+    "documents_moving_averages": _averages_sql("0"),
     "random_forest_together": oracles.RANDOM_FOREST_STUMP,
     "gradient_boost_together": oracles.GRADIENT_BOOST_STUMPS,
     "random_forest_search_together": oracles.ORACLES["random_forest_exhaustive"],

@@ -52,6 +52,20 @@ def test_moving_average_against_loops(spark, days, rows_per_block):
     assert answer(got) == brute_force(SKEWED, days)
 
 
+@pytest.mark.parametrize("days", [1, 2, 7, 60, 61])
+@pytest.mark.parametrize("rows_per_block", [None, 13])
+def test_runs_of_rows_give_the_same(spark, monkeypatch, days, rows_per_block):
+    monkeypatch.setattr(windows, "FRAME_DAYS", 0)
+    got = windows.moving_average(frame(spark, SKEWED).repartition(5), *ARGS, days, "id", split_rows=rows_per_block)
+    assert answer(got) == brute_force(SKEWED, days)
+
+
+def test_long_windows_have_no_frame_per_row(spark):
+    df = frame(spark, SKEWED)
+    plans = [windows.moving_average(df, *ARGS, days, "id", split_rows=None)._jdf.queryExecution().executedPlan().toString() for days in (500, 5000)]
+    assert all("-499" not in p and "-4999" not in p for p in plans) and all(p.count("Exchange hashpartitioning") == 1 for p in plans)
+
+
 @pytest.mark.parametrize("array_rows", [1000, 10])
 def test_array_form_gives_the_same(spark, array_rows):
     df = frame(spark, SKEWED)
