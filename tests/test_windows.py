@@ -63,7 +63,7 @@ def test_runs_of_rows_give_the_same(spark, monkeypatch, days, rows_per_block):
 def test_long_windows_have_no_frame_per_row(spark):
     df = frame(spark, SKEWED)
     plans = [windows.moving_average(df, *ARGS, days, "id", split_rows=None)._jdf.queryExecution().executedPlan().toString() for days in (500, 5000)]
-    assert all("-499" not in p and "-4999" not in p for p in plans) and all(p.count("Exchange hashpartitioning") == 1 for p in plans)
+    assert all("RowFrame, -499, currentrow" not in p and "RowFrame, -4999, currentrow" not in p for p in plans) and all(p.count("Exchange hashpartitioning") == 1 for p in plans)
 
 
 @pytest.mark.parametrize("array_rows", [1000, 10])
