@@ -9,8 +9,12 @@ The potentials are counts of labelled pages: a few that are written down here, a
 pages, of which elements with a plain meaning (``article``, ``nav``, ...) label themselves and what they hold.
 ``SAMPLE`` is the bound.
 
+A class, id or role names an element where all its words do, and not a paragraph, heading or quotation, which may have any class: there, and
+where other words stand beside, it leaves the decision to the text and to what lies around.
+
 Defined cases: null, empty and textless pages have an empty text. Pages cut off or with tags left open are read as far
-as they go. Every page, repeated ids included, gives one row. Other columns are ignored.
+as they go: a quote opens a string only right after ``=``, and one that never closes is a character as any; what an unclosed ``svg``,
+``noscript``, ``template`` or ``select`` holds ends with its parent. White space is what Unicode calls so. Every page, repeated ids included, gives one row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,11 +39,15 @@ MOST_BY_KIND, MOST_BY_TEXT = 10.0, 3.0
 
 # Elements of HTML by how they nest and lay out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object select".split())
+RAW = frozenset("script style iframe textarea title".split())
+# Left out with what they hold; without an end tag they end with their parent.
+HIDDEN = frozenset("noscript template svg select".split())
 INLINE = frozenset(
     (
         "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span "
-        "strike strong sub sup time tt u var wbr"
+        "strike strong sub sup time tt u var wbr "
+        "math maction menclose merror mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub "
+        "msubsup msup mtext munder munderover semantics annotation"
     ).split()
 )
 CLOSES_P = frozenset(
@@ -65,6 +73,15 @@ MEANINGS = {
     "comment": "comment comments reply replies discussion disqus respond reviews",
     "share": "share sharing social",
 }
+# Words of a class that say where or how big an element is, not what.
+NEUTRAL = frozenset(
+    (
+        "area bar block box bottom col column container content fixed float global group holder inner item items large left link links list main "
+        "module outer page panel primary region right row secondary section site small sticky text top wrap wrapper"
+    ).split()
+)
+# What a class alone doesn't take out of an article.
+TEXTUAL = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 figcaption".split())
 _MEANING = {word: kind for kind, words in MEANINGS.items() for word in words.split()}
 _ELEMENT = {
     "nav": "menu", "menu": "menu", "header": "header", "footer": "footer", "aside": "side", "form": "form",
@@ -77,8 +94,8 @@ _PLAIN = {
     **dict.fromkeys(("table", "thead", "tbody", "tr", "td", "th", "caption"), "table"),
 }
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)", re.S)
+_NAMED = re.compile(r"(?<![^\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -102,15 +119,21 @@ class Page:
 
 
 def _kind(tag: str, attributes: str) -> str:
-    """What an element is named: by its own name, else by its class, id or role."""
+    """What an element is named: by its own name, else by a class, id or role whose words say so; "maybe" if some word does."""
     if tag in _ELEMENT:
         return _ELEMENT[tag]
+    if tag in HIDDEN:
+        return "head"
+    maybe = False
     if attributes:
         for found in _NAMED.finditer(attributes):
-            for word in _WORD.findall((found[1] or found[2] or found[3] or "").lower()):
-                if word in _MEANING:
-                    return _MEANING[word]
-    return _PLAIN.get(tag, "other")
+            for name in (found[1] or found[2] or found[3] or "").lower().split():
+                words = _WORD.findall(name)
+                named = [_MEANING[word] for word in words if word in _MEANING]
+                if named and tag not in TEXTUAL and all(word in _MEANING or word in NEUTRAL for word in words):
+                    return named[0]
+                maybe |= bool(named)
+    return "maybe" if maybe and tag not in _PLAIN else _PLAIN.get(tag, "other")
 
 
 def _zone(kind: str) -> str | None:
@@ -120,6 +143,9 @@ def _zone(kind: str) -> str | None:
 def parsed(html: str) -> Page:
     page = Page([Element("#page", "other", -1)])
     stack: list[tuple[str, int]] = [("#page", 0)]  # open elements: name and block element
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack each name stands
+    blocks: list[int] = [0]  # where in the stack the elements are that are not inline
+    endless: set[str] = set()  # elements whose end tag the rest of the page lacks
     held: list[str] = []
     links, linked = 0, 0
 
@@ -135,13 +161,26 @@ def parsed(html: str) -> Page:
             page.blocks.append((stack[-1][1], text))
         linked = 0
 
+    def opened(tag: str, element: int) -> None:
+        places[tag].append(len(stack))
+        if tag not in INLINE:
+            blocks.append(len(stack))
+        stack.append((tag, element))
+
+    def last(names) -> int:
+        """Where the innermost open element of these names stands, 0 if none is open."""
+        return max((places[name][-1] for name in names if places[name]), default=0)
+
     def close(to: int) -> None:
         nonlocal links
-        for name, _ in stack[to:]:
-            links -= name == "a"
-        if any(name not in INLINE for name, _ in stack[to:]):
+        if blocks[-1] >= to:
             flush()
-        del stack[to:]
+        while len(stack) > to:
+            name, _ = stack.pop()
+            places[name].pop()
+            links -= name == "a"
+        while blocks[-1] >= to:
+            blocks.pop()
 
     at = 0
     while found := _TOKEN.search(html, at):
@@ -156,10 +195,8 @@ def parsed(html: str) -> Page:
             continue
         tag = tag.lower()
         if found[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
+            if places[tag]:
+                close(places[tag][-1])
             continue
         if tag in VOID:
             if tag in INLINE:
@@ -169,40 +206,29 @@ def parsed(html: str) -> Page:
             else:
                 flush()
             continue
-        if tag in RAW:
+        if tag in RAW or tag in HIDDEN:
             if found[3].endswith("/"):
                 continue
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
-            continue
+            end = None if tag in endless else re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)
+            if end or tag in RAW:
+                at = end.end() if end else len(html)
+                continue
+            endless.add(tag)
         if tag in INLINE:
             links += tag == "a"
-            stack.append((tag, stack[-1][1]))
+            opened(tag, stack[-1][1])
             continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        if tag in SAME_LEVEL:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in STOPS[tag]:
-                    break
-                if stack[k][0] in SAME_LEVEL[tag]:
-                    close(k)
-                    break
+        if tag in CLOSES_P and stack[blocks[-1]][0] == "p":
+            close(blocks[-1])
+        if tag in SAME_LEVEL and (same := last(SAME_LEVEL[tag])) > last(STOPS[tag]):
+            close(same)
         flush()
-        if tag == "body":
+        if tag == "body" and places["head"]:
             # A head left open ends here.
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "head":
-                    close(k)
-                    break
+            close(places["head"][-1])
         kind, parent = _kind(tag, found[3]), stack[-1][1]
         page.elements.append(Element(tag, kind, parent, _zone(kind) or page.elements[parent].zone))
-        stack.append((tag, len(page.elements) - 1))
+        opened(tag, len(page.elements) - 1)
     held.append(html[at:])
     flush()
     return page

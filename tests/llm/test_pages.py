@@ -37,6 +37,61 @@ def test_broken_pages_do_not_fail(html):
     assert isinstance(MODEL.text(html), str)
 
 
+ARTICLE = (
+    "<body><nav><a href=/>Menu</a></nav><article><h1>Title</h1>{}<p>It's the second paragraph, with words. Yes.</p>"
+    "<p>Third one, which doesn't end soon, as it's long.</p></article><footer>Foot</footer></body>"
+)
+REST = "It's the second paragraph, with words. Yes.\n\nThird one, which doesn't end soon, as it's long."
+FIRST = "First paragraph, with some words. More of them."
+
+
+@pytest.mark.parametrize(
+    "block, text",
+    [(block.format(FIRST), FIRST) for block in (
+        "<p title=don't>{}</p>",
+        "<p title=\"x>{}</p>",
+        "<p title='5 > 4'>{}</p>",
+        "<p data-x=a'b\"c>{}</p>",
+        "<noscript><p>{}</p>",
+        "<svg><p>{}</p>",
+        "<object><p>{}</p></object>",
+        "<div class='comment-free'><p>{}</p></div>",
+        "<p class='search'>{}</p>",
+        "<p class='related side'>{}</p>",
+        "<p data-class='comments'>{}</p>",
+        "<p class=intro><span id=ad-1></span>{}</p>",
+        "<p>{}</i></b></section></p>",
+    )]
+    + [
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be, with some words. More.</p>", "Let x=2 be, with some words. More."),
+        ("<p>Text <svg><title>icon</title></svg>goes on, as it should. Yes.</p>", "Text goes on, as it should. Yes."),
+        ("<noscript><p>Please turn scripts on, as this page needs them.</p></noscript>", None),
+        ("<div class='comments'><p>Reader's paragraph, with some words. More.</p></div>", None),
+        ("<div class='cookie-notice'>We use cookies, as others do. Fine?</div>", None),
+        ("<div class=sidebar-left><p>Side words, with commas, and more. Yes.</p></div>", None),
+        ("<form><p>Your name, please.</p></form>", None),
+    ],
+)
+def test_hard_blocks_of_an_article(block, text):
+    assert MODEL.text(ARTICLE.format(block)) == "\n\n".join(part for part in ("Title", text, REST) if part)
+
+
+@pytest.mark.parametrize(
+    "part", ["<b>{}</i>", "<div>{}</i>", "<li><ul><b>{}<li></li>", "<div><b>{}<section></section>", "{}<svg>", "{}<noscript>", "{}<p title='", "{}<a b=\"c", "<b>{}<p></p>"]
+)
+def test_time_grows_with_the_page(part):
+    import time
+
+    def seconds(n):
+        head, tail = part.split("{}")
+        html = "<article>" + head * n + tail * n + "word"
+        began = time.process_time()
+        MODEL.text(html)
+        return time.process_time() - began
+
+    assert seconds(20_000) < 0.25 + 12 * seconds(5_000)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class=ad>", "</div>", "<article>", "</article>", "<b>", "</b>", "<li>", "<ul>", "</ul>", "<table>", "<td>", "words, and more.", "&amp;", "<br>", "<head>", "<body>"]), max_size=40))
 def test_any_nesting(parts):
