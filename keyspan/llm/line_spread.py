@@ -40,6 +40,16 @@ def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
     return spread.where(F.col("sites") > min_sites * (1 + error)).select("line").union(counted.select("line"))
 
 
+def _flags(places: Column) -> Column:
+    """Sorted places as an array of 0 and 1 up to the last of them: a line looks up its own, however many others there are."""
+
+    def up_to(place: Column, i: Column) -> Column:
+        before = F.when(i == 0, F.lit(-1)).otherwise(F.get(places, i - 1))
+        return F.concat(F.repeat(F.lit("0"), place - before - 1), F.lit("1"))
+
+    return F.split(F.array_join(F.transform(places, up_to), ""), "")
+
+
 def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """``doc_id, n_lines, n_removed, text`` per row of ``docs``."""
     rows = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"), F.coalesce(F.xxhash64(quoted(site).cast("string")), F.lit(0)).alias("site"))
@@ -48,12 +58,14 @@ def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     each = rows.select("mark", "site", F.posexplode(F.split("text", "\n")).alias("no", "line")).withColumn("line", line_key(F.col("line")))
     each = staged(each.where("line != ''").select("mark", "site", "no", F.xxhash64("line").alias("line")))
     boilerplate = staged(boilerplate_lines(each.select("line", "site"), min_sites))
-    removed = each.join(boilerplate, "line").groupBy("mark").agg(F.collect_set("no").alias("removed"))
+    removed = each.join(boilerplate, "line").groupBy("mark").agg(F.sort_array(F.collect_set("no")).alias("places"))
+    removed = removed.select("mark", F.size("places").alias("n_removed"), _flags(F.col("places")).alias("flags"))
     lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda line, no: ~F.array_contains("removed", no))
+    # Lines behind the last flag stay.
+    kept = F.filter(lines, lambda _, no: F.coalesce(F.get("flags", no) != "1", F.lit(True)))
     return rows.join(removed, "mark", "left").select(
         "doc_id",
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
-        F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("flags").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
     )

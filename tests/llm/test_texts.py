@@ -337,3 +337,19 @@ def test_a_passage_of_51_words_has_a_run_wherever_it_starts(shape):
         first, second = (set(span_dedup._runs(" ".join(h[:k] + passage + h[k:]), 3)) for h, k in zip(hosts, places, strict=True))
         assert first & second
     assert not set(span_dedup._runs(" ".join(hosts[0]), 3)) & set(span_dedup._runs(" ".join(hosts[1]), 3))
+
+
+def test_lines_of_very_long_texts(spark):
+    import time
+
+    common = [f"line number {k} of them all" for k in range(0, 100_000, 2)]
+    own = [f"own {k}" for k in range(100_000)]
+    whole = "\n".join(common[k // 2] if k % 2 == 0 else own[k] for k in range(100_000))
+    rows = [(1, whole, "s0")] + [(10 + k, "\n".join(common), f"s{k}") for k in range(1, 9)] + [(50, "x\n\nline number 0 of them all", "s1"), (51, "", "s1"), (52, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    began = time.monotonic()
+    found = {r["doc_id"]: r for r in remove_boilerplate(docs).collect()}
+    assert time.monotonic() - began < 60
+    assert found[1]["n_lines"] == 100_000 and found[1]["n_removed"] == 50_000 and found[1]["text"] == "\n".join(own[1::2])
+    assert all(found[10 + k]["text"] == "" and found[10 + k]["n_removed"] == 50_000 for k in range(1, 9))
+    assert found[50]["text"] == "x\n" and found[51]["text"] == "" and found[52]["text"] is None
