@@ -17,8 +17,9 @@ from keyspan.models.forests import predicted
 from keyspan.models.linear import linear_regression
 from keyspan.operators import frames, windows
 from keyspan.operators.documents import run_documents
-from keyspan.operators.joins import compound
+from keyspan.operators.joins import Query, compound
 from keyspan.plans import catalogue, oracles
+from keyspan.sources.layout import bounds_from_footers, by_key, counts_from_footers
 from keyspan.sources.storage import new_path
 from keyspan.sources.tables import from_json_rows, load_stats, load_table, to_json_rows
 
@@ -291,6 +292,24 @@ def gradient_boost_whole_grid_all_keys(spark: SparkSession, directory: str) -> D
     return _whole_grid(spark, directory, "gradient_boost")
 
 
+# Tables laid out by key, and file footers
+
+
+def compound_bucketed(spark: SparkSession, directory: str) -> DataFrame:
+    """Customers and their last events, both tables in buckets of the key: nothing is exchanged to join them."""
+    events = catalogue._events_side(spark, directory)
+    side = Query(by_key(events.rows, "id", 8, events.order_by), events.order_by)
+    return catalogue._joined((by_key(catalogue._customers(spark, directory), "id", 8), "left", side))
+
+
+def count_from_footers(spark: SparkSession, directory: str) -> DataFrame:
+    return counts_from_footers(spark, directory, ["lineitem", "region", "nation", "customer", "orders", "customer"])
+
+
+def bounds_of_lines(spark: SparkSession, directory: str) -> DataFrame:
+    return bounds_from_footers(spark, directory, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey"])
+
+
 # Windows of many rows
 
 
@@ -416,6 +435,9 @@ QUERIES = {
         gradient_boost_whole_grid,
         random_forest_whole_grid_all_keys,
         gradient_boost_whole_grid_all_keys,
+        compound_bucketed,
+        count_from_footers,
+        bounds_of_lines,
         moving_average_long,
         documents_moving_averages,
         random_forest_together,
@@ -524,6 +546,12 @@ ORACLES = {
         for kind, n in (("random_forest", 81), ("gradient_boost", 27))
         for keys, which in (("", "l_returnflag = 'N' AND l_linestatus = 'F'"), ("_all_keys", "TRUE"))
     },
+    "compound_bucketed": oracles.COMPOUND_LEFT,
+    "count_from_footers": oracles.COUNT_TABLES,
+    "bounds_of_lines": " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", CAST(min({c}) AS VARCHAR) AS low, CAST(max({c}) AS VARCHAR) AS high FROM lineitem"
+        for c in ("l_orderkey", "l_partkey", "l_suppkey")
+    ),
     "moving_average_long": f"""
         SELECT event_type, ts, event_id, round(average, 6) AS avg FROM (
             SELECT event_type, ts, event_id,
