@@ -2,7 +2,8 @@
 
 Rows are packed once into blocks of consecutive rows of a key, with their values as bins. At every level each block meets the unfinished
 trees of its key, walks its rows to their nodes and adds them up per node, feature and bin; the sums of all blocks of a tree are added
-and its best splits chosen. The number of jobs depends on depth and on the number of boosting steps, not on keys, settings or folds,
+and its best splits chosen. Keys of up to ``ALONE_VALUES`` values don't need that: their blocks meet in a task, which
+grows their trees, by the same steps, from the first level to the last. The number of jobs depends on depth and on the number of boosting steps, not on keys, settings or folds,
 and a key's rows are spread over as many tasks as they fill. What the next level needs, the trees so far, is a table with a row per
 tree; the driver sees none of it.
 
@@ -21,6 +22,7 @@ import math
 import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,10 @@ SKETCH = 4096
 FAN_IN = 64
 # Keys whose sums a worker holds at once.
 HELD = 2
+# Values (rows by features) of a key up to which one task grows its trees from the first level to the last.
+ALONE_VALUES = 2_000_000
+# Tasks that small keys are spread over while there are few of them.
+SPREAD = 32
 EPS = float(np.finfo(float).eps)
 
 
@@ -479,6 +485,53 @@ def _grow(blocks: DataFrame, units: DataFrame, depth: int, salted: bool) -> Data
     return units
 
 
+def _alone(tasks: list[Settings], depths: dict[int, list[int]], stages: dict[int, list[int]]):
+    """All trees of a small key from all its blocks, with the errors asked for in the first row of each task."""
+
+    def grown(table: pa.Table) -> pa.Table:
+        batch = table.combine_chunks().to_batches()[0]
+        parts = [(*_block(batch, i), pickle.loads(batch["bins"][i].as_py())) for i in range(batch.num_rows)]
+        y, draws = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts], axis=1)
+        bins = {b: np.concatenate([p[2][b] for p in parts], axis=1) for b in parts[0][2]}
+        rows = []
+        for task in batch["tasks"][0].as_py():
+            s = tasks[task]
+            own, inside = bins[s.max_bins], _in_training(draws, s)
+            out = np.flatnonzero(_held_out(draws, s))
+            trees, errors, pred = [], [], None
+            for number in range(s.trees):
+                times = np.where(inside, _times(draws, s, number), 0.0)
+                chosen = np.flatnonzero(times)
+                target = y if number == 0 or not s.boosted else 2 * (y - pred)
+                tree = Tree()
+                for _ in range(s.max_depth):
+                    if not len(tree.open):
+                        break
+                    tree = grown_level(s, tree, _sums(tree, own[:, chosen], times[chosen], target[chosen]), int(inside.sum()), number)
+                trees.append(tree)
+                if s.boosted:
+                    added = tree.value[tree.nodes(own, s.max_depth)]
+                    pred = added if number == 0 else pred + s.step * added
+                    if number + 1 in stages[task] and tree.rows and len(out):
+                        errors.append(_error(task, s.max_depth, number + 1, y[out], pred[out]))
+            if not s.boosted and len(out) and trees[0].rows:
+                for depth in depths[task]:
+                    p = sum(tree.value[tree.nodes(own[:, out], depth)] for tree in trees) / len(trees)
+                    errors.append(_error(task, depth, s.trees, y[out], p))
+            rows += [(task, number, pickle.dumps((s, tree)), errors if number == 0 else []) for number, tree in enumerate(trees)]
+        n = len(rows)
+        return pa.table({
+            "key": pa.chunked_array([pa.concat_arrays([batch["key"].slice(0, 1)] * n)]),
+            "task": pa.array([r[0] for r in rows], pa.int32()),
+            "tree": pa.array([r[1] for r in rows], pa.int32()),
+            "open": pa.array([False] * n),
+            "blob": pa.array([r[2] for r in rows], pa.binary()),
+            "errors": pa.array([r[3] for r in rows], pa.list_(ERRORS)),
+        })
+
+    return grown
+
+
 # Scoring
 
 
@@ -595,36 +648,54 @@ def grow(
     stages = {k: [s.trees] for k, s in enumerate(tasks)} | (stages or {})
     blobs = [pickle.dumps((s, Tree())) for s in tasks]
 
+    listed = cuts.select("key", F.explode(F.sequence(F.lit(0), F.lit(len(tasks) - 1))).alias("task"))
+    if which is not None:
+        listed = listed.join(which.select(quoted(key).alias("key"), "task"), ["key", "task"], "left_semi")
+    kind = blocks.schema["key"].dataType.simpleString()
+    sizes = written(blocks.groupBy("key").agg(F.sum("n").alias("rows")))
+    small = F.col("rows") * len(features) <= ALONE_VALUES
+    n_small, n_keys = sizes.where(small).count(), sizes.count()
+    found: list[DataFrame] = []
+    errors: list[DataFrame] = []
+    if n_small or not n_keys:
+        slots = max(1, min(len(tasks), SPREAD // max(n_small, 1)))
+        spread = listed.join(sizes.where(small).select("key"), "key", "left_semi")
+        spread = spread.groupBy("key", (F.col("task") % slots).alias("slot")).agg(F.sort_array(F.collect_list("task")).alias("tasks"))
+        meeting = blocks.select("key", "y", "draws", "bins").join(spread, "key")
+        schema = f"key {kind}, task int, tree int, open boolean, blob binary, errors {ERRORS_SQL}"
+        alone = written(meeting.groupBy("key", "slot").applyInArrow(_alone(tasks, depths, stages), schema))
+        found.append(alone.drop("errors"))
+        errors.append(alone.select("key", F.inline("errors")))
+    large = sizes.where(~small).select("key")
+    blocks = blocks.join(large, "key", "left_semi")
+
     def units_of(numbers: list[tuple[int, int]]) -> DataFrame:
-        """Fresh trees ``(task, tree)`` of every key."""
+        """Fresh trees ``(task, tree)`` of every large key."""
         fresh = df.sparkSession.createDataFrame([(task, [(tree, bytearray(blobs[task])) for t, tree in numbers if t == task]) for task in range(len(tasks))], "task int, trees array<struct<tree:int,blob:binary>>")
-        listed = cuts.select("key", F.explode(F.sequence(F.lit(0), F.lit(len(tasks) - 1))).alias("task"))
-        if which is not None:
-            listed = listed.join(which.select(quoted(key).alias("key"), "task"), ["key", "task"], "left_semi")
-        return listed.join(F.broadcast(fresh), "task").select("key", "task", F.inline("trees")).withColumn("open", F.lit(True))
+        own = listed.join(large, "key", "left_semi").join(F.broadcast(fresh), "task")
+        return own.select("key", "task", F.inline("trees")).withColumn("open", F.lit(True))
 
-    found: list[DataFrame] = []
-    if boosted.pop():
+    if n_small == n_keys:
+        pass
+    elif boosted.pop():
         for tree in range(max(s.trees for s in tasks)):
             units = _grow(blocks, units_of([(k, tree) for k, s in enumerate(tasks) if tree < s.trees]), depth, salted)
             found.append(units)
             lists = units.groupBy("key").agg(F.collect_list(F.struct("task", "tree", "blob")).alias("units"))
             # A key without unfinished tasks keeps its blocks.
             blocks = written(blocks.join(lists, "key", "left").withColumn("units", F.coalesce("units", F.array())).mapInArrow(lambda b: _advanced(b, stages), blocks.schema))
-        errors = blocks.select("key", F.inline("errors"))
+        errors.append(blocks.select("key", F.inline("errors")))
     else:
-        found.append(_grow(blocks, units_of([(k, tree) for k, s in enumerate(tasks) for tree in range(s.trees)]), depth, salted))
-        lists = found[0].groupBy("key").agg(F.collect_list(F.struct("task", "tree", "blob")).alias("units"))
-        kind = blocks.schema["key"].dataType.simpleString()
+        units = _grow(blocks, units_of([(k, tree) for k, s in enumerate(tasks) for tree in range(s.trees)]), depth, salted)
+        found.append(units)
+        lists = units.groupBy("key").agg(F.collect_list(F.struct("task", "tree", "blob")).alias("units"))
         scored = blocks.select("key", "y", "draws", "bins").join(lists, "key").mapInArrow(lambda b: _forest_errors(b, depths), f"key {kind}, errors {ERRORS_SQL}")
-        errors = written(scored).select("key", F.inline("errors"))
-    units = found[0]
-    for more in found[1:]:
-        units = units.unionByName(more)
+        errors.append(written(scored).select("key", F.inline("errors")))
+    units, all_errors = reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, errors)
     schema = f"key {packed.schema['key'].dataType.simpleString()}, task int, tree int, node int, level int, feature int, threshold double, child int, value double, weight double, scale double"
     nodes = written(units.join(cuts, "key").mapInArrow(_nodes, schema))
     spread = F.sum("syy") - F.sum("sy") * F.sum("sy") / F.sum("n")
-    measured = errors.groupBy("key", "task", "depth", "stage").agg(
+    measured = all_errors.groupBy("key", "task", "depth", "stage").agg(
         F.sum("n").alias("n"),
         F.sqrt(F.sum("sse") / F.sum("n")).alias("rmse"),
         F.when(spread > 0, 1 - F.sum("sse") / spread).alias("r2"),

@@ -116,7 +116,25 @@ def test_few_rows_and_none(spark, data):
         grow(data, *ARGS, [Settings(), Settings(boosted=True)])
 
 
-def test_jobs_do_not_depend_on_keys(spark):
+@pytest.mark.parametrize("params", [dict(boosted=True, trees=3, max_depth=2, bootstrap=False, subset="all"), dict(trees=3, max_depth=3, rate=0.7)])
+def test_large_keys_are_grown_level_by_level_alike(data, monkeypatch, params):
+    tasks = [Settings(folds=2, fold=f, max_bins=b, **params) for f in (-1, 0) for b in (4, 32)]
+    want = {"depths": {0: [1, 3]}, "stages": {1: [1, 3]}}
+    alone = grow(data, *ARGS, tasks, **want)
+    # Blocks of few rows; one key is small, two are large.
+    monkeypatch.setattr(forests, "BLOCK", 100)
+    monkeypatch.setattr(forests, "ALONE_VALUES", 0)
+    levels = grow(data, *ARGS, tasks, **want)
+    columns = ["k", "task", "tree", "node", "feature", "threshold", "child", "level"]
+    assert sorted(map(tuple, alone.nodes.select(columns).collect()), key=str) == sorted(map(tuple, levels.nodes.select(columns).collect()), key=str)
+    by = ["k", "task", "depth", "stage"]
+    one, other = ({tuple(r[c] for c in by): (r["n"], r["rmse"]) for r in g.errors.collect()} for g in (alone, levels))
+    assert set(one) == set(other) and all(one[k][0] == other[k][0] and one[k][1] == pytest.approx(other[k][1], rel=1e-9) for k in one)
+
+
+def test_jobs_do_not_depend_on_keys(spark, monkeypatch):
+    monkeypatch.setattr(forests, "ALONE_VALUES", 0)
+
     def jobs(n):
         rows = spark.range(400 * n).selectExpr("id", "cast(id % {} as string) as k".format(n), "id % 13 * 1.0 as x", "id % 5 * 1.0 as z", "id % 17 * 1.0 as y")
         spark.sparkContext.setJobGroup(f"forest-{n}", "")
