@@ -8,6 +8,7 @@ from keyspan.models.clustering import (
     kmeans,
     lda,
     lda_quality,
+    split_tree,
 )
 from keyspan.models.components import components_for_variance
 from keyspan.models.forest_search import (
@@ -20,6 +21,7 @@ from keyspan.models.forest_search import (
 )
 from keyspan.models.forests import predicted
 from keyspan.models.linear import linear_regression, lr_params
+from keyspan.models.power_iteration import power_iteration
 from keyspan.models.transfer import (
     ensemble,
     train_children,
@@ -53,11 +55,13 @@ __all__ = [
     "load_together",
     "lr_params",
     "parents_together",
+    "power_iteration",
     "predicted",
     "random_forest",
     "random_forest_exhaustive",
     "save_together",
     "search_together",
+    "split_tree",
     "train_children",
     "train_from_first",
     "train_incremental",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from keyspan.functions.scaling import scaled_vectors
 from keyspan.models.layout import laid_out
 from keyspan.operators.frames import drop_incomplete, quoted, select_columns
-from keyspan.sources.storage import written
+from keyspan.sources.storage import new_path, written
 
 
 def prepared(df: DataFrame, key: str, features: list[str]) -> tuple[DataFrame, int]:
@@ -29,7 +29,7 @@ def prepared(df: DataFrame, key: str, features: list[str]) -> tuple[DataFrame, i
     return scaled_vectors(written(rows), inputs)
 
 
-def _check_k(k: int, at_least: int) -> None:
+def check_k(k: int, at_least: int) -> None:
     if k < at_least:
         raise ValueError(f"cluster count must be at least {at_least}, not {k}")
 
@@ -46,22 +46,22 @@ def _fit(estimator, df: DataFrame, key: str, features: list[str], unique_key: bo
 
 
 def fit_kmeans(df, key, features, k, max_iter=20, seed=1, unique_key=False):
-    _check_k(k, 2)
+    check_k(k, 2)
     return _fit(KMeans(k=k, maxIter=max_iter, seed=seed), df, key, features, unique_key)
 
 
 def fit_bisecting_kmeans(df, key, features, k, max_iter=20, seed=1, unique_key=False):
-    _check_k(k, 2)
+    check_k(k, 2)
     return _fit(BisectingKMeans(k=k, maxIter=max_iter, seed=seed), df, key, features, unique_key)
 
 
 def fit_gaussian_mixture(df, key, features, k, max_iter=100, seed=1, unique_key=False):
-    _check_k(k, 2)
+    check_k(k, 2)
     return _fit(GaussianMixture(k=k, maxIter=max_iter, seed=seed), df, key, features, unique_key)
 
 
 def fit_lda(df, key, features, k, max_iter=20, seed=1, unique_key=False):
-    _check_k(k, 2)
+    check_k(k, 2)
     return _fit(LDA(k=k, maxIter=max_iter, seed=seed), df, key, features, unique_key)
 
 
@@ -105,6 +105,20 @@ def cluster_centers(model, df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "cluster int, center array<double>")
 
 
+def split_tree(model, df: DataFrame) -> DataFrame:
+    """``(node, parent, size, cost, center[])`` of a bisecting k-means model: every cluster it had, from the root (no parent) on.
+
+    ``cost`` is the sum of squared distances of the node's rows to its centre. The tree is read from the model as Spark saves it.
+    """
+    path = new_path(df.sparkSession, "bisecting")
+    model.write().save(path)
+    nodes = df.sparkSession.read.parquet(f"{path}/data/data")
+    parents = nodes.select(F.col("index").alias("parent"), F.explode("children").alias("index"))
+    return nodes.join(parents, "index", "left").select(
+        F.col("index").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"), "size", "cost", vector_to_array("center").alias("center")
+    )
+
+
 def gaussians(model, df: DataFrame) -> DataFrame:
     """``(component, weight, mean[], cov[])`` of a mixture; the covariance matrix row by row."""
     rows = [

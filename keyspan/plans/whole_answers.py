@@ -15,6 +15,7 @@ from keyspan.functions.scaling import minmax_scale
 from keyspan.models import clustering, forest_search, transfer, trees
 from keyspan.models.forests import predicted
 from keyspan.models.linear import linear_regression
+from keyspan.models.power_iteration import power_iteration as power_iteration_clusters
 from keyspan.operators import frames, windows
 from keyspan.operators.documents import run_documents
 from keyspan.operators.joins import Query, compound
@@ -234,6 +235,65 @@ def lda_holds(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def bisecting_holds(spark: SparkSession, directory: str) -> DataFrame:
+    """Rows assigned, rows nearer to the other side of a split on their way, and splits whose sides don't add up."""
+    model, rows = clustering.fit_bisecting_kmeans(*catalogue._cluster_args(spark, directory), k=10, unique_key=True)
+    # Two nodes for each of ten clusters at most.
+    nodes = {r["node"]: r for r in clustering.split_tree(model, rows).collect()}
+    sides: dict[int, list] = {}
+    for node in nodes.values():
+        sides.setdefault(node["parent"], []).append(node)
+    ways = []
+    for leaf in nodes.keys() - sides.keys():
+        way, node = [], nodes[leaf]
+        while node["parent"] is not None:
+            other = next(n for n in sides[node["parent"]] if n["node"] != node["node"])
+            way.append((node["center"], other["center"]))
+            node = nodes[node["parent"]]
+        ways.append((leaf, way))
+    off = sum(nodes[parent]["size"] != sum(n["size"] for n in both) for parent, both in sides.items() if parent is not None)
+    table = spark.createDataFrame(ways, "leaf int, way array<struct<own: array<double>, other: array<double>>>")
+    assigned = model.transform(rows).select("prediction", vector_to_array("features").alias("point"))
+    wrong = F.exists("way", lambda split: _squared_distance("point", split["own"]) > _squared_distance("point", split["other"]) + 1e-9)
+    counted = assigned.join(F.broadcast(table), F.col("prediction") == F.col("leaf"), "left")
+    return counted.agg(
+        F.count("*").alias("n_rows"), F.sum(F.coalesce(wrong, F.lit(True)).cast("long")).alias("nearer_other_side")
+    ).withColumn("sizes_off", F.lit(off).cast("long"))
+
+
+def mixture_report_apart(spark: SparkSession, directory: str) -> DataFrame:
+    """Weight, means and covariances of two components on two groups apart: those of the groups."""
+    model, rows = clustering.fit_gaussian_mixture(_apart(spark, directory), "c_custkey", ["building", "shifted"], k=2, unique_key=True)
+
+    def figure(column, digits):
+        return F.round(column, digits) + F.lit(0.0)  # no negative zero
+
+    mean, cov = F.col("mean"), F.col("cov")
+    return clustering.gaussians(model, rows).select(
+        figure(F.col("weight"), 6).alias("weight"),
+        figure(mean[0], 6).alias("mean_building"),
+        figure(mean[1], 6).alias("mean_shifted"),
+        figure(cov[0], 8).alias("var_building"),
+        figure(cov[1], 8).alias("cov_both"),
+        figure(cov[3], 8).alias("var_shifted"),
+    )
+
+
+def lda_bounds_hold(spark: SparkSession, directory: str) -> DataFrame:
+    """The perplexity's bound is that of the likelihood per token; the tokens of the scaled features are their sum."""
+    model, rows = clustering.fit_lda(*catalogue._cluster_args(spark, directory), k=4, max_iter=10, unique_key=True)
+    likelihood, perplexity = F.col("log_likelihood"), F.col("log_perplexity")
+    return clustering.lda_quality(model, rows).select(F.round(-likelihood / perplexity, 3).alias("n_tokens"), (likelihood < 0).alias("negative"))
+
+
+def power_iteration(spark: SparkSession, directory: str) -> DataFrame:
+    return power_iteration_clusters(*catalogue._cluster_args(spark, directory), k=4)
+
+
+def power_iteration_apart(spark: SparkSession, directory: str) -> DataFrame:
+    return _by_smallest(power_iteration_clusters(_apart(spark, directory), "c_custkey", ["building", "shifted"], k=2))
+
+
 # Trees with a key that is an empty text
 
 
@@ -428,6 +488,11 @@ QUERIES = {
         kmeans_holds,
         mixture_holds,
         lda_holds,
+        bisecting_holds,
+        mixture_report_apart,
+        lda_bounds_hold,
+        power_iteration,
+        power_iteration_apart,
         random_forest_stump_empty_key,
         gradient_boost_saved,
         gradient_boost_from_text,
@@ -468,6 +533,10 @@ def _averages_sql(part: str) -> str:
 _APART_SQL = "SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_mktsegment = 'BUILDING') AS smallest FROM customer"
 _COMPLETE = f"SELECT count(*) FROM ({oracles.CUSTOMER_FEATURES}) WHERE c_acctbal IS NOT NULL AND n_orders IS NOT NULL AND spend IS NOT NULL"
 
+# Scaled features of the complete customers.
+_SCALED_SUM = " + ".join(f"sum(({c} - lo_{c}) / (hi_{c} - lo_{c}))" for c in catalogue.CUSTOMER_FEATURES)
+_EXTENTS = ", ".join(f"min({c}) OVER ()::DOUBLE AS lo_{c}, max({c}) OVER ()::DOUBLE AS hi_{c}" for c in catalogue.CUSTOMER_FEATURES)
+
 ORACLES = {
     "series_entries": _series_sql("0", "rn - 1"),
     "series_parts": _series_sql(f"(rn - 1) // {PART_ROWS}", f"(rn - 1) % {PART_ROWS}"),
@@ -534,6 +603,26 @@ ORACLES = {
     "mixture_apart": _APART_SQL,
     "kmeans_holds": f"SELECT ({_COMPLETE}) AS n_rows, CAST(0 AS BIGINT) AS nearer_elsewhere, CAST(0 AS BIGINT) AS centres_off",
     "mixture_holds": f"SELECT ({_COMPLETE}) AS n_rows, CAST(0 AS BIGINT) AS not_one, CAST(0 AS BIGINT) AS not_likeliest, CAST(1.0 AS DOUBLE) AS weights",
+    "bisecting_holds": f"SELECT ({_COMPLETE}) AS n_rows, CAST(0 AS BIGINT) AS nearer_other_side, CAST(0 AS BIGINT) AS sizes_off",
+    "mixture_report_apart": """
+        WITH points AS (
+            SELECT (c_mktsegment = 'BUILDING')::INT::DOUBLE AS building,
+                   (c_mktsegment = 'BUILDING')::INT * 2 + c_custkey % 3 * 0.01::DOUBLE AS shifted FROM customer
+        ), scaled AS (
+            SELECT building, (shifted - min(shifted) OVER ()) / (max(shifted) OVER () - min(shifted) OVER ()) AS shifted, count(*) OVER () AS n FROM points
+        )
+        SELECT round(count(*) / any_value(n), 6) AS weight, round(avg(building), 6) AS mean_building, round(avg(shifted), 6) AS mean_shifted,
+               round(covar_pop(building, building), 8) AS var_building, round(covar_pop(building, shifted), 8) + 0.0 AS cov_both,
+               round(covar_pop(shifted, shifted), 8) AS var_shifted
+        FROM scaled GROUP BY building
+    """,
+    "lda_bounds_hold": f"""
+        WITH complete AS (
+            SELECT *, {_EXTENTS} FROM ({oracles.CUSTOMER_FEATURES}) WHERE c_acctbal IS NOT NULL AND n_orders IS NOT NULL AND spend IS NOT NULL
+        )
+        SELECT round({_SCALED_SUM}, 3) AS n_tokens, true AS negative FROM complete
+    """,
+    "power_iteration_apart": _APART_SQL,
     "lda_holds": f"SELECT ({_COMPLETE}) AS n_rows, CAST(0 AS BIGINT) AS not_one, CAST(0 AS BIGINT) AS not_largest",
     "gradient_boost_from_text": oracles.GRADIENT_BOOST_FROM_FIRST,
     "gradient_boost_saved": oracles.GRADIENT_BOOST_TRANSFER,
