@@ -3,11 +3,12 @@
 A rule is ``(host, path, verdict)``: it fits its host and all subdomains where the url's path starts with the rule's.
 Hosts are written backwards, label by label (``org.example.www.``), so a rule's host and its subdomains are one
 interval of sorted keys; so are the paths that start with a rule's, behind the host's key. Two such intervals are
-disjoint or nested. A sweep over the sorted keys of rules and urls therefore needs the last rule that began and the
-rules around it: those still open there are the ones that fit.
+disjoint or nested. A sweep over the sorted keys of rules and urls therefore keeps a stack: a rule is pushed at its key and
+popped at the first key that does not start with it; what is on the stack at a url's key fits the url.
 
-The sweep runs on ranges of sorted distinct keys; a range starts with the rules that the ranges before it left open.
-Hosts and paths are made distinct before, so a host with a third of all pages is one key.
+The sweep runs on blocks of sorted distinct keys; a block starts with the rules that the blocks before it left open, which
+the same sweep finds among the ends of blocks. Hosts and paths are made distinct before, so a host with a third of all pages is
+one key.
 
 Defined cases: a url that is null or has no ``://`` has an empty host and path, and no rule. An empty path fits no
 rule whose path is ``/``. Of several fitting rules the longest ``host + path`` wins, at a tie the longer host. Rules
@@ -17,7 +18,7 @@ verdict is ``default``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyspan.llm.staging import staged
@@ -26,6 +27,10 @@ from keyspan.operators.frames import quoted
 DEFAULT = "allow"
 # Stands behind the host in a key, below every character of a path.
 BEHIND_HOST = "\x01"
+# Sorted rows that are swept at once.
+BLOCK_ROWS = 500
+# Of equal keys the rule comes first: it fits the key itself.
+RULE, ASKED = 0, 1
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,27 +48,52 @@ def host_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
-def _chains(keys: DataFrame) -> DataFrame:
-    """Each key with the keys around it, outermost first: ``(key, chain)``. A chain is as long as its key at most."""
-    starts = keys.select("key", F.explode(F.sequence(F.lit(1), F.length("key"))).alias("n"))
-    starts = starts.select("key", F.expr("left(key, n)").alias("start"))
-    around = starts.join(keys.select(F.col("key").alias("start")), "start")
-    return around.groupBy("key").agg(F.sort_array(F.collect_set("start")).alias("chain"))
-
-
-def open_intervals(probes: DataFrame, keys: DataFrame) -> DataFrame:
+def _swept(blocks: DataFrame) -> DataFrame:
+    """``(key, open)`` of the asked keys of blocks ``(rows, carried)``: a sweep over the sorted rows with a stack of open rules."""
+    answers = F.expr("cast(array() as array<struct<key: string, open: array<string>>>)")
+    start = F.struct(F.coalesce("carried", F.expr("cast(array() as array<string>)")).alias("stack"), answers.alias("answers"))
+
+    def step(state: Column, row: Column) -> Column:
+        # What the key does not start with has ended, for this key and all behind it.
+        still = F.filter(state["stack"], lambda rule: row["key"].startswith(rule))
+        is_rule = row["kind"] == RULE
+        answer = F.array(F.struct(row["key"].alias("key"), still.alias("open")))
+        return F.struct(
+            F.when(is_rule, F.array_union(still, F.array(row["key"]))).otherwise(still).alias("stack"),
+            F.when(is_rule, state["answers"]).otherwise(F.concat(state["answers"], answer)).alias("answers"),
+        )
+
+    return blocks.select(F.inline(F.aggregate("rows", start, step)["answers"]))
+
+
+def _sweep(rows: DataFrame, size: int, ranges: int | None = None) -> DataFrame:
+    """``(key, open)`` of the asked keys among distinct ``rows`` of ``(key, kind)``, swept in blocks of ``size`` sorted rows.
+
+    What the blocks before leave open at the first key of a block is the same question with a row per block, and per rule that is
+    open at the end of its own block. Blocks double on the way up, so that even rules nested a block deep come to an end.
+    """
+    order = ["key", "kind"]
+    laid = (rows.repartitionByRange(ranges, *order) if ranges else rows.repartitionByRange(*order)).sortWithinPartitions(*order)
+    # Numbered within its partition in the lower 33 bits.
+    place = F.monotonically_increasing_id()
+    number = laid.withColumn("place", place).select(*order, F.shiftright("place", 33).alias("part"), F.expr(f"(place & {2**33 - 1}) div {size}").alias("block"))
+    blocks = staged(number.groupBy("part", "block").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("rows")).select("rows"))
+    n_blocks = blocks.count()
+    if n_blocks < 2:
+        return _swept(blocks.withColumn("carried", F.expr("cast(array() as array<string>)")))
+    last = F.element_at("rows", -1)["key"]
+    left_open = F.transform(F.filter("rows", lambda r: (r["kind"] == RULE) & last.startswith(r["key"])), lambda r: r["key"])
+    firsts = blocks.select(F.col("rows")[0]["key"].alias("key")).distinct().select("key", F.lit(ASKED).alias("kind"))
+    rules = blocks.select(F.explode(left_open).alias("key")).select("key", F.lit(RULE).alias("kind"))
+    carried = _sweep(rules.union(firsts), 2 * size, ranges=-(-n_blocks // size))
+    carried = carried.select(F.col("key").alias("first"), F.col("open").alias("carried"))
+    return _swept(blocks.join(carried, F.col("rows")[0]["key"] == F.col("first"), "left"))
+
+
+def open_intervals(probes: DataFrame, keys: DataFrame, size: int = BLOCK_ROWS) -> DataFrame:
     """``(key, open)`` for each distinct ``key`` of ``probes``: the ``key`` values of ``keys`` that it starts with, shortest first."""
-    rules = _chains(keys.select("key").distinct()).select("key", F.lit(0).alias("kind"), "chain")
-    asked = probes.select("key").distinct().select("key", F.lit(1).alias("kind"), F.lit(None).cast("array<string>").alias("chain"))
-    laid = staged(rules.union(asked).repartitionByRange("key", "kind").withColumn("part", F.spark_partition_id()))
-    # One row per range: what its last rule leaves to the ranges behind it.
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ends = laid.groupBy("part").agg(F.max_by("chain", F.when(F.col("kind") == 0, F.col("key"))).alias("end"))
-    carried = ends.select("part", F.last("end", ignorenulls=True).over(before).alias("carried"))
-    so_far = Window.partitionBy("part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    stack = F.coalesce(F.last("chain", ignorenulls=True).over(so_far), F.col("carried"))
-    swept = laid.join(F.broadcast(carried), "part").withColumn("stack", stack).where("kind = 1")
-    return swept.select("key", F.filter("stack", lambda start: F.col("key").startswith(start)).alias("open"))
+    rules = keys.select("key").distinct().select("key", F.lit(RULE).alias("kind"))
+    return _sweep(rules.union(probes.select("key").distinct().select("key", F.lit(ASKED).alias("kind"))), size)
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url", default: str = DEFAULT) -> DataFrame:

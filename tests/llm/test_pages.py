@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from keyspan.llm.html_text import LABELLED, extract_text, fit_tree, hand_labelled, parsed, train_tree
 from keyspan.llm.queries import URL_RULES
-from keyspan.llm.url_rules import judge_urls
+from keyspan.llm.url_rules import judge_urls, open_intervals
 
 MODEL = fit_tree([])
 
@@ -164,3 +164,15 @@ def test_no_pages_and_default(spark):
     pages = spark.createDataFrame([(1, None), (None, "http://x.org/")], "page_id long, url string")
     assert judge_urls(pages.limit(0), rules).collect() == []
     assert {tuple(r)[3:] for r in judge_urls(pages, rules, default="block").collect()} == {(None, "block"), ("org/", "allow")}
+
+
+@pytest.mark.parametrize("size", [2, 7, 500])
+def test_sweep_in_blocks_of_any_size(spark, size):
+    # Rules nested deeper than a block, keys that are rules themselves, and keys in between.
+    rules = ["a" * n for n in range(1, 30)] + ["ab", "b", "bc", "c\x01", "ü", "üx"]
+    keys = ["a" * n + end for n in range(0, 32, 3) for end in ("", "b", "\x01", "z")] + ["b", "bcd", "bd", "c", "c\x01/", "d", "üxy", "üy", "東"]
+    table, asked = (spark.createDataFrame([(k,) for k in ks + ks[:3]], "key string") for ks in (rules, keys))
+    found = {r["key"]: r["open"] for r in open_intervals(asked, table, size).collect()}
+    assert found == {k: sorted((r for r in rules if k.startswith(r)), key=len) for k in keys}
+    assert open_intervals(asked.limit(0), table, size).collect() == []
+    assert all(r["open"] == [] for r in open_intervals(asked, table.limit(0), size).collect())
