@@ -4,8 +4,10 @@ The automaton of all test items accepts every run of words that occurs in an ite
 through it; at each word it holds the longest run ending there that an item contains. Runs of ``window`` words or more
 are matches, and so is a whole item of fewer words. The words of all matches are the document's spans.
 
-Items are broadcast in blocks of about ``BLOCK_WORDS`` words; documents pass one block after the other in the same
-stage, so a larger benchmark adds automata, not a shuffle. Each Python worker builds a block's automaton once.
+Items are broadcast in blocks of about ``BLOCK_WORDS`` words, read in one pass that holds a block at a time. Documents pass
+``BLOCKS_AT_ONCE`` blocks in a stage; then they are written, those blocks go, and the next follow. So a larger benchmark adds
+stages without a shuffle, and neither the driver, the broadcasts nor the workers hold more than those blocks. Each Python worker
+builds a block's automaton once.
 
 Defined cases: null and empty texts have no words, no spans and are clean. Items without words or id are left out;
 rows repeating an item's id count as one item. Repeated documents are judged one by one. Other columns are ignored.
@@ -22,6 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyspan.llm.staging import staged
 from keyspan.operators.frames import quoted
 
 WINDOW = 13
@@ -29,6 +32,8 @@ WINDOW = 13
 SHARE = 20
 # Words of one automaton: about 150 MB in a Python worker.
 BLOCK_WORDS = 200_000
+# Automata that documents pass in one stage, each in a Python worker of its own.
+BLOCKS_AT_ONCE = 3
 # Bytes that are no part of a word, in lower-cased text; all bytes of characters outside ASCII are.
 _WORD_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -150,14 +155,19 @@ def _automaton(block: Broadcast, window: int) -> SuffixAutomaton:
 
 
 def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items in blocks that the driver can hold, by the hash of their ids."""
+    """The items in blocks, in one pass: the driver holds a block and a partition of items at a time. The last block may be empty."""
     rows = items.where("item_id is not null and item_text is not null")
     rows = rows.select(F.col("item_id").cast("string").alias("item_id"), "item_text").distinct()
-    chars = rows.agg(F.sum(F.length("item_text"))).first()[0] or 0
-    n = -(-chars // (block_words * 4)) or 1  # words of four characters: more blocks than needed, rather than fewer
-    for k in range(n):
-        block = [(r["item_id"], words_of(r["item_text"])) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).toLocalIterator()]
-        yield [(item, words) for item, words in block if words]
+    block, size = [], 0
+    for row in rows.toLocalIterator():
+        words = words_of(row["item_text"])
+        if block and size + len(words) > block_words:
+            yield block
+            block, size = [], 0
+        if words:
+            block.append((row["item_id"], words))
+            size += len(words)
+    yield block
 
 
 def find_matches(
@@ -169,6 +179,7 @@ def find_matches(
     item_text: str = "text",
     window: int = WINDOW,
     block_words: int = BLOCK_WORDS,
+    blocks_at_once: int = BLOCKS_AT_ONCE,
 ) -> DataFrame:
     """``doc_id, text, n_words, spans, items`` per row of ``docs``: spans of hit words (first, behind the last), ids of the items."""
     spark = docs.sparkSession
@@ -177,8 +188,14 @@ def find_matches(
     )
     id_type = out.schema["doc_id"].dataType.simpleString()
     named = items.select(quoted(item_id).alias("item_id"), quoted(item_text).alias("item_text"))
+    in_use: list[Broadcast] = []
     for block in _blocks(named, block_words):
+        if len(in_use) == blocks_at_once:
+            out = staged(out)
+            while in_use:
+                in_use.pop().destroy()
         shared = spark.sparkContext.broadcast((uuid4().hex, block))
+        in_use.append(shared)
 
         def matched(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(shared, window)

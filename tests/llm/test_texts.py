@@ -90,8 +90,8 @@ def test_matches_in_blocks_and_odd_documents(spark):
     docs = odd_documents(spark, texts)
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     known = [(str(i), words_of(t)) for i, t in items if i is not None and words_of(t)]
-    for block_words in (10**6, 20):
-        found = find_matches(docs, benchmark, block_words=block_words).collect()
+    for block_words, at_once in ((10**6, 3), (20, 3), (1, 1), (1, 2)):
+        found = find_matches(docs, benchmark, block_words=block_words, blocks_at_once=at_once).collect()
         assert len(found) == len(texts)
         for r in found:
             hit, whose = brute_matches(known, words_of(r["text"]))
