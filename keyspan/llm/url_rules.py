@@ -48,10 +48,14 @@ def host_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
+def _nothing() -> Column:
+    return F.expr("cast(array() as array<string>)")
+
+
 def _swept(blocks: DataFrame) -> DataFrame:
     """``(key, open)`` of the asked keys of blocks ``(rows, carried)``: a sweep over the sorted rows with a stack of open rules."""
     answers = F.expr("cast(array() as array<struct<key: string, open: array<string>>>)")
-    start = F.struct(F.coalesce("carried", F.expr("cast(array() as array<string>)")).alias("stack"), answers.alias("answers"))
+    start = F.struct(F.coalesce("carried", _nothing()).alias("stack"), answers.alias("answers"))
 
     def step(state: Column, row: Column) -> Column:
         # What the key does not start with has ended, for this key and all behind it.
@@ -66,26 +70,36 @@ def _swept(blocks: DataFrame) -> DataFrame:
     return blocks.select(F.inline(F.aggregate("rows", start, step)["answers"]))
 
 
+_ORDER = "key", "kind"
+
+
+def _sorted_rows() -> Column:
+    return F.array_sort(F.collect_list(F.struct(*_ORDER))).alias("rows")
+
+
 def _sweep(rows: DataFrame, size: int, ranges: int | None = None) -> DataFrame:
     """``(key, open)`` of the asked keys among distinct ``rows`` of ``(key, kind)``, swept in blocks of ``size`` sorted rows.
 
     What the blocks before leave open at the first key of a block is the same question with a row per block, and per rule that is
-    open at the end of its own block. Blocks double on the way up, so that even rules nested a block deep come to an end.
+    open at the end of its own block. Once these fit one block it is answered; blocks double on the way up, so that even rules
+    nested a block deep and ranges of few rows come to an end.
     """
-    order = ["key", "kind"]
-    laid = (rows.repartitionByRange(ranges, *order) if ranges else rows.repartitionByRange(*order)).sortWithinPartitions(*order)
+    laid = (rows.repartitionByRange(ranges, *_ORDER) if ranges else rows.repartitionByRange(*_ORDER)).sortWithinPartitions(*_ORDER)
     # Numbered within its partition in the lower 33 bits.
     place = F.monotonically_increasing_id()
-    number = laid.withColumn("place", place).select(*order, F.shiftright("place", 33).alias("part"), F.expr(f"(place & {2**33 - 1}) div {size}").alias("block"))
-    blocks = staged(number.groupBy("part", "block").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("rows")).select("rows"))
-    n_blocks = blocks.count()
-    if n_blocks < 2:
-        return _swept(blocks.withColumn("carried", F.expr("cast(array() as array<string>)")))
+    number = laid.withColumn("place", place).select(*_ORDER, F.shiftright("place", 33).alias("part"), F.expr(f"(place & {2**33 - 1}) div {size}").alias("block"))
+    blocks = staged(number.groupBy("part", "block").agg(_sorted_rows()).select("rows"))
     last = F.element_at("rows", -1)["key"]
     left_open = F.transform(F.filter("rows", lambda r: (r["kind"] == RULE) & last.startswith(r["key"])), lambda r: r["key"])
+    n_blocks, n_rules = blocks.agg(F.count("*"), F.coalesce(F.sum(F.size(left_open)), F.lit(0))).first()
+    if n_blocks < 2:
+        return _swept(blocks.withColumn("carried", _nothing()))
     firsts = blocks.select(F.col("rows")[0]["key"].alias("key")).distinct().select("key", F.lit(ASKED).alias("kind"))
-    rules = blocks.select(F.explode(left_open).alias("key")).select("key", F.lit(RULE).alias("kind"))
-    carried = _sweep(rules.union(firsts), 2 * size, ranges=-(-n_blocks // size))
+    above = blocks.select(F.explode(left_open).alias("key")).select("key", F.lit(RULE).alias("kind")).union(firsts)
+    if n_blocks + n_rules <= 2 * size:
+        carried = _swept(above.agg(_sorted_rows()).withColumn("carried", _nothing()))
+    else:
+        carried = _sweep(above, 2 * size, ranges=-(-n_blocks // size))
     carried = carried.select(F.col("key").alias("first"), F.col("open").alias("carried"))
     return _swept(blocks.join(carried, F.col("rows")[0]["key"] == F.col("first"), "left"))
 
