@@ -16,9 +16,9 @@ SPREAD = 64
 BUCKET, BITS = "_bm_bucket", "_bm_bits"
 
 
-def filter_bits(rows: int) -> int:
+def filter_bits(rows: int, spread: int = SPREAD) -> int:
     """Slots of a filter: a power of two that follows the rows, within the bounds of what is broadcast."""
-    return max(MIN_BITS, min(MAX_BITS, 1 << max(0, rows * SPREAD - 1).bit_length()))
+    return max(MIN_BITS, min(MAX_BITS, 1 << max(0, rows * spread - 1).bit_length()))
 
 
 def slot_of(key: Column, bits: int, seed: int = 1) -> Column:
@@ -40,10 +40,10 @@ def with_bit(rows: DataFrame, bitmaps: DataFrame, slot: str, name: str) -> DataF
     return joined.withColumn(name, bit).drop(BUCKET, BITS)
 
 
-def marked(rows: DataFrame, key: str, wanted: DataFrame, name: str) -> DataFrame:
+def marked(rows: DataFrame, key: str, wanted: DataFrame, name: str, spread: int = SPREAD) -> DataFrame:
     """``rows`` with ``name``: whether their ``key`` may be one of the only column of ``wanted``. Null keys are none."""
     column = quoted(key)
-    bits = filter_bits(wanted.count())
+    bits = filter_bits(wanted.count(), spread)
     slots = wanted.select(slot_of(F.col(wanted.columns[0]), bits).alias("slot"))
     slotted = rows.withColumn("_bm_slot", F.when(column.isNotNull(), slot_of(column, bits)))
     return with_bit(slotted, staged(bitmaps_of(slots, "slot")), "_bm_slot", name).drop("_bm_slot")

@@ -1,6 +1,7 @@
 """Quality, decontamination, byte-pair coding, token counts, lines and sentences."""
 
 import re
+import string
 from collections import Counter
 from zlib import crc32
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from keyspan.llm import bpe, quality, span_dedup, token_counts
 from keyspan.llm.decontaminate import SuffixAutomaton, find_matches, is_contaminated, merged, n_hit, remove_matches, without_spans, words_of
 from keyspan.llm.line_spread import remove_boilerplate
-from keyspan.llm.span_dedup import remove_repeated_spans, sentences, without_sentences
+from keyspan.llm.span_dedup import remove_repeated_spans, sentences
 from tests.llm.fixtures import LONG, ODD_TEXTS, no_documents, odd_documents, prose
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -231,23 +232,38 @@ def test_lines_of_odd_documents(spark):
 # Sentences
 
 
+def brute_cut(text):
+    """(start, end, normal form) of the sentences, from the plain rule of cuts."""
+    words = [m for m in re.finditer(r"\S+", text or "")]
+    plain = [m.group() for m in words]
+    bounds = brute_bounds(plain) if len(words) >= 10 else [0, len(words)] if words else []
+    lower = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+    return [(words[a].start(), words[b - 1].end(), " ".join(plain[a:b]).translate(lower)) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
 def brute_spans(rows, span=3):
-    """(id, removed sentences) of distinct rows (id, text)."""
-    cut = {(i, t): [form for _, _, form in sentences(t)] for i, t in rows}
+    """(id, sentences, removed ones, text) of rows (id, text)."""
+    cut = {(i, t): brute_cut(t) for i, t in rows}
     first = {}
     for i, t in sorted(cut, key=lambda r: (r[0] is not None, r[0] or 0)):
-        forms = cut[i, t]
+        forms = [form for _, _, form in cut[i, t]]
         for k in range(len(forms) - span + 1):
             first.setdefault(tuple(forms[k : k + span]), (i, t, k))
     out = []
     for i, t in rows:
-        forms = cut[i, t]
+        starts, forms = [s for s, _, _ in cut[i, t]], [form for _, _, form in cut[i, t]]
         gone = {k + j for k in range(len(forms) - span + 1) if first[tuple(forms[k : k + span])] != (i, t, k) for j in range(span)}
-        out.append((i, len(forms), len(gone), without_sentences(t, gone) if gone else t))
+        if gone:
+            ends = [*starts[1:], len(t)]
+            t = (t[: starts[0]] + "".join(t[a:b] for k, (a, b) in enumerate(zip(starts, ends, strict=True)) if k not in gone)).rstrip()
+        out.append((i, len(forms), len(gone), t))
     return out
 
 
-def test_repeated_passages(spark):
+# One run in so many is looked up where it is: none, all of a small table.
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_repeated_passages(spark, monkeypatch, hot):
+    monkeypatch.setattr(span_dedup, "HOT", hot)
     passage = prose(70, 55)
     rows = [(21, prose(71, 90) + "\n" + passage + "\n" + prose(72, 30)), (22, passage + " " + prose(73, 60)), (23, prose(74, 40) + " " + passage.upper())]
     rows += [(24, prose(75, 60)), (25, "Yes. No. Yes. No. Yes. No."), (26, passage + " " + passage)] + ODD_TEXTS[:12] + ODD_TEXTS[13:15]
@@ -334,9 +350,9 @@ def test_a_passage_of_51_words_has_a_run_wherever_it_starts(shape):
     for begin in range(len(text) - 51):
         passage = text[begin : begin + 51]
         places = begin % 37, begin % 29 + 40
-        first, second = (set(span_dedup._runs(" ".join(h[:k] + passage + h[k:]), 3)) for h, k in zip(hosts, places, strict=True))
+        first, second = (set(span_dedup._cut(" ".join(h[:k] + passage + h[k:]), 3)[1]) for h, k in zip(hosts, places, strict=True))
         assert first & second
-    assert not set(span_dedup._runs(" ".join(hosts[0]), 3)) & set(span_dedup._runs(" ".join(hosts[1]), 3))
+    assert not set(span_dedup._cut(" ".join(hosts[0]), 3)[1]) & set(span_dedup._cut(" ".join(hosts[1]), 3)[1])
 
 
 def test_lines_of_very_long_texts(spark):
