@@ -319,10 +319,10 @@ def gradient_boost_from_text(spark: SparkSession, directory: str) -> DataFrame:
     return catalogue._rounds(transfer.train_from_first(lines, kinds, *rest, **catalogue.STUMP, max_iter=2).history)
 
 
-def _whole_grid(spark, directory, kind: str, keys: list | None = None) -> DataFrame:
-    """The default grid and folds on these kinds of line, else on all: settings scored, settings outside the grid, whether the best is chosen."""
+def _whole_grid(spark, directory, kind: str) -> DataFrame:
+    """The default grid and folds on all kinds of line: settings scored, settings outside the grid, whether the best is chosen."""
     grid = trees.GRIDS[kind]
-    found = forest_search.search_together(kind, *catalogue._tree_args(spark, directory), keys=keys)
+    found = forest_search.search_together(kind, *catalogue._tree_args(spark, directory))
     outside = reduce(lambda a, b: a | b, [~F.col("setting")[name].isin([float(v) for v in values]) for name, values in grid.items()])
     chosen = found.chosen.select("line_kind", *[F.col("setting")[name].alias(name) for name in grid])
     is_chosen = reduce(lambda a, b: a & b, [F.col("setting")[name] == F.col(name) for name in grid])
@@ -335,13 +335,13 @@ def _whole_grid(spark, directory, kind: str, keys: list | None = None) -> DataFr
 
 
 def random_forest_whole_grid(spark: SparkSession, directory: str) -> DataFrame:
-    """On the kind of line that its SQL has."""
-    return _whole_grid(spark, directory, "random_forest", ["N-F"])
+    """The name by which the search was known while it took one kind of line."""
+    return _whole_grid(spark, directory, "random_forest")
 
 
 def gradient_boost_whole_grid(spark: SparkSession, directory: str) -> DataFrame:
-    """On the kind of line that its SQL has."""
-    return _whole_grid(spark, directory, "gradient_boost", ["N-F"])
+    """The name by which the search was known while it took one kind of line."""
+    return _whole_grid(spark, directory, "gradient_boost")
 
 
 def random_forest_whole_grid_all_keys(spark: SparkSession, directory: str) -> DataFrame:
@@ -630,10 +630,10 @@ ORACLES = {
         f"{kind}_whole_grid{keys}": f"""
             SELECT DISTINCT l_returnflag || '-' || l_linestatus AS line_kind, CAST({n} AS BIGINT) AS n_settings, CAST({n} AS BIGINT) AS n_scored,
                    CAST(0 AS BIGINT) AS n_outside, TRUE AS best_chosen
-            FROM lineitem WHERE {which}
+            FROM lineitem
         """
         for kind, n in (("random_forest", 81), ("gradient_boost", 27))
-        for keys, which in (("", "l_returnflag = 'N' AND l_linestatus = 'F'"), ("_all_keys", "TRUE"))
+        for keys in ("", "_all_keys")
     },
     "compound_bucketed": oracles.COMPOUND_LEFT,
     "count_from_footers": oracles.COUNT_TABLES,
