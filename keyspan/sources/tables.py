@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 CLUSTER_SCHEMA = "cluster_id int, gis_join string, is_center boolean"
 
@@ -64,6 +64,17 @@ def to_json_rows(df: DataFrame) -> DataFrame:
     return df.select(to_json_column().alias("json"))
 
 
-def from_json_rows(df: DataFrame, schema: StructType | str, json: str = "json") -> DataFrame:
-    """The rows that the documents in column ``json`` stand for; fields that a document lacks, and documents that are none, are null."""
-    return df.select(F.from_json(F.col(f"`{json}`"), schema).alias("_row")).select("_row.*")
+def from_json_rows(df: DataFrame, schema: StructType | str, json: str = "json", broken: str | None = None) -> DataFrame:
+    """The rows that the documents in column ``json`` stand for; fields that a document lacks, and documents that are none, are null.
+
+    With ``broken``, a last column of this name has the text of a document that is none or doesn't fit the schema, else null; null and empty
+    texts are rows of nulls that are not broken.
+    """
+    options = {}
+    if broken is not None:
+        fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        if broken in fields.names:
+            raise ValueError(f"{broken!r} is a field of the schema")
+        schema = StructType([*fields, StructField(broken, StringType())])
+        options["columnNameOfCorruptRecord"] = broken
+    return df.select(F.from_json(F.col(f"`{json}`"), schema, options).alias("_row")).select("_row.*")

@@ -4,12 +4,13 @@ from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from keyspan.sources import load_models, load_stats, load_table, save_models, shared_dir, staged_by_key, to_json_rows, written
 from keyspan.operators.windows import moving_average
 from keyspan.sources.models import load_targets
 from keyspan.sources.storage import rows_with_key, scratch
-from keyspan.sources.tables import stats_table
+from keyspan.sources.tables import from_json_rows, stats_table
 from keyspan.models import trees
 
 
@@ -46,6 +47,19 @@ def test_json_keeps_nulls(spark):
     assert to_json_rows(df).first()["json"] == '{"a":1,"b":null,"c":0.0}'
 
 
+@pytest.mark.parametrize("schema", ["a int, b string", StructType().add("a", "integer").add("b", "string")])
+def test_broken_documents_are_named(spark, schema):
+    documents = ['{"a":1,"b":"x"}', '{"b":"y"}', '{"a":', '{"a":"no number","b":"z"}', "", None]
+    df = spark.createDataFrame([(d,) for d in documents], "`a.json` string")
+    plain = [tuple(r) for r in from_json_rows(df, schema, "a.json").collect()]
+    assert plain[:3] == [(1, "x"), (None, "y"), (None, None)]
+    marked = from_json_rows(df, schema, "a.json", broken="text").collect()
+    assert [tuple(r)[:2] for r in marked] == plain
+    assert [r["text"] for r in marked] == [None, None, '{"a":', '{"a":"no number","b":"z"}', None, None]
+    with pytest.raises(ValueError):
+        from_json_rows(df, schema, "a.json", broken="b")
+
+
 def test_shared_dir_is_the_one_the_session_names(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
