@@ -196,3 +196,27 @@ def test_rounds_go_on_where_they_stopped(spark, data, clusters, tmp_path):
     assert {r["round"] for r in first.collect()} == {0}
     assert sorted(map(tuple, run("parts")[0].collect()), key=str) == whole
     assert sorted(map(tuple, run("parts")[0].collect()), key=str) == whole
+
+
+@pytest.mark.parametrize("params", [dict(boosted=True, trees=3, max_depth=2, bootstrap=False, subset="all"), dict(boosted=True, trees=2, max_depth=2, bootstrap=False, rate=0.6, subset="all"), dict(trees=3, max_depth=3, rate=0.7)])
+@pytest.mark.parametrize("alone", [forests.ALONE_VALUES, 0])
+def test_cells_grow_the_trees_of_their_rows(data, monkeypatch, params, alone):
+    tasks = [Settings(folds=3, fold=f, max_bins=b, fraction=share, **params) for f, b, share in ((-1, 4, 1.0), (0, 32, 1.0), (-1, 32, 0.5))]
+    want = {"depths": {0: [1, params["max_depth"]]}, "stages": {1: [1, params["trees"]]}}
+    rows = grow(data, *ARGS, tasks, **want)
+    monkeypatch.setattr(forests, "CELL_ROWS", 0)
+    monkeypatch.setattr(forests, "ALONE_VALUES", alone)
+    cells = grow(data, *ARGS, tasks, **want)
+    columns = ["k", "task", "tree", "node", "feature", "threshold", "child", "level"]
+    assert sorted(map(tuple, cells.nodes.select(columns).collect()), key=str) == sorted(map(tuple, rows.nodes.select(columns).collect()), key=str)
+    by = ["k", "task", "depth", "stage"]
+    one, other = ({tuple(r[c] for c in by): (r["n"], r["rmse"], r["r2"]) for r in g.errors.collect()} for g in (cells, rows))
+    assert set(one) == set(other) and all(one[k] == pytest.approx(other[k], rel=1e-9) for k in one)
+
+
+def test_copies_of_rows_are_no_more_to_grow(data, monkeypatch):
+    monkeypatch.setattr(forests, "CELL_ROWS", 0)
+    tasks = [Settings(bootstrap=False, folds=3, fold=f) for f in (-1, 0, 1, 2)]
+    cells = [forests.pack(data.crossJoin(data.sparkSession.range(n).toDF("copy")), *ARGS[:3], ["id", "copy"], tasks=tasks).agg(F.sum("n")).first()[0] for n in (20, 100)]
+    # 253 pairs of x and z for three keys, held out or in one of three folds.
+    assert all(n <= 3 * 253 * 4 for n in cells) and cells[1] < 1.2 * cells[0]
