@@ -108,15 +108,31 @@ def cluster_centers(model, df: DataFrame) -> DataFrame:
 def split_tree(model, df: DataFrame) -> DataFrame:
     """``(node, parent, size, cost, center[])`` of a bisecting k-means model: every cluster it had, from the root (no parent) on.
 
-    ``cost`` is the sum of squared distances of the node's rows to its centre. The tree is read from the model as Spark saves it.
+    ``size`` counts the rows of ``df`` (with their ``features``) that the model leads through a node, and ``cost`` is the sum of their squared
+    distances to its centre. The sizes Spark saves are older than the last centres, so where a split did not settle in ``max_iter``
+    its sides don't add up. The tree itself is read from the model as Spark saves it.
     """
     path = new_path(df.sparkSession, "bisecting")
     model.write().save(path)
-    nodes = df.sparkSession.read.parquet(f"{path}/data/data")
-    parents = nodes.select(F.col("index").alias("parent"), F.explode("children").alias("index"))
-    return nodes.join(parents, "index", "left").select(
-        F.col("index").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"), "size", "cost", vector_to_array("center").alias("center")
+    saved = df.sparkSession.read.parquet(f"{path}/data/data")
+    # Two nodes for each of the clusters asked for at most.
+    nodes = {r["index"]: r for r in saved.select("index", "children", vector_to_array("center").alias("center")).collect()}
+    above = {child: node for node, r in nodes.items() for child in r["children"]}
+    ways = []
+    for leaf in (n for n, r in nodes.items() if not r["children"]):
+        node = leaf
+        while node is not None:
+            ways.append((leaf, node, nodes[node]["center"]))
+            node = above.get(node)
+    way = F.broadcast(df.sparkSession.createDataFrame(ways, "prediction int, node long, center array<double>"))
+    assigned = model.transform(df).select("prediction", vector_to_array("features").alias("point"))
+    distance = F.aggregate(F.zip_with("point", "center", lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda a, b: a + b)
+    counted = assigned.join(way, "prediction").groupBy("node").agg(F.count("*").alias("size"), F.sum(distance).alias("cost"))
+    known = df.sparkSession.createDataFrame(
+        [(n, above.get(n), r["center"]) for n, r in nodes.items()], "node long, parent long, center array<double>"
     )
+    none = {"size": F.coalesce("size", F.lit(0).cast("long")), "cost": F.coalesce("cost", F.lit(0.0))}
+    return known.join(F.broadcast(counted), "node", "left").withColumns(none).select("node", "parent", "size", "cost", "center")
 
 
 def gaussians(model, df: DataFrame) -> DataFrame:

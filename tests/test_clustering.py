@@ -1,5 +1,6 @@
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
 
 from keyspan.models import clustering
 from keyspan.models.components import components_for, components_for_variance, explained_variance
@@ -55,6 +56,17 @@ def test_kmeans_assigns_to_the_nearest_reported_center(customers):
     assert all(nearest(r["x"]) == r["prediction"] for r in assigned) and len(assigned) == rows.count()
 
 
+def test_sides_of_a_split_add_up_before_it_settles(customers):
+    # One iteration settles nothing: what Spark saves are the sizes before the rows were dealt by the last centres.
+    model, rows = clustering.fit_bisecting_kmeans(customers, "c_custkey", FEATURES, k=6, max_iter=1)
+    nodes = {r["node"]: r for r in clustering.split_tree(model, rows).collect()}
+    leaves = {r["prediction"]: r["n"] for r in model.transform(rows).groupBy("prediction").agg(F.count("*").alias("n")).collect()}
+    for node, r in nodes.items():
+        sides = [n["size"] for n in nodes.values() if n["parent"] == node]
+        assert r["size"] == (sum(sides) if sides else leaves[node])
+    assert sum(r["parent"] is None for r in nodes.values()) == 1 and all(r["cost"] >= 0 for r in nodes.values())
+
+
 def test_mixture_report(customers):
     model, rows = clustering.fit_gaussian_mixture(customers, "c_custkey", FEATURES, k=3, max_iter=5)
     got = clustering.gaussians(model, rows).collect()
