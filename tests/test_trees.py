@@ -1,6 +1,7 @@
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from keyspan.models import transfer, trees
 from keyspan.models.layout import laid_out
@@ -233,3 +234,35 @@ def test_the_grid_of_all_keys_reaches_every_key(spark, small_dir, monkeypatch, k
     found = QUERIES[f"{kind}_whole_grid_all_keys"](spark, small_dir).collect()
     lines = spark.read.parquet(f"{small_dir}/lineitem.parquet").select("l_returnflag", "l_linestatus").distinct().collect()
     assert sorted(map(tuple, found)) == sorted((f"{r[0]}-{r[1]}", 2, 2, 0, True) for r in lines)
+
+
+def test_cells_are_fitted_like_their_rows(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 'a', 'b') as k", "cast(id % 7 as double) as x", "cast(id % 5 as double) as z", "(id % 7) * (id % 5) + (id * 7919 % 101) / 50 as y")
+    args = ("k", ["x", "z"], "y", "id")
+    clusters = spark.createDataFrame([(1, "a", True), (1, "b", False)], "cluster_id int, k string, is_center boolean")
+
+    def answers():
+        found = trees.gradient_boost_exhaustive(rows, *args, grid={"maxIter": [1, 3]}, folds=2, max_depth=2)
+        children = transfer.train_children(rows, clusters, found.models, found.metrics, "gradient_boost", *args)
+        alone = trees.random_forest(rows, *args, max_depth=3, is_bootstrap=False).metrics
+        tables = [found.metrics, found.scores.select("k", "avg_rmse"), alone, children.history.drop("seconds", "phase")]
+        return [sorted(map(tuple, t.collect()), key=str) for t in tables]
+
+    one = answers()
+    monkeypatch.setattr(trees, "CELL_ROWS", 0)
+    known = trees.Apart(0.8, (0.15,), (2,))
+    with trees.training_table(rows, *args, known=known) as table:
+        # 35 pairs of x and z for two keys, held out or in one of two folds, in the sample or not.
+        assert table.count() <= 2 * 35 * 3 * 2 and table.agg(F.sum("_n")).first()[0] == 3000
+    for own, other in zip(one, answers()):
+        assert len(own) == len(other) > 0
+        for a, b in zip(own, other):
+            assert [v for v in a if isinstance(v, str)] == [v for v in b if isinstance(v, str)]
+            assert [v for v in a if not isinstance(v, str)] == pytest.approx([v for v in b if not isinstance(v, str)], rel=1e-9)
+
+
+def test_rows_that_fits_draw_or_count_are_no_cells():
+    assert trees.apart("gradient_boost", [{"maxIter": 2}], 0.8) == trees.Apart(0.8)
+    assert trees.apart("random_forest", [{"bootstrap": False}], 0.8) == trees.Apart(0.8)
+    for kind, settings in (("random_forest", {}), ("gradient_boost", {"subsamplingRate": 0.5}), ("gradient_boost", {"lossType": "absolute"}), ("gradient_boost", {"minInstancesPerNode": 2})):
+        assert trees.apart(kind, [{"bootstrap": False} if settings else {}, settings], 0.8) is None
