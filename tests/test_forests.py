@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from keyspan.functions.scaling import assemble
 from keyspan.models import forest_search, forests, trees
 from keyspan.models.forests import Settings, Sketch, grow, predicted
+from keyspan.models.trees import rows_of_keys
 
 ARGS = ("k", ["x", "z"], "y", "id")
 
@@ -220,3 +221,26 @@ def test_copies_of_rows_are_no_more_to_grow(data, monkeypatch):
     cells = [forests.pack(data.crossJoin(data.sparkSession.range(n).toDF("copy")), *ARGS[:3], ["id", "copy"], tasks=tasks).agg(F.sum("n")).first()[0] for n in (20, 100)]
     # 253 pairs of x and z for three keys, held out or in one of three folds.
     assert all(n <= 3 * 253 * 4 for n in cells) and cells[1] < 1.2 * cells[0]
+
+
+def test_rounds_share_one_pass_over_the_rows(data, clusters, tmp_path, monkeypatch):
+    parents = forest_search.parents_together(data, clusters, "gradient_boost", *ARGS, grid={"maxIter": [1, 2]}, folds=2)
+    # Nobody gets there, so all rounds are gone through.
+    parents.metrics = parents.metrics.withColumn("rmse", F.lit(0.0))
+    packs, pack = [], forests.pack
+    monkeypatch.setattr(forests, "pack", lambda *args: packs.append(args) or pack(*args))
+    monkeypatch.setattr(forests, "CELL_ROWS", 0)
+    history, _, _ = forest_search.children_together(data, clusters, parents, "gradient_boost", *ARGS, str(tmp_path))
+    assert len(packs) == 1 and history.select("round").distinct().count() == 3
+    settings = {r["k"]: forest_search._typed(r["setting"]) for r in parents.chosen.collect()}
+    for r in history.where("k IN ('b', '')").collect():
+        own = Settings.of("gradient_boost", settings["a"], fraction=r["fraction"])
+        alone = grow(data, *ARGS, [own], [r["k"]]).errors.first()
+        assert (r["rmse"], r["r2"]) == pytest.approx((alone["rmse"], alone["r2"]), rel=1e-9)
+
+
+def test_rows_stay_where_they_are_for_few_keys(spark, data):
+    few = spark.createDataFrame([("a",), ("b",), ("a",)], "k string")
+    plan = rows_of_keys(data.repartition(3), "k", few)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert rows_of_keys(data, "k", few).count() == data.where("k IN ('a', 'b')").count()
