@@ -1,4 +1,6 @@
 import uuid
+from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -266,3 +268,16 @@ def test_rows_that_fits_draw_or_count_are_no_cells():
     assert trees.apart("random_forest", [{"bootstrap": False}], 0.8) == trees.Apart(0.8)
     for kind, settings in (("random_forest", {}), ("gradient_boost", {"subsamplingRate": 0.5}), ("gradient_boost", {"lossType": "absolute"}), ("gradient_boost", {"minInstancesPerNode": 2})):
         assert trees.apart(kind, [{"bootstrap": False} if settings else {}, settings], 0.8) is None
+
+
+def test_a_fit_reads_its_own_key_only(data):
+    """Files of other keys may be unreadable: a fit does not look at them."""
+    with trees.training_table(data, *ARGS) as table:
+        files = [Path(unquote(urlparse(f).path)) for f in table.inputFiles()]
+        others = [f for f in files if "key=b" not in unquote(f.parent.name)]
+        assert 0 < len(others) < len(files)
+        for f in others:
+            f.write_bytes(b"none")
+        rows = trees.rows_of(table, "k", "b").where(trees.below(F.col("_split"), 0.8))
+        assert 0 < rows.count() < 2000
+        assert {tuple(r["features"]) for r in rows.collect()} == {(float(i % 10), float(i % 3)) for i in range(2000)}
