@@ -263,6 +263,27 @@ def test_cells_are_fitted_like_their_rows(spark, monkeypatch):
             assert [v for v in a if not isinstance(v, str)] == pytest.approx([v for v in b if not isinstance(v, str)], rel=1e-9)
 
 
+def test_copies_of_rows_are_no_more_to_train_on(data, monkeypatch):
+    """The fits from a text of keys work on as many rows however often each is repeated, with the answers of the rows."""
+    staged, counts = [], transfer.training_counts
+    monkeypatch.setattr(transfer, "training_counts", lambda table, *rest: staged.append(table.count()) or counts(table, *rest))
+
+    def rounds(n):
+        copies = data.crossJoin(data.sparkSession.range(n).toDF("copy"))
+        found = transfer.train_from_first(copies, "a, b, noise", *ARGS[:3], ["id", "copy"], max_depth=1, max_iter=2)
+        return sorted(map(tuple, found.history.drop("seconds").collect()))
+
+    rows = rounds(5)
+    monkeypatch.setattr(trees, "CELL_ROWS", 0)
+    cells = rounds(5)
+    rounds(25)
+    assert len(rows) == len(cells) > 5
+    for one, other in zip(rows, cells):
+        assert one[:4] + one[-1:] == other[:4] + other[-1:] and one[4:6] == pytest.approx(other[4:6], rel=1e-9)
+    # 30 pairs of x and z for three keys, held out or not, in the sample of one of five rounds or of none.
+    assert staged[0] == 3 * 2000 * 5 and staged[2] <= 3 * 30 * 2 * 6 and staged[2] < 1.2 * staged[1]
+
+
 def test_rows_that_fits_draw_or_count_are_no_cells():
     assert trees.apart("gradient_boost", [{"maxIter": 2}], 0.8) == trees.Apart(0.8)
     assert trees.apart("random_forest", [{"bootstrap": False}], 0.8) == trees.Apart(0.8)
