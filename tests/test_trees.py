@@ -3,8 +3,12 @@ from pathlib import Path
 from urllib.parse import unquote, urlparse
 
 import pytest
+from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
+from keyspan.functions.sampling import fold_of, sample_fraction, split
+from keyspan.functions.scaling import assemble
 from keyspan.models import transfer, trees
 from keyspan.models.layout import laid_out
 from keyspan.models.trees import tree_params
@@ -302,3 +306,39 @@ def test_a_fit_reads_its_own_key_only(data):
         rows = trees.rows_of(table, "k", "b").where(trees.below(F.col("_split"), 0.8))
         assert 0 < rows.count() < 2000
         assert {tuple(r["features"]) for r in rows.collect()} == {(float(i % 10), float(i % 3)) for i in range(2000)}
+
+
+def test_boosted_children_follow_the_whole_grid(spark, tmp_path, monkeypatch):
+    """The query's parents are searched by all settings and folds, and its children are fits with the best of them, as plain loops find."""
+    rows = [
+        ("A", status, i, 1, 1, 1, float(i % 4), float(i // 4 % 3), float(i // 12 % 2), 100.0 * (i % 4) + 30.0 * (i % 4 > 1) * (i // 4 % 3) + i * 7919 % 101)
+        for status in ("F", "O")
+        for i in range(480)
+    ]
+    schema = "l_returnflag string, l_linestatus string, l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_discount double, l_tax double, l_extendedprice double"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found, train = [], transfer.train_parents
+    monkeypatch.setattr(transfer, "train_parents", lambda *args, **search: found.append(train(*args, **search)) or found[0])
+    history = QUERIES["gradient_boost_transfer"](spark, str(tmp_path)).orderBy("round").collect()
+    scores = {tuple(r["setting"][n] for n in trees.GBT_GRID): r["avg_rmse"] for r in found[0].scores.where("line_kind = 'A-F'").collect()}
+    assert set(scores) == {tuple(map(float, s.values())) for s in trees.grid_settings(trees.GBT_GRID)} and None not in scores.values()
+
+    line_id, features = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+    lines = spark.read.parquet(str(tmp_path / "lineitem.parquet")).withColumn("label", F.col("l_extendedprice"))
+    lines = assemble(lines, features).cache()
+
+    def rmse(train, test, setting):
+        bins, depth, steps = map(int, setting)
+        model = GBTRegressor(featuresCol="features", labelCol="label", seed=1, maxBins=bins, maxDepth=depth, maxIter=steps).fit(train)
+        return RegressionEvaluator(labelCol="label", metricName="rmse").evaluate(model.transform(test))
+
+    train, held_out = split(lines.where("l_linestatus = 'F'"), 0.8, line_id)
+    folds = [(train.where(fold_of(line_id, 3) != f), train.where(fold_of(line_id, 3) == f)) for f in range(3)]
+    assert sum(rmse(*fold, (50, 4, 15)) for fold in folds) / 3 == pytest.approx(scores[50.0, 4.0, 15.0], rel=1e-6)
+    best = next(s for s in (tuple(map(float, s.values())) for s in trees.grid_settings(trees.GBT_GRID)) if scores[s] <= min(scores.values()) * (1 + 1e-9))
+    target = rmse(train, held_out, best)
+    assert [r["fraction"] for r in history] == [0.15, 0.3, 0.6][: len(history)] and {r["line_kind"] for r in history} == {"A-O"}
+    for r in history:
+        own = rmse(*split(sample_fraction(lines.where("l_linestatus = 'O'"), r["fraction"], line_id), 0.8, line_id), best)
+        assert r["rmse"] == pytest.approx(own, rel=1e-6) and r["reached"] == (own < target)
+    assert len(history) == 3 or history[-1]["reached"]
