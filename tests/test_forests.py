@@ -3,7 +3,10 @@
 import math
 import random
 
+import checking
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from keyspan.functions.scaling import assemble
 from keyspan.models import forest_search, forests, trees
 from keyspan.models.forests import Settings, Sketch, grow, predicted
 from keyspan.models.trees import rows_of_keys
+from keyspan.plans import ORACLES, QUERIES
 
 ARGS = ("k", ["x", "z"], "y", "id")
 
@@ -244,3 +248,26 @@ def test_rows_stay_where_they_are_for_few_keys(spark, data):
     plan = rows_of_keys(data.repartition(3), "k", few)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert rows_of_keys(data, "k", few).count() == data.where("k IN ('a', 'b')").count()
+
+
+def test_children_follow_the_whole_grid(spark, tmp_path, monkeypatch):
+    """The query's parents are searched by all settings and folds, and SQL, which goes through all of them, finds the same rounds."""
+    draw = random.Random(3)
+    rows = []
+    for i in range(1800):
+        flag, status, quantity, discount, tax = "ANR"[i % 3], "FO"[i // 3 % 2], draw.randrange(64), draw.randrange(11) / 100, draw.randrange(9) / 100
+        price = 900.0 * (quantity > 40) + 400.0 * (discount > 0.06) * (quantity < 20) + 150.0 * (tax > 0.03) + 500 * draw.random() + 100 * (flag == "N") * (status == "O") * draw.random()
+        rows.append({"l_orderkey": i, "l_linenumber": i % 7, "l_partkey": i % 11, "l_suppkey": 1, "l_returnflag": flag, "l_linestatus": status, "l_quantity": float(quantity), "l_discount": discount, "l_tax": tax, "l_extendedprice": price})
+    # Rows that come twice, and rows without a quantity, a part of their id or a part of their key.
+    rows += rows[:40] + [{**row, "l_orderkey": 9000 + i, name: None} for i, (row, name) in enumerate((r, n) for r in rows[40:60] for n in ("l_quantity", "l_partkey", "l_linestatus", "l_returnflag"))]
+    pq.write_table(pa.Table.from_pylist(rows), tmp_path / "lineitem.parquet")
+    found, search = [], forest_search.parents_together
+    monkeypatch.setattr(forest_search, "parents_together", lambda *args, **more: found.append(search(*args, **more)) or found[0])
+    answer = checking.spark_rows(QUERIES["random_forest_children_together"](spark, str(tmp_path)))
+    grid = {tuple(map(float, s.values())) for s in trees.grid_settings(trees.RF_GRID)}
+    scores = found[0].scores.collect()
+    assert len(scores) == 3 * 81 and all(r["avg_rmse"] is not None for r in scores)
+    for kind in ("A-F", "N-F", "R-F"):
+        assert {tuple(r["setting"][n] for n in trees.RF_GRID) for r in scores if r["line_kind"] == kind} == grid
+    assert answer == checking.duck_rows(checking.connect(str(tmp_path)), ORACLES["random_forest_children_together"])
+    assert len(answer[1]) >= 3
